@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterline.llm import exact_dedup, language_id, mixing, quality_rules, toxicity, url_filter
+from meterline.llm import exact_dedup, language_id, mixing, quality_rules, simhash, toxicity, url_filter
 from meterline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,6 +96,12 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = simhash.near_classes(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id", "n_links")
+
+
 #: Rules of the URL query, as its contract gives them.
 URL_RULES = tuple(url_filter.Rule(v, *r.split("/", 1)) for v, r in (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")))
 URL_RULES = tuple(url_filter.Rule(r.verdict, r.host, "/" + r.path) for r in URL_RULES)

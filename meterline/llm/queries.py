@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterline.llm import exact_dedup, language_id, mixing, quality_rules, simhash, toxicity, url_filter
+from meterline.llm import exact_dedup, language_id, mixing, packing, preference, quality_rules, simhash, toxicity, url_filter
 from meterline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,6 +85,18 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def word_bpe() -> str:
+    """Path of the public tokenizer of the packing query; the file is installed on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query()
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), word_bpe())
+
+
 @query(
     """
 SELECT doc_id, max(doc_id) OVER (PARTITION BY h) AS keep_id, count(*) OVER (PARTITION BY h) AS group_size,
@@ -126,3 +138,27 @@ SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN n_strict >= 1 OR n_s
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = url_filter.filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
     return seen.select("page_id", "host", "path", "rule", "verdict", F.size("strict_hits").cast("long").alias("n_strict"), F.size("soft_hits").cast("long").alias("n_soft"))
+
+
+@query(
+    """
+WITH t AS (SELECT conv_id, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
+      row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'unknown'), coalesce(text, '')) AS pos FROM conversations),
+l AS (SELECT conv_id, max(pos) AS last, arg_max(text, pos) AS answer FROM t WHERE role = 'assistant' GROUP BY conv_id),
+b AS (SELECT t.*, CASE WHEN pos = l.last AND o.answer IS NOT NULL THEN o.answer ELSE text END AS other
+      FROM t LEFT JOIN l ON t.conv_id = l.conv_id LEFT JOIN l AS o ON xor(o.conv_id, 1) = t.conv_id),
+n AS (SELECT conv_id, coalesce(min(pos) FILTER (WHERE text <> other) - 1, count(*)) AS n FROM b GROUP BY conv_id),
+x AS (SELECT b.*, n, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS a, '<|' || role || '|>' || chr(10) || other || '<|end|>' || chr(10) AS r
+      FROM b JOIN n ON b.conv_id IS NOT DISTINCT FROM n.conv_id),
+y AS (SELECT *, coalesce(sum(CASE WHEN pos > n THEN length(a) END) OVER w, 0) AS ca, coalesce(sum(CASE WHEN pos > n THEN length(r) END) OVER w, 0) AS cr
+      FROM x WINDOW w AS (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT conv_id AS pair_id, n::INTEGER AS n_prompt_turns, coalesce(string_agg(a, '' ORDER BY pos) FILTER (WHERE pos <= n), '') AS prompt,
+  coalesce(string_agg(a, '' ORDER BY pos) FILTER (WHERE pos > n), '') AS chosen_completion,
+  coalesce(string_agg((ca + length(role) + 5)::BIGINT || ':' || (length(text) + 7), ',' ORDER BY pos) FILTER (WHERE pos > n AND role = 'assistant'), '') AS chosen_spans,
+  coalesce(string_agg(r, '' ORDER BY pos) FILTER (WHERE pos > n), '') AS rejected_completion,
+  coalesce(string_agg((cr + length(role) + 5)::BIGINT || ':' || (length(other) + 7), ',' ORDER BY pos) FILTER (WHERE pos > n AND role = 'assistant'), '') AS rejected_spans
+FROM y GROUP BY conv_id, n
+"""
+)
+def op9_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preference.format_pairs(preference.swapped_pairs(table(spark, sf_dir, "conversations")))

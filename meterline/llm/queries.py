@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterline.llm import exact_dedup, language_id, mixing, packing, preference, quality_rules, simhash, toxicity, url_filter
+from meterline.llm import exact_dedup, language_id, mixing, packing, preference, quality_rules, simhash, substring_dedup, toxicity, url_filter
 from meterline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -162,3 +162,8 @@ FROM y GROUP BY conv_id, n
 )
 def op9_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return preference.format_pairs(preference.swapped_pairs(table(spark, sf_dir, "conversations")))
+
+
+@query()
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup_substrings(table(spark, sf_dir, "documents")).drop("spans")

@@ -51,7 +51,11 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 
 
 def dropped(*frames: DataFrame) -> None:
-    """Delete the files behind frames made by :func:`saved` that no later plan reads."""
+    """Delete the files behind frames made by :func:`saved` that no later plan reads.
+
+    The hint to the JVM lets Spark's cleaner also free the shuffle files of finished plans, before the next round
+    writes its own.
+    """
     for df in frames:
         jvm = df.sparkSession._jvm
         conf = df.sparkSession._jsc.hadoopConfiguration()
@@ -59,3 +63,5 @@ def dropped(*frames: DataFrame) -> None:
             if "/meterline/" in folder:
                 path = jvm.org.apache.hadoop.fs.Path(folder)
                 path.getFileSystem(conf).delete(path, True)
+    if frames:
+        frames[0].sparkSession._jvm.System.gc()

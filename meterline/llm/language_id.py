@@ -29,13 +29,21 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3
 
 
+def smallest(ids: DataFrame, by: str, n: int, salts: int = 64) -> DataFrame:
+    """The ``n`` ids of smallest hash for each value of ``by``; ranked in salted parts first, as a value may be hot."""
+    ids = ids.withColumn("_hash", F.xxhash64("doc_id")).withColumn("_salt", F.pmod("_hash", F.lit(salts)))
+    for part in ([by, "_salt"], [by]):
+        rank = F.row_number().over(W.partitionBy(*part).orderBy("_hash", "doc_id"))
+        ids = ids.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank")
+    return ids.drop("_hash", "_salt")
+
+
 def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, max_chars: int = MAX_CHARS) -> DataFrame:
     """``doc_id, text, lang`` of the documents to learn from; only folds 0 and 2, non-null lang and text."""
     able = docs.filter(F.col("lang").isNotNull() & (fold(F.col("doc_id")) != 1) & F.length("text").between(1, max_chars))
     # ids first: ranking them moves no texts
     ids = able.select("doc_id", "lang").distinct()
-    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = ids.withColumn("rank", rank).filter(F.col("rank") <= per_language).drop("rank")
+    ids = smallest(ids, "lang", per_language)
     return able.select("doc_id", "text", "lang").join(ids, ["doc_id", "lang"]).dropDuplicates(["doc_id", "lang"])
 
 

@@ -66,13 +66,14 @@ def repeated_words(words: Column) -> Column:
     return let(window_hashes(words), lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(_covered(h)))
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and the measurements, each one taken once from the whole text (null: empty text)."""
+def measured(docs: DataFrame, *keep: Column) -> DataFrame:
+    """``doc_id`` (or the columns ``keep``) and the measurements, each taken once from the whole text (null: empty)."""
+    keep = keep or (F.col("doc_id"),)
     text = F.coalesce(F.col("text"), F.lit(""))
     bare = F.regexp_replace(text, SPACE + "+", "")
     lines = F.filter(F.split(text, "\n"), lambda x: F.regexp_replace(x, SPACE + "+", "") != "")
     taken = docs.select(
-        "doc_id",
+        *keep,
         let(words_of(F.col("text")), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).cast("long").alias("n_repeat_words"))).alias("w"),
         F.struct(
             F.length(bare).cast("long").alias("word_chars"),
@@ -83,7 +84,7 @@ def measured(docs: DataFrame) -> DataFrame:
             F.length(F.regexp_replace(bare, r"\P{Lu}+", "")).cast("long").alias("n_upper"),
         ).alias("m"),
     )
-    return taken.select("doc_id", "w.*", "m.*")
+    return taken.select(*taken.columns[: len(keep)], "w.*", "m.*")
 
 
 def failures() -> dict[str, Column]:
@@ -105,10 +106,21 @@ def ledger(docs: DataFrame) -> DataFrame:
 
     Null texts count as empty and fail ``too_few_words``; extra columns are ignored; repeated rows give equal rows.
     """
-    rows, bits = measured(docs), F.lit(0).cast("long")
+    return measured(docs).withColumn("failed_bits", failed_bits())
+
+
+def failed_bits() -> Column:
+    """The ledger's mask: bit k is set if rule k failed."""
+    bits = F.lit(0).cast("long")
     for k, rule in enumerate(RULES):
         bits = bits.bitwiseOR(F.when(failures()[rule], F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long")))
-    return rows.withColumn("failed_bits", bits)
+    return bits
+
+
+def passed(docs: DataFrame, policy: Policy = POLICIES[-1]) -> DataFrame:
+    """The documents that a policy keeps, with all their columns."""
+    rows = measured(docs, F.struct(*docs.columns).alias("_doc")).withColumn("failed_bits", failed_bits())
+    return rows.filter(keeps(BASE) & keeps(policy)).select("_doc.*")
 
 
 def keeps(policy: Policy) -> Column:

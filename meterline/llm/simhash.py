@@ -204,6 +204,20 @@ def links(fps: DataFrame, plan: Plan) -> DataFrame:
     return probing.join(stored, near & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= plan.distance)).select("a", "b").distinct()
 
 
+def _classes(docs: DataFrame, distance: int) -> DataFrame:
+    """``doc_id, tie, fp, root, component_id, n_links`` of every row; tie is a hash of the text."""
+    rows = saved(docs.select("doc_id", F.xxhash64("text").alias("tie"), fingerprints("text").alias("fp")), "fingerprints")
+    fps = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct_fingerprints")
+    found = saved(links(fps, planned(fps, distance)), "fingerprint_links")
+    roots = components(found)
+    n = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    known = fps.join(roots.join(n, "node"), fps["fp"] == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    ids = known.groupBy("root").agg(F.min("least").alias("component_id"))
+    classes = saved(known.join(ids, "root").select(F.col("fp").alias("_fp"), "root", "component_id", "n_links"), "fingerprint_classes")
+    dropped(found)
+    return rows.join(classes, F.col("fp") == F.col("_fp")).select("doc_id", "tie", "fp", "root", "component_id", "n_links")
+
+
 def near_classes(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """One row for each input row: ``doc_id, fp, component_id, n_links``.
 
@@ -212,20 +226,12 @@ def near_classes(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     have fingerprint 0 and are linked like any other.  Equal fingerprints are one node, so groups of copies of any
     size cost nothing; rows may be repeated; extra columns are ignored; an empty table gives no rows.
     """
-    rows = saved(docs.select("doc_id", fingerprints("text").alias("fp")), "fingerprints")
-    fps = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct_fingerprints")
-    found = saved(links(fps, planned(fps, distance)), "fingerprint_links")
-    roots = components(found)
-    n = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    known = fps.join(roots.join(n, "node"), fps["fp"] == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    ids = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = saved(known.join(ids, "root").select(F.col("fp").alias("_fp"), "component_id", "n_links"), "fingerprint_classes")
-    dropped(found)
-    return rows.join(classes, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id", "n_links")
+    return _classes(docs, distance).select("doc_id", "fp", "component_id", "n_links")
 
 
 def one_of_each(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """One document of each class, with all its columns: the one of smallest id (of equal ids, one row)."""
-    kept = near_classes(docs, distance).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = kept.withColumnRenamed("doc_id", "_kept")
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id"])
+    """One document of each class, with all its columns: the one of smallest id (null last; ties by a text hash)."""
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie"))
+    kept = _classes(docs, distance).groupBy("root").agg(best.alias("x")).select(F.col("x.doc_id").alias("_kept"), F.col("x.tie").alias("_tie"))
+    rows = docs.withColumn("_row", F.xxhash64("text"))
+    return rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")) & (F.col("_row") == F.col("_tie")), "left_semi").dropDuplicates(["doc_id", "_row"]).drop("_row")

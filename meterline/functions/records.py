@@ -54,16 +54,21 @@ def first_text(v: Column, *paths: str) -> Column:
 
 
 def usage_at(v: Column, path: str) -> Column:
-    """Token fields of an object; absent fields are 0; null if the value or any field is not as it must be."""
-    own = at(v, path)
-    fields, valid = [], is_object(own)
-    for name in FIELDS:
-        field = f"{path}.{JSON_FIELDS[name]}"
-        n = F.try_variant_get(v, field, "bigint")
-        absent = at(v, field).isNull()
-        valid = valid & F.coalesce(absent | ((kind_of(at(v, field)) == "BIGINT") & (n >= 0)), F.lit(False))
-        fields.append(F.when(absent, F.lit(0).cast("bigint")).otherwise(n).alias(name))
-    return F.when(valid, F.struct(*fields))
+    """Token fields of an object, an array in the order of ``FIELDS``; absent ones are 0.
+
+    Null if the value or any present field is not as it must be (a JSON integer of 0 or more).
+    """
+    fields = F.try_variant_get(v, path, "map<string,variant>")
+    found = F.transform(F.array(*(F.lit(JSON_FIELDS[f]) for f in FIELDS)), lambda name: F.try_element_at(fields, name))
+    number = lambda x: F.try_variant_get(x, "$", "bigint")
+    valid = F.forall(found, lambda x: x.isNull() | F.coalesce((kind_of(x) == "BIGINT") & (number(x) >= 0), F.lit(False)))
+    values = F.transform(found, lambda x: F.coalesce(number(x), F.lit(0).cast("bigint")))
+    return F.when(is_object(at(v, path)) & valid, values)
+
+
+def as_usage(values: Column) -> Column:
+    """The array of :func:`usage_at` as a struct."""
+    return F.when(values.isNotNull(), F.struct(*(F.get(values, F.lit(k)).alias(f) for k, f in enumerate(FIELDS))))
 
 
 def rfc3339(text: Column) -> Column:

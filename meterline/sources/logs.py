@@ -49,39 +49,42 @@ def log_events(rows: DataFrame) -> DataFrame:
     with an invalid ``last`` or ``total`` has ``is_invalid``.
     """
     v = F.col("v")
-    kind, payload = R.text_at(v, "$.type"), R.at(v, "$.payload")
-    event = F.when((kind == "event_msg") & R.is_object(payload), R.text_at(v, "$.payload.type"))
-    info = R.at(v, "$.payload.info")
-    counted = (event == "token_count") & R.is_object(info) & R.at(info, "$.last_token_usage").isNotNull()
+    # small steps: what several columns need is read from the value once
+    read = rows.withColumn("_type", R.text_at(v, "$.type")).withColumn("_payload", R.at(v, "$.payload"))
+    payload = F.when(R.is_object(F.col("_payload")), F.col("_payload"))
+    read = read.withColumn("_payload", payload).withColumn("_event", F.when(F.col("_type") == "event_msg", R.text_at(F.col("_payload"), "$.type")))
+    info = F.when(F.col("_event") == "token_count", R.at(F.col("_payload"), "$.info"))
+    read = read.withColumn("_info", F.when(R.is_object(info), info))
+    event = F.col("_event")
     named = (
         F.when(F.col("is_oversized"), "oversized")
         .when(F.col("is_malformed"), "malformed")
-        .when(kind == "session_meta", "meta")
-        .when((kind == "turn_context") & R.is_object(payload), "context")
+        .when(F.col("_type") == "session_meta", "meta")
+        .when((F.col("_type") == "turn_context") & F.col("_payload").isNotNull(), "context")
         .when(event.isin(*STARTS), "start")
         .when(event.isin(*ENDS), "end")
-        .when(counted, "usage")
+        .when(R.at(F.col("_info"), "$.last_token_usage").isNotNull(), "usage")
     )
-    usage = lambda c: F.when(F.col("kind") == "usage", c)
-    has_total = R.at(info, "$.total_token_usage").isNotNull()
-    last, total = R.usage_at(info, "$.last_token_usage"), R.usage_at(info, "$.total_token_usage")
-    in_turn = F.when(F.col("kind") == "context", R.text_at(payload, "$.turn_id")).when(F.col("kind").isin("start", "end"), R.first_text(payload, "$.turn_id", "$.id"))
-    in_context = lambda c: F.when(F.col("kind") == "context", F.coalesce(c, F.lit("unknown")))
-    stamp = R.text_at(v, "$.timestamp")
-    timed = rows.withColumn("kind", named).filter(F.col("kind").isNotNull())
-    return timed.select(
+    read = read.withColumn("kind", named).filter(F.col("kind").isNotNull())
+    read = read.withColumn("_last", R.usage_at(F.col("_info"), "$.last_token_usage")).withColumn("_total", R.usage_at(F.col("_info"), "$.total_token_usage"))
+    read = read.withColumn("_has_total", R.at(F.col("_info"), "$.total_token_usage").isNotNull())
+    read = read.withColumn("_stamp", R.text_at(v, "$.timestamp")).withColumn("at", R.rfc3339(F.col("_stamp"))).withColumn("_has_time", R.at(v, "$.timestamp").isNotNull())
+    kind, payload = F.col("kind"), F.col("_payload")
+    context = lambda c: F.when(kind == "context", F.coalesce(c, F.lit("unknown")))
+    turn = F.when(kind == "context", R.text_at(payload, "$.turn_id")).when(kind.isin("start", "end"), R.first_text(payload, "$.turn_id", "$.id"))
+    return read.select(
         "path",
         "line_no",
         "kind",
-        in_turn.alias("turn_id"),
-        in_context(R.text_at(payload, "$.model")).alias("model"),
-        in_context(R.first_text(payload, "$.effort", "$.reasoning_effort")).alias("effort"),
-        R.rfc3339(stamp).alias("at"),
-        R.own_date(stamp).alias("at_date"),
-        (R.at(v, "$.timestamp").isNotNull() & R.rfc3339(stamp).isNull()).alias("bad_time"),
-        usage(last).alias("last"),
-        usage(total).alias("total"),
-        F.coalesce(usage(last.isNull() | (has_total & total.isNull())), F.lit(False)).alias("is_invalid"),
+        turn.alias("turn_id"),
+        context(R.text_at(payload, "$.model")).alias("model"),
+        context(R.first_text(payload, "$.effort", "$.reasoning_effort")).alias("effort"),
+        "at",
+        F.when(F.col("at").isNotNull(), F.try_to_date(F.substring("_stamp", 1, 10))).alias("at_date"),
+        (F.col("_has_time") & F.col("at").isNull()).alias("bad_time"),
+        R.as_usage(F.col("_last")).alias("last"),
+        R.as_usage(F.col("_total")).alias("total"),
+        ((kind == "usage") & (F.col("_last").isNull() | (F.col("_has_total") & F.col("_total").isNull()))).alias("is_invalid"),
     )
 
 

@@ -47,15 +47,17 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
     df.write.parquet(path)
+    freed(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def dropped(*frames: DataFrame) -> None:
-    """Delete the files behind frames made by :func:`saved` that no later plan reads.
+def freed(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of finished plans, which it only does when the driver collects."""
+    spark._jvm.System.gc()
 
-    The hint to the JVM lets Spark's cleaner also free the shuffle files of finished plans, before the next round
-    writes its own.
-    """
+
+def dropped(*frames: DataFrame) -> None:
+    """Delete the files behind frames made by :func:`saved` that no later plan reads."""
     for df in frames:
         jvm = df.sparkSession._jvm
         conf = df.sparkSession._jsc.hadoopConfiguration()
@@ -63,5 +65,3 @@ def dropped(*frames: DataFrame) -> None:
             if "/meterline/" in folder:
                 path = jvm.org.apache.hadoop.fs.Path(folder)
                 path.getFileSystem(conf).delete(path, True)
-    if frames:
-        frames[0].sparkSession._jvm.System.gc()

@@ -35,7 +35,8 @@ STEP = 8
 CHUNK = 1 << 20
 _POWER = 0x9E3779B97F4A7C15
 _U = np.uint64
-_NODES = "id long, tie long, anchor long, lo long, hi long, core long, span long"
+#: ``place`` holds a node's first window start, and in its two low bytes how far the last one and the anchor are.
+_NODES = "id long, tie long, place long, core long, span long"
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -121,8 +122,9 @@ def _split_nodes(data: np.ndarray, nodes: np.ndarray, ranker: Ranker, length: in
 def _table(parts: list[tuple]) -> pa.RecordBatch:
     sizes = [len(p[2][0]) for p in parts]
     columns = [np.repeat(np.array([p[k] for p in parts], np.int64), sizes) for k in (0, 1)]
-    columns += [np.concatenate([p[2][k] for p in parts]).view(np.int64) for k in range(5)]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["id", "tie", "anchor", "lo", "hi", "core", "span"])
+    anchor, lo, hi, core, span = (np.concatenate([p[2][k] for p in parts]) for k in range(5))
+    columns += [lo << 16 | (hi - lo) << 8 | (anchor - lo), core.view(np.int64), span.view(np.int64)]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["id", "tie", "place", "core", "span"])
 
 
 def _flush(made: Iterator[tuple], rows: int = 200_000) -> Iterator[pa.RecordBatch]:
@@ -182,11 +184,15 @@ def split_nodes(texts: DataFrame, contested: DataFrame, length: int, step: int)
 
 def ranked(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(covered, contested)``: nodes whose windows all occur earlier, and first nodes to be told apart further."""
-    classes = nodes.groupBy("core", "span").agg(F.min(F.struct("id", "tie", "lo")).alias("first"), F.count(F.lit(1)).alias("n"))
+    classes = nodes.groupBy("core", "span").agg(F.min(F.struct("id", "tie", "place")).alias("first"), F.count(F.lit(1)).alias("n"))
     cores = classes.groupBy("core").agg(F.count(F.lit(1)).alias("spans"), F.sum("n").alias("total")).filter("total > 1")
     classes = classes.join(cores, "core").filter("n > 1 OR spans > 1").select("core", "span", "first", "spans")
-    seen = saved(nodes.join(classes, ["core", "span"]).select("id", "tie", "anchor", "lo", "hi", (F.struct("id", "tie", "lo") == F.col("first")).alias("is_first"), "spans"), "ranked_nodes")
-    return seen.filter("NOT is_first").select("id", "tie", "lo", "hi"), seen.filter("is_first AND spans > 1").select("id", "tie", "anchor", "lo", "hi").distinct()
+    # classes are distinct keys, so hashing them spares sorting the many nodes
+    seen = saved(nodes.join(classes.hint("shuffle_hash"), ["core", "span"]).select("id", "tie", "place", (F.struct("id", "tie", "place") == F.col("first")).alias("is_first"), "spans"), "ranked_nodes")
+    lo = F.shiftright("place", 16)
+    back = lambda bits: lo + F.shiftright("place", bits).bitwiseAND(F.lit(255).cast("long"))
+    first = seen.filter("is_first AND spans > 1").distinct()
+    return seen.filter("NOT is_first").select("id", "tie", lo.alias("lo"), back(8).alias("hi")), first.select("id", "tie", back(0).alias("anchor"), lo.alias("lo"), back(8).alias("hi"))
 
 
 def repeated_ranges(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, step: int = STEP) -> DataFrame:
@@ -195,9 +201,11 @@ def repeated_ranges(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, st
     ``texts(id, tie, text)`` has binary texts, equal ones where keys are equal; earlier is smaller ``(id, tie)``, or an earlier
     start in the same text.
     """
+    if length - gram > 255:
+        raise ValueError("at most 255 bytes may be longer than a gram")
     counts = anchor_nodes(texts, length, gram, True).groupBy("core").agg(F.count(F.lit(1)).alias("n"))
     repeated = saved(counts.filter("n > 1").select("core"), "repeated_cores")
-    nodes = saved(anchor_nodes(texts, length, gram).join(repeated, "core"), "anchor_nodes")
+    nodes = saved(anchor_nodes(texts, length, gram).join(repeated.hint("shuffle_hash"), "core"), "anchor_nodes")
     dropped(repeated)
     covered, contested = ranked(nodes)
     found = [covered]

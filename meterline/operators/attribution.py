@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from meterline.functions.records import FIELDS, capped_minus, total_or_max
+from meterline.functions.shared import computed
 
 
 def usage_delta(last: Column, total: Column, previous: Column) -> Column:
@@ -70,8 +71,9 @@ def attributed(events: DataFrame) -> DataFrame:
     rows = rows.withColumn("_legacy", F.last(sets, ignorenulls=True).over(so_far)["m"])
     counted = (kind == "usage") & ~F.col("is_invalid")
     previous = F.last(F.when(counted, F.col("total")), ignorenulls=True).over(before)
-    rows = rows.withColumn("usage", F.when(counted, usage_delta(F.col("last"), F.col("total"), previous)))
-    rows = rows.withColumn("usage", F.when(has_tokens(F.col("usage")), F.col("usage")))
+    rows = rows.withColumn("_previous", previous)
+    rows = computed(rows, _delta=F.when(counted, usage_delta(F.col("last"), F.col("total"), F.col("_previous"))))
+    rows = computed(rows, usage=F.when(has_tokens(F.col("_delta")), F.col("_delta"))).drop("_delta", "_previous")
     rows = rows.withColumn("for_model", F.when(F.col("usage").isNotNull(), F.coalesce("_active.model", "_legacy")))
     return rows.drop("_segment", "_opened", "_active", "_legacy")
 

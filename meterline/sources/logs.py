@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from meterline.functions import records as R
+from meterline.functions.shared import computed
 
 #: Longest line that is read; a fixed value of the log format.
 MAX_LINE = 16 * 1024 * 1024
@@ -37,7 +38,7 @@ def records(lines: DataFrame) -> DataFrame:
     """Lines with ``v`` (the JSON value as VARIANT, null if malformed), ``is_malformed`` and ``is_oversized``."""
     oversized = F.octet_length("raw") > MAX_LINE
     v = F.when(~oversized, R.parsed(F.col("raw")))
-    rows = lines.withColumn("v", v).withColumn("is_oversized", oversized)
+    rows = computed(lines, v=v, is_oversized=oversized)
     return rows.withColumn("is_malformed", ~F.col("is_oversized") & F.col("v").isNull()).drop("raw")
 
 
@@ -49,12 +50,21 @@ def log_events(rows: DataFrame) -> DataFrame:
     with an invalid ``last`` or ``total`` has ``is_invalid``.
     """
     v = F.col("v")
-    # small steps: what several columns need is read from the value once
-    read = rows.withColumn("_type", R.text_at(v, "$.type")).withColumn("_payload", R.at(v, "$.payload"))
-    payload = F.when(R.is_object(F.col("_payload")), F.col("_payload"))
-    read = read.withColumn("_payload", payload).withColumn("_event", F.when(F.col("_type") == "event_msg", R.text_at(F.col("_payload"), "$.type")))
-    info = F.when(F.col("_event") == "token_count", R.at(F.col("_payload"), "$.info"))
-    read = read.withColumn("_info", F.when(R.is_object(info), info))
+    payload = R.at(v, "$.payload")
+    read = computed(rows, _type=R.text_at(v, "$.type"), _payload=F.when(R.is_object(payload), payload), _stamp=R.text_at(v, "$.timestamp"), _has_time=R.at(v, "$.timestamp").isNotNull())
+    payload = F.col("_payload")
+    info = R.at(payload, "$.info")
+    read = computed(
+        read,
+        _event=F.when(F.col("_type") == "event_msg", R.text_at(payload, "$.type")),
+        _info=F.when(R.is_object(info), info),
+        _turn=R.text_at(payload, "$.turn_id"),
+        _event_turn=R.first_text(payload, "$.turn_id", "$.id"),
+        _model=R.text_at(payload, "$.model"),
+        _effort=R.first_text(payload, "$.effort", "$.reasoning_effort"),
+        at=R.rfc3339(F.col("_stamp")),
+    )
+    info = F.col("_info")
     event = F.col("_event")
     named = (
         F.when(F.col("is_oversized"), "oversized")
@@ -63,28 +73,25 @@ def log_events(rows: DataFrame) -> DataFrame:
         .when((F.col("_type") == "turn_context") & F.col("_payload").isNotNull(), "context")
         .when(event.isin(*STARTS), "start")
         .when(event.isin(*ENDS), "end")
-        .when(R.at(F.col("_info"), "$.last_token_usage").isNotNull(), "usage")
+        .when((event == "token_count") & R.at(info, "$.last_token_usage").isNotNull(), "usage")
     )
-    read = read.withColumn("kind", named).filter(F.col("kind").isNotNull())
-    read = read.withColumn("_last", R.usage_at(F.col("_info"), "$.last_token_usage")).withColumn("_total", R.usage_at(F.col("_info"), "$.total_token_usage"))
-    read = read.withColumn("_has_total", R.at(F.col("_info"), "$.total_token_usage").isNotNull())
-    read = read.withColumn("_stamp", R.text_at(v, "$.timestamp")).withColumn("at", R.rfc3339(F.col("_stamp"))).withColumn("_has_time", R.at(v, "$.timestamp").isNotNull())
-    kind, payload = F.col("kind"), F.col("_payload")
+    read = computed(read, kind=named, _last=R.usage_at(info, "$.last_token_usage"), _total=R.usage_at(info, "$.total_token_usage"), _has_total=R.at(info, "$.total_token_usage").isNotNull())
+    kind, used = F.col("kind"), F.col("kind") == "usage"
     context = lambda c: F.when(kind == "context", F.coalesce(c, F.lit("unknown")))
-    turn = F.when(kind == "context", R.text_at(payload, "$.turn_id")).when(kind.isin("start", "end"), R.first_text(payload, "$.turn_id", "$.id"))
-    return read.select(
+    turn = F.when(kind == "context", F.col("_turn")).when(kind.isin("start", "end"), F.col("_event_turn"))
+    return read.filter(kind.isNotNull()).select(
         "path",
         "line_no",
         "kind",
         turn.alias("turn_id"),
-        context(R.text_at(payload, "$.model")).alias("model"),
-        context(R.first_text(payload, "$.effort", "$.reasoning_effort")).alias("effort"),
+        context(F.col("_model")).alias("model"),
+        context(F.col("_effort")).alias("effort"),
         "at",
         F.when(F.col("at").isNotNull(), F.try_to_date(F.substring("_stamp", 1, 10))).alias("at_date"),
         (F.col("_has_time") & F.col("at").isNull()).alias("bad_time"),
-        R.as_usage(F.col("_last")).alias("last"),
-        R.as_usage(F.col("_total")).alias("total"),
-        ((kind == "usage") & (F.col("_last").isNull() | (F.col("_has_total") & F.col("_total").isNull()))).alias("is_invalid"),
+        F.when(used, R.as_usage(F.col("_last"))).alias("last"),
+        F.when(used, R.as_usage(F.col("_total"))).alias("total"),
+        (used & (F.col("_last").isNull() | (F.col("_has_total") & F.col("_total").isNull()))).alias("is_invalid"),
     )
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -38,23 +39,33 @@ class WordCachedTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.runs_of = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
+        self.model = self.tokenizer.model
+        # byte-level vocabularies show printable Latin-1 bytes as themselves, the others as characters from 256 on
+        plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+        self.shown = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in plain)}
         self.words, self.runs, self.most_words, self.most_runs = {}, {}, words, runs
 
     def _encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _word(self, word: str) -> bytes:
-        if not word.isascii():
-            # composition and case rules beyond ASCII are left to the tokenizer
-            return self._run(word)
-        return b"".join(map(self._run, self.runs_of(word.lower())))
+        if max(word) >= "\u0250":
+            return self._encode(word)  # composition and case rules beyond Latin letters are left to the tokenizer
+        low = word.lower()
+        if low.isalpha():
+            return self._run(low)
+        if low[:-1].isalpha():
+            return self._run(low[:-1]) + self._run(low[-1])
+        return b"".join(map(self._run, self.runs_of(low)))
 
     def _run(self, run: str) -> bytes:
         found = self.runs.get(run)
         if found is None:
             if len(self.runs) >= self.most_runs:
                 self.runs.clear()
-            found = self.runs[run] = self._encode(run)
+            # the model alone, on the characters that stand for the run's bytes
+            shown = run if run.isascii() else run.encode().decode("latin-1").translate(self.shown)
+            found = self.runs[run] = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
         return found
 
     def encode(self, text: str | None) -> bytes:
@@ -73,6 +84,12 @@ class WordCachedTokenizer:
         return b"".join(out)
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> WordCachedTokenizer:
+    """One tokenizer for each Python worker, kept with its caches from task to task."""
+    return WordCachedTokenizer(path)
+
+
 def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END, with_ids: bool = False) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32`` (and ``ids``) of every piece of every row; null text is empty.
 
@@ -82,7 +99,7 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: int = END
 
     @F.pandas_udf(f"array<struct<piece:int,start:long,length:long,ids_crc32:long{ids_type.replace(' ids ', 'ids:')}>>")
     def cut(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoder = WordCachedTokenizer(tokenizer)
+        encoder = _encoder(tokenizer)
         tail = np.array([end], "<u4").tobytes()
         for part in parts:
             out = []

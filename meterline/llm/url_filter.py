@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Terms that reject alone, and terms of which several different ones reject.
-STRICT = ("casino", "porn", "porno", "xxx", "viagra", "cialis", "poker", "escort", "escorts", "hentai", "nsfw", "warez", "jackpot", "roulette", "sexcam", "camgirls")
-SOFT = ("adult", "adults", "ads", "bet", "bets", "betting", "bonus", "cheap", "click", "coupon", "deal", "deals", "farm", "free", "loan", "loans", "nude", "pill", "pills", "prize", "promo", "sex", "sexy", "spam", "torrent", "win", "winner", "x")
+STRICT = ("adult", "casino", "porn", "porno", "xxx", "viagra", "cialis", "poker", "escort", "escorts", "hentai", "nsfw", "warez", "jackpot", "roulette", "sexcam", "camgirls")
+SOFT = ("adults", "ads", "bet", "bets", "betting", "bonus", "cheap", "click", "coupon", "deal", "deals", "farm", "free", "loan", "loans", "nude", "pill", "pills", "prize", "promo", "sex", "sexy", "spam", "torrent", "win", "winner")
 
 
 @dataclass(frozen=True)

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window as W
 
 from meterline.functions import formatting as X
 from meterline.functions import titles as T
-from meterline.functions.shared import shared_dir
+from meterline.functions.shared import shared_dir, stored
 from meterline.operators import aggregates as A
 from meterline.operators import attribution, selection, tree
 from meterline.plans import adapters, projects, report, titles
@@ -89,7 +89,7 @@ STAT_COLUMNS = ("path", "malformed_lines", "turns", "ended_turns", "seconds", "i
 
 @query(STATS)
 def rollout_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = attribution.rollout_stats(attribution.attributed(adapters.log_events(spark, sf_dir)))
+    rows = attribution.rollout_stats(stored(attribution.attributed(adapters.log_events(spark, sf_dir)), "attributed"))
     return rows.withColumn("seconds", F.round("seconds", 3)).select(*STAT_COLUMNS)
 
 
@@ -105,7 +105,7 @@ def jsonl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = spark.read.option("recursiveFileLookup", True).option("lineSep", "\n").text(folder)
     lines = found.select(F.regexp_extract("_metadata.file_path", "session=([^/]+)", 1).alias("path"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"), F.col("value").alias("raw"))
     lines = lines.withColumn("line_no", F.row_number().over(W.partitionBy("path").orderBy("file", "block", "place")).cast("long"))
-    rows = attribution.rollout_stats(attribution.attributed(logs.log_events(logs.records(lines.select("path", "line_no", "raw")))))
+    rows = attribution.rollout_stats(stored(attribution.attributed(logs.log_events(logs.records(lines.select("path", "line_no", "raw")))), "attributed"))
     return rows.withColumn("seconds", F.round("seconds", 3)).select(*STAT_COLUMNS)
 
 

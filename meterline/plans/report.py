@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterline.functions import formatting as X
 from meterline.functions.records import FIELDS, total_or_max
+from meterline.functions.shared import stored
 from meterline.operators import aggregates as A
 from meterline.operators import attribution, pricing, tree
 from meterline.sources import catalog as C
@@ -28,13 +30,18 @@ class Facts:
     ends: DataFrame  # id, model, seconds
     quality: DataFrame  # id, unattributed_tokens, is_incomplete
 
+    @cached_property
+    def measures(self) -> DataFrame:
+        """What reports sum, by session and model: aggregated and written once, then read by every part."""
+        return stored(_measures(self), "measures")
+
 
 def facts_of(rows: DataFrame, price_catalog: DataFrame) -> Facts:
-    """Facts from log records (``logs.records``) and a checked catalog."""
-    sessions = logs.newest_per_id(logs.rollouts(rows))
+    """Facts from log records (``logs.records``) and a checked catalog; the logs are read and parsed once each way."""
+    sessions = stored(logs.newest_per_id(logs.rollouts(rows)), "sessions")
     keys = sessions.select("path", "id")
     events = logs.log_events(logs.only_workset(rows, keys))
-    seen = attribution.attributed(events)
+    seen = stored(attribution.attributed(events), "attributed")
     keyed = lambda df: df.join(keys, "path").drop("path")
     usage = pricing.priced(attribution.usage_events(seen), C.price_points(price_catalog), C.proxies(price_catalog))
     return Facts(sessions.select("id", "parent_id", "kind", "cwd"), keyed(usage), keyed(attribution.turns(seen)), keyed(attribution.turn_ends(seen)), keyed(attribution.rollout_quality(seen)))
@@ -87,7 +94,7 @@ def _finished(sums: DataFrame, *keys: str) -> DataFrame:
 
 def stats(members: DataFrame, facts: Facts, *keys: str) -> DataFrame:
     """Totals by ``keys`` over ``members(*keys, id)``: one row for each key combination."""
-    rows = members.join(_measures(facts), "id")
+    rows = members.join(facts.measures, "id")
     sums = rows.groupBy(*keys).agg(*_sums())
     counts = rows.filter("turns IS NOT NULL").groupBy(*keys, "model", "effort").agg(F.sum("turns").alias("n"))
     most = counts.groupBy(*keys).agg(A.majority(F.struct("model", "effort"), F.col("n")).alias("majority"))
@@ -102,7 +109,7 @@ def stats(members: DataFrame, facts: Facts, *keys: str) -> DataFrame:
 
 def by_model(members: DataFrame, facts: Facts, *keys: str) -> DataFrame:
     """Totals by ``keys`` and model; a model's estimate depends on its own prices alone."""
-    sums = members.join(_measures(facts), "id").groupBy(*keys, "model").agg(*_sums())
+    sums = members.join(facts.measures, "id").groupBy(*keys, "model").agg(*_sums())
     known = A.dollars(F.col("cost"))
     return sums.select(*keys, "model", "turns", F.col("input").alias("input_tokens"), F.col("cache_write").alias("input_cache_write_tokens"), F.col("cached").alias("input_cache_read_tokens"), F.col("reasoning").alias("reasoning_tokens"), F.col("output").alias("output_tokens"), F.col("seconds").alias("total_turn_duration_seconds"), F.when(~F.col("partly_priced"), known).alias("estimated_cost_usd"), known.alias("known_model_cost_usd"))
 
@@ -116,7 +123,7 @@ def tree_report(facts: Facts, roots: DataFrame, scan: DataFrame | None = None, n
     """
     own = roots.join(facts.rollouts.select("id"), "id", "left_semi")
     links = facts.rollouts.select("id", "parent_id")
-    below = tree.closure(links, own)
+    below = stored(tree.closure(links, own), "members")
     members = below.select("root_id", F.col("member_id").alias("id"), "depth")
     flag, notes = F.lit(False), own.select(F.col("id").alias("root_id"), F.array().cast("array<string>").alias("incomplete_input_warnings"))
     if scan is not None:

@@ -51,7 +51,7 @@ def records(spark, **files):
 
 
 def stats(spark, *raws):
-    seen = attribution.attributed(logs.log_events(records(spark, f=raws)))
+    seen = attribution.attributed(logs.log_events(records(spark, f=raws))).cache()
     return attribution.rollout_stats(seen).first(), seen
 
 

@@ -21,6 +21,7 @@ from meterline.llm.kneser_ney import KneserNey, Letters, batches, letter_counts,
 PER_LANGUAGE = 1000
 MAX_CHARS = 20_000
 ORDER = 4
+MANY_LANGUAGES = 200
 UNKNOWN = "und"
 
 
@@ -44,7 +45,9 @@ def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, max_chars: int = M
     # ids first: ranking them moves no texts
     ids = able.select("doc_id", "lang").distinct()
     ids = smallest(ids, "lang", per_language)
-    return able.select("doc_id", "text", "lang").join(ids, ["doc_id", "lang"]).dropDuplicates(["doc_id", "lang"])
+    # so many languages at most that the ids are few; beyond, the join shuffles
+    few = able.select("lang").distinct().limit(MANY_LANGUAGES + 1).count() <= MANY_LANGUAGES
+    return able.select("doc_id", "text", "lang").join(F.broadcast(ids) if few else ids, ["doc_id", "lang"]).dropDuplicates(["doc_id", "lang"])
 
 
 def fit_models(rows: DataFrame, order: int = ORDER) -> KneserNey:

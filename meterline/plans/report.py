@@ -17,6 +17,7 @@ from meterline.sources import catalog as C
 from meterline.sources import logs
 
 USED = FIELDS[:5]
+#: Fixed value of the report format.
 BASIS = "standard API list pricing; per request/turn model; output includes reasoning"
 
 

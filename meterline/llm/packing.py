@@ -63,8 +63,8 @@ class WordCachedTokenizer:
         if found is None:
             if len(self.runs) >= self.most_runs:
                 self.runs.clear()
-            # the model alone, on the characters that stand for the run's bytes
-            shown = run if run.isascii() else run.encode().decode("latin-1").translate(self.shown)
+            # the model alone, on the characters that stand for the run's bytes; control bytes have no symbol of their own
+            shown = run if run.isascii() and run.isprintable() else run.encode().decode("latin-1").translate(self.shown)
             found = self.runs[run] = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
         return found
 

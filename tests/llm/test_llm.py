@@ -183,6 +183,13 @@ def test_word_cache_equals_tokenizer():
         assert t.encode(text) == np.array(t.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_word_cache_keeps_control_bytes():
+    t = packing.WordCachedTokenizer(queries.word_bpe())
+    for c in map(chr, range(256)):
+        for text in [c, c + c, f"a{c}b", f"foo{c}", f"{c}Bar", f"1{c}!", f"x {c} y", f"é{c}{c}ß"]:
+            assert t.encode(text) == np.array(t.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), ascii(text)
+
+
 # --- exact dedup
 
 

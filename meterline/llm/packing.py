@@ -37,7 +37,7 @@ class WordCachedTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.runs_of = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
         self.model = self.tokenizer.model
         # byte-level vocabularies show printable Latin-1 bytes as themselves, the others as characters from 256 on
@@ -72,6 +72,8 @@ class WordCachedTokenizer:
         known, out, text = self.words, [], text or ""
         if any(c in text for c in "\x1c\x1d\x1e\x1f"):
             return self._encode(text)  # split() takes these for white space, the tokenizer doesn't
+        if any(t in text for t in self.special):
+            return self._encode(text)  # literals of added tokens are one id each
         for w in text.split():
             ids = known.get(w)
             if ids is None:

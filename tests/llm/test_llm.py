@@ -190,6 +190,14 @@ def test_word_cache_keeps_control_bytes():
             assert t.encode(text) == np.array(t.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), ascii(text)
 
 
+def test_word_cache_equals_unaltered_tokenizer():
+    from tokenizers import Tokenizer
+
+    t, plain = packing.WordCachedTokenizer(queries.word_bpe()), Tokenizer.from_file(queries.word_bpe())
+    for text in ["end <|endoftext|> a", "a<|startoftext|>b\x00", "<|endoftext|><|endoftext|>", "<|ENDOFTEXT|> <|endoftext |>", "x\x1c<|endoftext|>", "E\u0301 <|endoftext|>\u0301"]:
+        assert t.encode(text) == np.array(plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), ascii(text)
+
+
 # --- exact dedup
 
 

@@ -23,6 +23,8 @@ LENGTH = 2048
 END = 0
 #: Mean number of pieces of a group; a group's only loss is its last sequences.
 GROUP = 40_000
+#: Equal pieces that are dealt together.
+CHUNK = 1_000
 
 
 class WordCachedTokenizer:
@@ -142,11 +144,16 @@ def sum_of_squares(sizes: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray,
 def pack(rows: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFrame:
     """Adds ``sequence_id, offset`` to pieces with a ``length`` of 1 to ``length``.
 
-    Pieces are dealt by hash to groups of about ``group`` rows whatever the input's size, so a group is bounded and
-    no key can be hot; the same input gives the same sequences.
+    Pieces are dealt by hash to groups of about ``group`` rows whatever the input's size.  Equal ones are counted
+    and dealt in chunks, so a group is bounded and no key can be hot; the same input gives the same sequences.
     """
     n = max(1, -(-rows.count() // group))
-    rows = rows.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(n)))
+    names, many = rows.columns, F.col("_n")
+    folded = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("_n"))
+    folded = folded.select(*names, "_n", F.explode(F.sequence(F.lit(0), F.floor((many - 1) / CHUNK).cast("int"))).alias("_chunk"))
+    place = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "_chunk"), F.lit(n)).alias("_group")
+    own = F.least(F.lit(CHUNK), many - F.col("_chunk").cast("long") * CHUNK).cast("int")
+    rows = folded.select(*names, place, F.explode(F.sequence(F.lit(1), own)).alias("_copy")).drop("_copy")
 
     def packed(key: tuple[pa.Scalar], t: pa.Table) -> pa.Table:
         t = t.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])

@@ -198,6 +198,17 @@ def test_word_cache_equals_unaltered_tokenizer():
         assert t.encode(text) == np.array(plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), ascii(text)
 
 
+def test_equal_pieces_are_dealt_to_many_groups(spark, monkeypatch):
+    monkeypatch.setattr(packing, "CHUNK", 10, raising=False)
+    made = [(None, 0, 0, 1, 7)] * 404 + [(k, 0, 0, 1 + k % 9, k) for k in range(400)]
+    given = spark.createDataFrame(made, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    packed = packing.pack(given, 16, 40)
+    got = packed.toPandas()
+    assert sorted(map(str, rows(packed.select(given.columns)))) == sorted(map(str, made))
+    assert (got["sequence_id"] // 2**32).value_counts().max() < 4 * 40
+    assert got.groupby("sequence_id")["length"].sum().max() <= 16
+
+
 # --- exact dedup
 
 

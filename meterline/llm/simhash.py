@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import combinations
 from math import comb, log2
 
@@ -81,8 +82,14 @@ class Partition:
 
     def masks(self, distance: int) -> np.ndarray:
         """All changes of at most so many bits."""
-        out = [sum(1 << k for k in c) for d in range(distance + 1) for c in combinations(range(len(self.bits)), d)]
-        return np.array(out, np.uint64)
+        return _masks(len(self.bits), distance)
+
+
+@lru_cache(maxsize=256)
+def _masks(bits: int, distance: int) -> np.ndarray:
+    """Made when a worker first needs them: wide partitions have many, and few fingerprints take large thresholds."""
+    out = [sum(1 << k for k in c) for d in range(distance + 1) for c in combinations(range(bits), d)]
+    return np.array(out, np.uint64)
 
 
 @dataclass(frozen=True)
@@ -170,8 +177,6 @@ def planned(fps: DataFrame, distance: int = DISTANCE, sample: int = SAMPLE) -> P
 
 def probes_of(plan: Plan):
     """UDF: the (partition, value) keys that a fingerprint looks up."""
-    masks = [[p.masks(t) for t in range(plan.distance + 2)] if len(p.bits) <= 24 else [p.masks(t) for t in range(min(plan.distance, 3) + 1)] for p in plan.partitions]
-
     @F.pandas_udf("array<struct<part:int,value:long>>")
     def probes(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
@@ -180,7 +185,7 @@ def probes_of(plan: Plan):
                 fps = part.to_numpy(np.int64)[at : at + 2000].view(np.uint64)
                 values, chosen = [p.value(fps) for p in plan.partitions], plan.thresholds(fps)
                 for k in range(len(fps)):
-                    out.append([(i, int(v)) for i, t in enumerate(chosen[k]) if t >= 0 for v in values[i][k] ^ masks[i][t]])
+                    out.append([(i, int(v)) for i, t in enumerate(chosen[k]) if t >= 0 for v in values[i][k] ^ plan.partitions[i].masks(int(t))])
             yield pd.Series(out)
 
     return probes

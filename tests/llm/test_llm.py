@@ -266,6 +266,18 @@ def test_links_equal_brute_force(spark, n):
         assert set(rows(simhash.links(df, plan))) == expected
 
 
+def test_links_of_two_parts_with_a_crowded_half(spark):
+    r = random.Random(9)
+    low = [r.getrandbits(32) for _ in range(12)]
+    fps = np.array(sorted({*low, *(x ^ 0b1111 for x in low[:4]), *(x ^ 0b11111 << 20 for x in low[4:8]), *(x | 7 << 40 for x in low[8:])}), np.uint64)
+    none = np.zeros(0, np.uint64)
+    parts = simhash.Partition(tuple(range(32)), none, none), simhash.Partition(tuple(range(32, 64)), np.zeros(1, np.uint64), np.array([0.9]))
+    plan = simhash.Plan(parts, 4, 170_000_000)
+    assert (plan.thresholds(fps) == [4, -1]).all(axis=1).any()
+    df = spark.createDataFrame(pd.DataFrame({"fp": fps.view(np.int64)}))
+    assert set(rows(simhash.links(df, plan))) == {(int(a), int(b)) for a in fps for b in fps if a < b and (int(a) ^ int(b)).bit_count() <= 4}
+
+
 def test_components_equal_union_find(spark):
     r = random.Random(3)
     pairs = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(k, k + 1) for k in range(1000, 1060)]

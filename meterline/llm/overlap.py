@@ -1,0 +1,163 @@
+"""Near copies by shared word shingles: all pairs of a least Jaccard similarity, by prefix filtering.
+
+Of two sets that are similar to ``percent``, each has one of the other's shingles among its own first
+``n - ceil(percent n / 100) + 1`` (``SHARED`` of them among ``SHARED - 1`` more), in whatever order all sets are read.  The order here takes shingles first that
+a sample of the texts shows rarely, which decides how many candidates there are but not what is found.  Every
+candidate is verified on the whole sets, so no pair is lost and none is linked that is less similar.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from meterline.llm.common import dropped, saved
+from meterline.llm.components import components
+from meterline.llm.simhash import hashes
+
+SHINGLE = 5
+#: Least Jaccard similarity of near copies, in percent.
+PERCENT = 80
+#: Shingles that a candidate pair has in common at the front of both sets, unless so few are needed in all.
+SHARED = 3
+#: Mean number of texts (those of small hash) in which shingles are counted, and the most that are called common.
+SAMPLE = 10_000
+COMMON = 1_000_000
+#: Rounds in which only one set of each shingle is compared with the others, while there are many pairs a row.
+ROUNDS, CROWDED = 8, 20
+
+
+def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct hashes of a text's shingles; none without words."""
+    parts = list(hashes(text, shingle))
+    return np.unique(np.concatenate(parts).astype(np.uint64).view(np.int64)) if parts else np.zeros(0, np.int64)
+
+
+def prefix(own: np.ndarray, common: np.ndarray, counts: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """The shingles of a set by which similar ones find it, rare ones first."""
+    seen = np.zeros(len(own), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, own), len(common) - 1)
+        seen = np.where(common[at] == own, counts[at], 0)
+    return own[np.lexsort((own, seen))][: len(own) + -percent * len(own) // 100 + SHARED]
+
+
+def _sets(shingle: int):
+    @F.pandas_udf("array<long>")
+    def sets(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in parts:
+            yield pd.Series([shingle_set(t, shingle) for t in part])
+
+    return sets
+
+
+def common_shingles(docs: DataFrame, shingle: int, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes and counts of the shingles that at least three texts of a sample have."""
+    part = docs.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 31)) < (sample << 31) // max(sample, docs.count()))
+    n = part.select(F.explode(_sets(shingle)("text")).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 2")
+    made = n.orderBy(F.desc("n"), "h").limit(COMMON).toArrow()
+    h, n = made["h"].to_numpy(), made["n"].to_numpy()
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def _signatures(shingle: int, percent: int, common: np.ndarray, counts: np.ndarray):
+    @F.pandas_udf("set long, size int, prefix array<long>")
+    def signatures(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        import xxhash
+
+        for part in parts:
+            own = [shingle_set(t, shingle) for t in part]
+            names = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in own], np.uint64).view(np.int64)
+            yield pd.DataFrame({"set": names, "size": np.array([len(s) for s in own], np.int32), "prefix": [prefix(s, common, counts, percent) for s in own]})
+
+    return signatures
+
+
+def _similar(percent: int):
+    @F.pandas_udf("boolean")
+    def similar(a: pd.Series, b: pd.Series) -> pd.Series:
+        both = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(a, b, strict=True)], np.int64)
+        return pd.Series(100 * both >= percent * (a.map(len).to_numpy(np.int64) + b.map(len).to_numpy(np.int64) - both))
+
+    return similar
+
+
+def _linked(docs: DataFrame, rows: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The pairs ``(a, b)`` of sets that are similar; whole sets are made of those in a pair alone."""
+    named = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
+    texts = saved(rows.join(named, "set").groupBy("set").agg(F.min("tie").alias("_tie")), "candidate_texts")
+    known = docs.select(F.xxhash64("text").alias("_tie"), "text").join(texts, "_tie").dropDuplicates(["set"])
+    known = saved(known.select("set", _sets(shingle)("text").alias("own")), "candidate_sets")
+    one, two = (known.select(F.col("set").alias(k), F.col("own").alias(f"own_{k}")) for k in ("a", "b"))
+    made = saved(pairs.join(one, "a").join(two, "b").filter(_similar(percent)("own_a", "own_b")).select("a", "b"), "overlap_links")
+    dropped(texts, known)
+    return made
+
+
+def _roots(docs: DataFrame, rows: DataFrame, members: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """``(node, root)`` of every set with a link, from all ``members(key, set, size)`` of shared shingles.
+
+    Pairs in one class already are not compared any more.  While keys are crowded, rounds compare one set of each
+    key with the others, which joins large groups of near copies; the last round compares all pairs that are left.
+    """
+    found = roots = None
+    sized = lambda x, y: (100 * F.least(x, y)) >= percent * F.greatest(x, y)
+    for turn in range(ROUNDS + 1):
+        here = members.withColumn("root", F.col("set"))
+        if roots is not None:
+            here = members.join(roots, F.col("set") == F.col("node"), "left").select("key", "set", "size", F.coalesce("root", "set").alias("root"))
+        here = saved(here, "members")
+        by_key = here.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"))
+        left, n = by_key.agg(F.sum((F.col("n") * F.col("n") - F.col("same")) / 2), F.sum("n")).first()
+        last = turn == ROUNDS or (left or 0) <= CROWDED * (n or 0)
+        if last:
+            other = here
+        else:
+            best = F.min_by(F.struct("set", "size", "root"), F.xxhash64("set", F.lit(turn)))
+            other = here.groupBy("key").agg(best.alias("x")).select("key", "x.*")
+        other = other.select("key", *(F.col(c).alias(f"{c}_2") for c in ("set", "size", "root")))
+        pairs = here.join(other, "key").filter((F.col("root") != F.col("root_2")) & sized(F.col("size"), F.col("size_2")))
+        # similar sets share so many of the keys; a round over one set of each key may miss some, the last one not
+        enough = F.least(F.lit(SHARED), F.ceil(F.least("size", "size_2") * percent / 100))
+        pairs = pairs.select(F.least("set", "set_2").alias("a"), F.greatest("set", "set_2").alias("b"), "key", enough.alias("enough")).distinct()
+        pairs = saved(pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.min("enough").alias("enough")).filter("n >= enough").select("a", "b"), "candidates")
+        links = _linked(docs, rows, pairs, shingle, percent)
+        found = links if found is None else found.unionByName(links)
+        roots = saved(components(found), "overlap_classes")
+        dropped(here, pairs)
+        if last:
+            return roots
+
+
+def _classes(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """``(doc_id, tie, set)`` of every row, where tie is a hash of the text, and ``(node, root)`` of sets with a link."""
+    signed = _signatures(shingle, percent, *common_shingles(docs, shingle))
+    rows = saved(docs.select("doc_id", F.xxhash64("text").alias("tie"), signed("text").alias("x")).select("doc_id", "tie", "x.*"), "shingle_prefixes")
+    keys, own = rows.select(F.explode("prefix").alias("key"), "set", "size"), Window.partitionBy("key")
+    shared = keys.withColumn("first", F.min("set").over(own)).withColumn("last", F.max("set").over(own)).filter("first <> last")
+    members = saved(shared.select("key", "set", "size").distinct(), "shared_shingles")
+    return rows.drop("prefix"), _roots(docs, rows, members, shingle, percent)
+
+
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """One document of each class, with all its columns: the one of smallest id (null last; ties by a text hash).
+
+    A class is what links of ``percent`` similarity or more reach.  Texts without words are one class; a text of
+    fewer words than a shingle has one shingle, all its words.  Repeated rows stay once; an empty table gives no rows.
+    """
+    rows, roots = _classes(docs, shingle, percent)
+    rows = rows.join(roots, F.col("set") == F.col("node"), "left").select("doc_id", "tie", F.coalesce("root", "set").alias("root"))
+    folded = saved(rows.groupBy("root", "doc_id", "tie").agg(F.count(F.lit(1)).alias("n")), "overlap_rows")
+    best = folded.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie")).alias("x"))
+    marked = folded.join(best, "root").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("x.doc_id")) & (F.col("tie") == F.col("x.tie")))
+    # few rows go or are repeated: naming them spares moving all texts
+    other = saved(marked.filter("NOT stays OR n > 1").select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), "stays"), "overlap_changes")
+    rows = docs.withColumn("_row", F.xxhash64("text"))
+    same: Column = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_tie"))
+    repeated = rows.join(other.filter("stays"), same, "left_semi").dropDuplicates(["doc_id", "_row"])
+    return rows.join(other, same, "left_anti").unionByName(repeated).drop("_row")

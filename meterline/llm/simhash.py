@@ -36,21 +36,27 @@ _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuv
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE, block: int = 200_000) -> int:
-    """SimHash of the whole text over XXH64 of its word shingles; 0 without words."""
+def hashes(text: str | None, shingle: int = SHINGLE, block: int = 200_000) -> Iterator[np.ndarray]:
+    """XXH64 of the word shingles of a whole text, in blocks; a text of fewer words is one shingle."""
     import xxhash
 
     words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()  # splits at x20 and x09-x0D
     if not words:
-        return 0
+        return
     joined = memoryview(b" ".join(words))
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(words) - shingle + 1)
     first, last = starts[:n].tolist(), ends[len(words) - n :].tolist()
-    counts = np.zeros((8, 8), np.int64)
     for at in range(0, n, block):
-        h = np.array([xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(first[at : at + block], last[at : at + block], strict=True)], ">u8")
+        yield np.array([xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(first[at : at + block], last[at : at + block], strict=True)], ">u8")
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE, block: int = 200_000) -> int:
+    """SimHash of the whole text over XXH64 of its word shingles; 0 without words."""
+    counts, n = np.zeros((8, 8), np.int64), 0
+    for h in hashes(text, shingle, block):
+        n += len(h)
         for k, column in enumerate(h.view(np.uint8).reshape(-1, 8).T):
             counts[k] += np.bincount(column, minlength=256) @ _BITS
     return int.from_bytes(np.packbits(2 * counts.reshape(64) > n).tobytes(), "big")

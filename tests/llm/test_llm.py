@@ -10,7 +10,7 @@ import pytest
 from oracle import SF_DIR, available, compare
 from pyspark.sql import functions as F
 
-from meterline.llm import exact_dedup, kneser_ney, language_id, mixing, packing, preference, quality_rules, queries, simhash, substring_dedup, toxicity, url_filter
+from meterline.llm import exact_dedup, kneser_ney, language_id, mixing, overlap, packing, preference, quality_rules, queries, simhash, substring_dedup, toxicity, url_filter
 from meterline.llm.components import components
 
 needs_tables = pytest.mark.skipif(not available(), reason="driver tables are absent")
@@ -304,6 +304,47 @@ def test_near_edges(edges, nothing):
     assert kept["doc_id"].notna().all() and len(kept) == got["component_id"].nunique()
 
 
+# --- shingle overlap
+
+
+@pytest.mark.parametrize("crowded", [0, overlap.CROWDED])
+def test_overlap_equals_brute_force(spark, edges, nothing, monkeypatch, crowded):
+    monkeypatch.setattr(overlap, "CROWDED", crowded)
+    monkeypatch.setattr(overlap, "ROUNDS", 1)
+    r = random.Random(8)
+    words = [f"w{k}" for k in range(500)]
+    common = [r.choice(words) for _ in range(25)]
+    made = [[r.choice(words) for _ in range(r.randrange(30, 120))] + common * (k % 2) for k in range(30)]
+    for k in range(150):
+        text = list(made[r.randrange(6) if k < 90 else r.randrange(30)])
+        for _ in range(r.randrange(0, 5)):
+            text[r.randrange(len(text))] = r.choice(words)
+        made.append(text[: len(text) - r.randrange(6)])
+    texts = [(k, " ".join(t)) for k, t in enumerate(made)]
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in made]
+    close = [(a, b) for b in range(len(made)) for a in range(b) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    # near copies that four bits of a fingerprint tell apart
+    assert sum((simhash.fingerprint(texts[a][1]) ^ simhash.fingerprint(texts[b][1])).bit_count() > 4 for a, b in close) > 20
+    root = list(range(len(made)))
+    for _ in made:
+        for a, b in close:
+            root[a] = root[b] = min(root[a], root[b])
+    kept = overlap.one_of_each(spark.createDataFrame(texts, "doc_id long, text string"))
+    assert sorted(rows(kept)) == [t for k, t in enumerate(texts) if root[k] == k]
+    assert overlap.one_of_each(nothing).count() == 0
+    kept = overlap.one_of_each(edges)
+    assert sorted(map(str, kept.toPandas()["doc_id"])) == ["1", "3", "6", "8", "9"] and kept.columns == edges.columns
+
+
+def test_pipeline_near_stage_catches_four_fifths(spark):
+    import corpus_pipeline
+
+    a = [f"w{k}" for k in range(100)]
+    b, c = a[:92] + [f"x{k}" for k in range(8)], a[:80] + [f"y{k}" for k in range(20)]
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate([a, b, c])], "doc_id long, text string")
+    assert {x[0] for x in rows(corpus_pipeline.near(spark, docs, ""))} == {0, 2}
+
+
 # --- URL filter
 
 

@@ -1,17 +1,19 @@
 """Interpolated Kneser-Ney character models, one for each class, over shared sorted hash arrays.
 
-A text becomes 8-bit symbols: runs of non-letters are one blank, the letters of the training sample have numbers
-of their own, any other letter is ``OTHER``.  An n-gram is the integer of its symbols.
+A text becomes 16-bit symbols, the UTF-16 units of its lower-case letters, so that letters of every script have symbols
+of their own; runs of anything else are one blank.  An n-gram of up to four symbols is the integer of its symbols.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterable, Sequence
+from functools import cache
 
 import numpy as np
 
-BLANK, OTHER, START, FIRST = 0, 1, 2, 3
+#: Bits of a symbol, and the symbols that are no letters (the second is no character).
+BITS = 16
+BLANK, START = 0x20, 0xFFFF
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -49,46 +51,46 @@ class HashArray:
         return found
 
 
-class Letters:
-    """The symbol of every code point, learned from letter counts."""
+def _units(c: str) -> list[int]:
+    """UTF-16 units of a character's lower-case letter; a blank if it is no letter."""
+    if not c.isalpha():
+        return [BLANK]
+    return np.frombuffer(c.lower()[0].encode("utf-16-le", "surrogatepass"), np.uint16).tolist()
 
-    def __init__(self, counts: dict[str, int], most: int = 250):
-        kept = sorted(counts, key=lambda c: (-counts[c], c))[:most]
-        known = {c: k + FIRST for k, c in enumerate(kept)}
-        self.low = np.array([self.symbol(chr(c), known) for c in range(0x3000)], np.uint8)
-        self.known = known
 
-    @staticmethod
-    def symbol(c: str, known: dict[str, int]) -> int:
-        return known.get(c.lower()[:1], OTHER) if c.isalpha() else BLANK
+@cache
+def _table() -> np.ndarray:
+    """The symbols of the code points below 65,536."""
+    return np.array([_units(chr(c))[0] for c in range(1 << 16)], np.uint16)
 
-    def encode(self, text: str) -> np.ndarray:
-        """Symbols of a text, runs of blanks as one."""
-        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        out = self.low[np.minimum(points, len(self.low) - 1)]
-        for i in np.flatnonzero(points >= len(self.low)):
-            out[i] = self.symbol(chr(points[i]), self.known)
-        blank = out == BLANK
-        blank[1:] &= blank[:-1].copy()
-        blank[:1] = False
-        return out[~blank]
 
-
-def letter_counts(texts: Iterable[str]) -> Counter:
-    found: Counter = Counter()
-    for t in texts:
-        found.update(t.lower())
-    return Counter({c: n for c, n in found.items() if c.isalpha()})
+def encode(text: str) -> np.ndarray:
+    """Symbols of a whole text, runs of blanks as one, none in front."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    out = _table()[np.minimum(points, (1 << 16) - 1)]
+    high = np.flatnonzero(points >> 16)
+    if len(high):
+        kinds, which = np.unique(points[high], return_inverse=True)
+        units = [_units(chr(c)) for c in kinds]
+        out[high] = np.array([u[0] for u in units], np.uint16)[which]
+        # letters beyond 65,535 have a second unit, put in behind the first
+        second = np.array([u[1] if len(u) > 1 else BLANK for u in units], np.uint16)[which]
+        two = second != BLANK
+        out = np.insert(out, high[two] + 1, second[two])
+    blank = out == BLANK
+    blank[1:] &= blank[:-1].copy()
+    blank[:1] = out[:1] == BLANK
+    return out[~blank]
 
 
 def ngrams(symbols: Sequence[np.ndarray], order: int) -> tuple[np.ndarray, np.ndarray]:
     """Codes of all n-grams of several texts, each led in by START symbols, and where each text's codes begin."""
-    lead = np.full(order - 1, START, np.uint8)
+    lead = np.full(order - 1, START, np.uint16)
     parts = [x for s in symbols for x in (lead, s)]
     flat = np.concatenate(parts).astype(np.uint64) if parts else np.zeros(0, np.uint64)
     code = flat.copy()
     for k in range(1, order):
-        code[k:] |= flat[:-k] << np.uint64(8 * k)
+        code[k:] |= flat[:-k] << np.uint64(BITS * k)
     lengths = np.array([len(s) for s in symbols], np.int64)
     ends = np.cumsum(lengths + order - 1)
     inside = np.ones(len(flat), bool)
@@ -97,6 +99,16 @@ def ngrams(symbols: Sequence[np.ndarray], order: int) -> tuple[np.ndarray, np.nd
     return code[inside], np.concatenate(([0], np.cumsum(lengths)))[:-1]
 
 
+def suffix(codes: np.ndarray, n: int) -> np.ndarray:
+    """The last ``n`` symbols of n-grams."""
+    return codes & np.uint64((1 << BITS * n) - 1)
+
+
+def context(codes: np.ndarray) -> np.ndarray:
+    """All symbols of n-grams but the last."""
+    return codes >> np.uint64(BITS)
+
+
 class _Level:
     """Discounted counts of one order of one class."""
 
@@ -105,14 +117,14 @@ class _Level:
         self.counts = counts[self.index.order].astype(np.float64)
         n1, n2 = (counts == 1).sum(), (counts == 2).sum()
         self.discount = min(max(n1 / (n1 + 2 * n2), 0.1), 0.9) if n1 else 0.5
-        context, inverse = np.unique(codes >> np.uint64(8), return_inverse=True)
-        self.context = HashArray(context)
-        self.total = np.bincount(inverse, counts, len(context))[self.context.order]
-        self.types = np.bincount(inverse, minlength=len(context))[self.context.order]
+        before, inverse = np.unique(context(codes), return_inverse=True)
+        self.context = HashArray(before)
+        self.total = np.bincount(inverse, counts, len(before))[self.context.order]
+        self.types = np.bincount(inverse, minlength=len(before))[self.context.order]
 
     def parts(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Discounted probability, and weight of the order below."""
-        at, ctx = self.index.find(codes), self.context.find(codes >> np.uint64(8))
+        at, ctx = self.index.find(codes), self.context.find(context(codes))
         if not len(self.counts):
             return np.zeros(len(codes)), np.ones(len(codes))
         total = np.where(ctx >= 0, self.total[ctx], 1.0)
@@ -121,10 +133,18 @@ class _Level:
 
 
 class KneserNey:
-    """Models of all classes: ``cross_entropy`` gives nats a symbol of each text under each class."""
+    """Models of all classes: ``cross_entropy`` gives nats a symbol of each text under each class.
+
+    ``counts`` has the n-grams of each class, as codes with their counts.  Tables of log probabilities are kept for
+    ``GROUP`` classes at a time, over the n-grams that those have, so that they grow with the n-grams alone.
+    """
+
+    GROUP = 16
 
-    def __init__(self, letters: Letters, counts: dict[str, tuple[np.ndarray, np.ndarray]], order: int):
-        self.letters, self.order, self.classes = letters, order, sorted(counts)
+    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]], order: int):
+        if not 1 <= order <= 64 // BITS:
+            raise ValueError(f"order must be 1 to {64 // BITS}")
+        self.order, self.classes = order, sorted(counts)
         self.levels = []
         for name in self.classes:
             codes, n = counts[name]
@@ -132,39 +152,44 @@ class KneserNey:
             levels = [_Level(codes, np.asarray(n))]
             for k in range(order - 1, 0, -1):
                 # below the top, a gram counts the different symbols seen before it
-                codes, n = np.unique(codes & np.uint64((1 << 8 * k) - 1), return_counts=True)
+                codes, n = np.unique(suffix(codes, k), return_counts=True)
                 levels.append(_Level(codes, n))
             self.levels.append(levels[::-1])
-        every = np.unique(np.concatenate([counts[c][0] for c in self.classes]).astype(np.uint64)) if self.classes else np.zeros(0, np.uint64)
-        self.index = HashArray(every)
-        self.table = self._log_p(every)[self.index.order]
-
-    def _log_p(self, codes: np.ndarray) -> np.ndarray:
-        """Log probabilities, a column for each class, by the full recursion."""
-        out = np.empty((len(codes), len(self.classes)), np.float32)
-        for k, levels in enumerate(self.levels):
-            p = np.full(len(codes), 1 / 256)
+        self.tables = []
+        for at in range(0, len(self.classes), self.GROUP):
+            own = slice(at, min(at + self.GROUP, len(self.classes)))
+            every = np.unique(np.concatenate([counts[c][0] for c in self.classes[own]]).astype(np.uint64))
+            index = HashArray(every)
+            self.tables.append((own, index, self.log_p(every, own)[index.order]))
+
+    def log_p(self, codes: np.ndarray, own: slice = slice(None)) -> np.ndarray:
+        """Log probabilities of the last symbols, a column for each class, by the full recursion."""
+        levels_of = self.levels[own]
+        out = np.empty((len(codes), len(levels_of)), np.float32)
+        for k, levels in enumerate(levels_of):
+            p = np.full(len(codes), 2.0**-BITS)
             for n, level in enumerate(levels, 1):
-                own, below = level.parts(codes & np.uint64((1 << 8 * n) - 1))
-                p = own + below * p
+                seen, below = level.parts(suffix(codes, n))
+                p = seen + below * p
             out[:, k] = np.log(p)
         return out
 
     def cross_entropy(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """Nats a symbol (a row for each text, a column for each class) and symbols of each text."""
-        symbols = [self.letters.encode(t) for t in texts]
+        symbols = [encode(t) for t in texts]
         lengths = np.array([len(s) for s in symbols], np.int64)
         out = np.zeros((len(texts), len(self.classes)))
         some = np.flatnonzero(lengths)
         if len(some):
             codes, starts = ngrams([symbols[i] for i in some], self.order)
-            at = self.index.find(codes)
-            logs = self.table[at]
-            missing = np.flatnonzero(at < 0)
-            if len(missing):
-                new, inverse = np.unique(codes[missing], return_inverse=True)
-                logs[missing] = self._log_p(new)[inverse]
-            out[some] = -np.add.reduceat(logs, starts, axis=0, dtype=np.float64) / lengths[some, None]
+            for own, index, table in self.tables:
+                at = index.find(codes)
+                logs = table[at]
+                missing = np.flatnonzero(at < 0)
+                if len(missing):
+                    new, inverse = np.unique(codes[missing], return_inverse=True)
+                    logs[missing] = self.log_p(new, own)[inverse]
+                out[some, own] = -np.add.reduceat(logs, starts, axis=0, dtype=np.float64) / lengths[some, None]
         return out, lengths
 
 

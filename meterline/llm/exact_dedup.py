@@ -1,7 +1,8 @@
 """Exact dedup by a persistent digest index, bucketed and sorted by hash.
 
-The index is a table ``(text_sha256, keep_id)`` written with ``bucketBy(...).sortBy(...)`` on the digest, so
-adding a batch anti-joins the batch's own distinct digests with it by sort-merge, without shuffling the index.
+The index is a table ``(text_sha256, keep_id)`` written with ``bucketBy(...).sortBy(...)`` on the digest, so adding a
+batch anti-joins the batch's own distinct digests with it by sort-merge, without shuffling the index, and appends what
+is new.  A corpus is added in parts of falling ids, so that the first copy that the index sees is the one that stays.
 """
 
 from __future__ import annotations
@@ -11,10 +12,14 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterline.llm.common import saved
+from meterline.llm.common import dropped, numbered_copies, saved, shuffles_deleted
 
-#: Buckets of an index table; a production index takes about one bucket for each 10 million digests.
-BUCKETS = 32
+#: Mean number of digests of one bucket, and the fewest buckets of an index.
+PER_BUCKET = 2_000_000
+LEAST_BUCKETS = 8
+#: Parts in which a corpus is added, and the ids (those of smallest hash) from which their bounds are taken.
+PARTS = 3
+SAMPLE = 1_000
 
 
 def digest(text: Column) -> Column:
@@ -25,38 +30,53 @@ def digest(text: Column) -> Column:
 class DigestIndex:
     """Index of the texts seen so far: one row for each distinct text.
 
-    ``add(docs)`` deduplicates a batch of ``(doc_id, text)`` against the index and itself and appends what is new.
-    A text already in the index keeps its recorded ``keep_id``; among equal texts of one batch the largest
+    ``add(rows)`` deduplicates a batch of ``(text_sha256, doc_id)`` against the index and itself and appends what is
+    new.  A text already in the index keeps its recorded ``keep_id``; among equal texts of one batch the largest
     ``doc_id`` stays (null only if no copy has an id).  Appending the same batch twice adds nothing, so a failed
-    ``add`` can be repeated.
+    ``add`` can be repeated.  ``buckets`` is only read when the table is made.
     """
 
-    def __init__(self, spark: SparkSession, name: str, buckets: int = BUCKETS):
+    def __init__(self, spark: SparkSession, name: str, buckets: int = LEAST_BUCKETS):
         self.spark, self.name, self.buckets = spark, name, buckets
 
+    @classmethod
+    def sized(cls, spark: SparkSession, name: str, digests: int) -> DigestIndex:
+        """An index with buckets for so many digests."""
+        return cls(spark, name, max(LEAST_BUCKETS, -(-digests // PER_BUCKET)))
+
     def exists(self) -> bool:
         return self.spark.catalog.tableExists(self.name)
 
     def frame(self) -> DataFrame:
         return self.spark.table(self.name)
 
-    def add(self, rows: DataFrame) -> DataFrame:
-        """Append the new texts of a batch ``(text_sha256, doc_id)``; return ``(text_sha256, keep_id)`` of all its texts."""
+    def add(self, rows: DataFrame) -> None:
+        """Append the new texts of a batch ``(text_sha256, doc_id)``."""
         # partial aggregation folds a hot group of copies before the shuffle
-        own = saved(rows.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id")), "digests")
-        fresh = own
+        fresh = rows.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"))
         if self.exists():
-            fresh = own.join(self.frame().hint("merge"), "text_sha256", "left_anti")
-        (
-            fresh.repartition(self.buckets, "text_sha256")
-            .write.mode("append")
-            .format("parquet")
-            .bucketBy(self.buckets, "text_sha256")
-            .sortBy("text_sha256")
-            .saveAsTable(self.name)
-        )
+            fresh = fresh.join(self.frame().hint("merge"), "text_sha256", "left_anti")
+        with shuffles_deleted(self.spark):
+            (
+                fresh.repartition(self.buckets, "text_sha256")
+                .write.mode("append")
+                .format("parquet")
+                .bucketBy(self.buckets, "text_sha256")
+                .sortBy("text_sha256")
+                .saveAsTable(self.name)
+            )
         self.spark.catalog.refreshTable(self.name)
-        return own.select("text_sha256").join(self.frame().hint("merge"), "text_sha256")
+
+    def add_corpus(self, rows: DataFrame, parts: int = PARTS) -> None:
+        """Add ``rows`` in parts of falling ids (without id last), so that of equal texts the largest id stays."""
+        some = rows.filter("doc_id IS NOT NULL").select("doc_id").orderBy(F.xxhash64("doc_id")).limit(SAMPLE)
+        ids = sorted(r[0] for r in some.collect())
+        bounds = sorted({ids[len(ids) * k // parts] for k in range(1, parts)}, reverse=True) if ids else []
+        id_, above = F.col("doc_id"), F.lit(False)
+        for bound in bounds:
+            self.add(rows.filter((id_ >= F.lit(bound)) & ~above))
+            above = id_ >= F.lit(bound)
+        self.add(rows.filter(~F.coalesce(above, F.lit(False))))
 
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
@@ -67,46 +87,48 @@ def digested(docs: DataFrame) -> DataFrame:
     return saved(docs.select("doc_id", digest(F.col("text")).alias("text_sha256")), "digest_rows")
 
 
+def _indexed(docs: DataFrame, index: DigestIndex | None) -> tuple[DataFrame, DigestIndex]:
+    """The digests of the rows, and the index that now has them: a new one if none is given."""
+    rows = digested(docs)
+    if index is None:
+        index = DigestIndex.sized(docs.sparkSession, f"digest_index_{uuid.uuid4().hex}", rows.count())
+    index.add_corpus(rows)
+    return rows, index
+
+
 def exact_dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     """One row for each input row: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
-    ``group_size`` counts the batch's rows with that text.  Null text equals the empty text; extra columns are
-    ignored.  Where the row that stays occurs more than once (same id, same text), one of the rows is kept.
-    Null ids lose to any id; a group of null ids only keeps one row.  An empty table gives no rows.  Without an
-    ``index``, a new one is made for this batch alone; with one, no row of a text that it already had is kept
+    ``group_size`` counts the given rows with that text.  Null text equals the empty text; texts are read whole; extra
+    columns are ignored.  Where the row that stays occurs more than once (same id, same text), one of the rows is
+    kept.  Null ids lose to any id; a group of null ids only keeps one row.  An empty table gives no rows.  Without
+    an ``index``, a new one is made for these rows alone; with one, no row of a text that it already had is kept
     unless the row is the one recorded there.
     """
-    own = index is None
-    index = index or DigestIndex(docs.sparkSession, f"digest_index_{uuid.uuid4().hex}")
-    rows = digested(docs)
+    rows, used = _indexed(docs, index)
     sizes = rows.groupBy("text_sha256").agg(F.count(F.lit(1)).alias("group_size"))
-    classes = saved(index.add(rows).join(sizes, "text_sha256"), "digest_classes")
-    if own:
-        index.drop()
+    classes = saved(sizes.join(used.frame().hint("merge"), "text_sha256"), "digest_classes")
+    if index is None:
+        used.drop()
     # equal rows fold to one with a count, so that exactly one of them can be kept
     folded = rows.groupBy("text_sha256", "doc_id").agg(F.count(F.lit(1)).alias("n"))
-    return (
-        folded.join(classes, "text_sha256")
-        .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
-        .select(
-            "doc_id",
-            "keep_id",
-            "group_size",
-            (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"),
-            "text_sha256",
-        )
-    )
+    stays = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)
+    each = numbered_copies(folded.join(classes, "text_sha256"), "n", "copy")
+    return each.select("doc_id", "keep_id", "group_size", stays.alias("kept"), "text_sha256")
 
 
 def drop_copies(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
-    """The documents that stay, with all their columns: one row for each distinct text."""
-    own = index is None
-    index = index or DigestIndex(docs.sparkSession, f"digest_index_{uuid.uuid4().hex}")
-    winners = saved(index.add(digested(docs)), "digest_winners")
-    if own:
-        index.drop()
-    stays = winners.select(F.col("text_sha256").alias("_win"), F.col("keep_id").alias("_keep"))
-    kept = docs.withColumn("_sha", digest(F.col("text")))
-    kept = kept.join(stays, (F.col("_sha") == F.col("_win")) & F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
+    """The documents that stay, with all their columns: one row for each distinct text.
+
+    Columns of any name pass through; the rest is as in :func:`exact_dedup`.
+    """
+    rows, used = _indexed(docs, index)
+    winners = used.frame() if index is None else used.frame().join(rows.select("text_sha256"), "text_sha256", "left_semi")
+    winners = saved(winners, "digest_winners")
+    dropped(rows)
+    if index is None:
+        used.drop()
+    held = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").alias("id"), digest(F.col("text")).alias("sha"))
+    same = (F.col("sha") == F.col("text_sha256")) & F.col("id").eqNullSafe(F.col("keep_id"))
     # only rows with equal id and text are left to fold; no other rows share a group
-    return kept.dropDuplicates(["doc_id", "_sha"]).drop("_sha")
+    return held.join(winners, same, "left_semi").dropDuplicates(["id", "sha"]).select("doc.*")

@@ -20,7 +20,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return sent.filter("u > v").distinct()
 
 
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """``(node, root)`` for every node with a link; root is the smallest node of its component.
 
     ``links`` has two columns of node numbers.  Rounds grow with the logarithm of the longest chain; each one is
@@ -29,7 +29,7 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     a, b = links.columns
     edges = saved(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u > v").distinct(), "edges")
     seen = None
-    for _ in range(max_rounds):
+    while True:
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if tuple(state) == seen or not state[0]:
             break
@@ -37,6 +37,4 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         old, half = edges, _star(edges, True)
         edges = saved(_star(half, False), "edges")
         dropped(old)
-    else:
-        raise RuntimeError(f"no fixed point after {max_rounds} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

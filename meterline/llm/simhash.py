@@ -3,16 +3,17 @@
 The 64 bits are cut into m partitions.  If a fingerprint has thresholds t_1..t_m, each -1 or more, with sum
 (distance - m + 1), then whatever is within ``distance`` of it is within t_i of it in some partition i.  Correlated
 bits share a partition, and a dynamic program gives each fingerprint the thresholds of its smallest estimated
-number of candidates, so that fingerprints in a crowded part of one partition search in the others.
+cost in probes and candidates, so that fingerprints in a crowded part of one partition search in the others.  The
+same estimate chooses m.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import combinations
-from math import comb, log2
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -30,8 +31,13 @@ SEED = 42
 SAMPLE = 20_000
 #: Crowded values of a partition that the estimates tell apart; all others count as evenly spread.
 CROWDED = 128
-#: Mean number of fingerprints of one partition value; with more fingerprints, partitions get wider.
-PER_VALUE = 64
+#: Estimated cost of one probe, which is shuffled, in candidates, which are only compared.
+PROBE = 30
+#: Most probes of one partition; larger thresholds are never planned, and the others make up for them.
+MOST_PROBES = 1 << 20
+#: Rounds that follow one pair of each fingerprint while there are more pairs than so many a fingerprint, which is
+#: estimated from one fingerprint in ``SEEN``.  They decide how pairs are written, not which classes come out.
+ROUNDS, MANY, SEEN = 6, 20, 64
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
@@ -49,13 +55,19 @@ def hashes(text: str | None, shingle: int = SHINGLE, block: int = 200_000) -> It
     n = max(1, len(words) - shingle + 1)
     first, last = starts[:n].tolist(), ends[len(words) - n :].tolist()
     for at in range(0, n, block):
-        yield np.array([xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(first[at : at + block], last[at : at + block], strict=True)], ">u8")
+        ends = zip(first[at : at + block], last[at : at + block], strict=True)
+        yield np.array([xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in ends], ">u8")
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, block: int = 200_000) -> int:
     """SimHash of the whole text over XXH64 of its word shingles; 0 without words."""
+    return majority_bits(hashes(text, shingle, block))
+
+
+def majority_bits(blocks: Iterable[np.ndarray]) -> int:
+    """The bits set in over half of big-endian 64-bit hashes."""
     counts, n = np.zeros((8, 8), np.int64), 0
-    for h in hashes(text, shingle, block):
+    for h in blocks:
         n += len(h)
         for k, column in enumerate(h.view(np.uint8).reshape(-1, 8).T):
             counts[k] += np.bincount(column, minlength=256) @ _BITS
@@ -98,6 +110,10 @@ def _masks(bits: int, distance: int) -> np.ndarray:
     return np.array(out, np.uint64)
 
 
+def _ball(bits: int, distance: int) -> int:
+    return sum(comb(bits, d) for d in range(distance + 1))
+
+
 @dataclass(frozen=True)
 class Plan:
     """Partitions and, for the number of fingerprints, how candidates are estimated."""
@@ -106,25 +122,45 @@ class Plan:
     distance: int
     n: int
 
+    def keys(self, fps: np.ndarray, thresholds: np.ndarray) -> np.ndarray:
+        """The keys that fingerprints of equal thresholds look up, a row for each."""
+        out = [np.zeros((len(fps), 0), np.uint64)]
+        for i, (p, t) in enumerate(zip(self.partitions, thresholds, strict=True)):
+            if t >= 0:
+                out.append((p.value(fps)[:, None] ^ p.masks(int(t))[None, :]) + np.uint64(i << 40))
+        return np.concatenate(out, axis=1).view(np.int64)
+
     @property
     def spare(self) -> int:
         return self.distance - len(self.partitions) + 1
 
+    @property
+    def possible(self) -> bool:
+        """Whether thresholds of at most ``MOST_PROBES`` probes each add up to what the distance needs."""
+        most = [max(t for t in range(self.distance + 1) if _ball(len(p.bits), t) <= MOST_PROBES) for p in self.partitions]
+        return sum(most) >= self.spare
+
     def costs(self, fps: np.ndarray) -> np.ndarray:
-        """Estimated probes and candidates, by partition, threshold (from -1) and fingerprint."""
-        top = self.spare + len(self.partitions) - 1
-        out = np.zeros((len(self.partitions), top + 2, len(fps)))
+        """Estimated cost of probes and candidates, by partition, threshold (from -1) and fingerprint."""
+        out = np.zeros((len(self.partitions), self.distance + 2, len(fps)))
         for i, p in enumerate(self.partitions):
             far = np.bitwise_count(p.value(fps)[:, None] ^ p.crowded[None, :])
             even = (1 - p.shares.sum()) * self.n / 2.0 ** len(p.bits)
-            ball = 0
-            for t in range(top + 1):
-                ball += comb(len(p.bits), t)
-                out[i, t + 1] = ball + ball * even + ((far <= t) * p.shares).sum(axis=1) * self.n
+            for t in range(self.distance + 1):
+                ball = _ball(len(p.bits), t)
+                hot = ((far <= t) * p.shares).sum(axis=1) * self.n
+                out[i, t + 1] = ball * (PROBE + even) + hot if ball <= MOST_PROBES else np.inf
         return out
 
     def thresholds(self, fps: np.ndarray) -> np.ndarray:
         """The thresholds of least estimated cost for each fingerprint, by dynamic programming over partitions."""
+        return self._best(fps)[0]
+
+    def estimate(self, fps: np.ndarray) -> float:
+        """Mean cost of a fingerprint at its best thresholds."""
+        return float(self._best(fps)[1].mean()) if len(fps) else 0.0
+
+    def _best(self, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         cost, m = self.costs(fps), len(self.partitions)
         # thresholds count from -1, so m of them with sum `spare` are m numbers from 0 with sum `distance + 1`
         total = self.spare + m
@@ -132,7 +168,9 @@ class Plan:
         best[0] = 0
         picks = []
         for i in range(m):
-            options = np.stack([np.stack([best[s - t] + cost[i, t] if t <= s else np.full(len(fps), np.inf) for t in range(cost.shape[1])]) for s in range(total + 1)])
+            none = np.full(len(fps), np.inf)
+            sums = [[best[s - t] + cost[i, t] if t <= s else none for t in range(cost.shape[1])] for s in range(total + 1)]
+            options = np.array(sums)
             picks.append(options.argmin(axis=1))
             best = options.min(axis=1)
         left, out = np.full(len(fps), total), np.empty((len(fps), m), np.int64)
@@ -140,7 +178,7 @@ class Plan:
             t = picks[i][left, np.arange(len(fps))]
             out[:, i] = t - 1
             left = left - t
-        return out
+        return out, best[total]
 
 
 def grouped_bits(fps: np.ndarray, m: int) -> list[tuple[int, ...]]:
@@ -167,9 +205,14 @@ def grouped_bits(fps: np.ndarray, m: int) -> list[tuple[int, ...]]:
 def planned(fps: DataFrame, distance: int = DISTANCE, sample: int = SAMPLE) -> Plan:
     """Partitions for the distinct fingerprints ``fps(fp)``, from their number and a bounded sample."""
     n = fps.count()
-    seen = np.array([r[0] for r in fps.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(sample).collect()], np.int64).view(np.uint64)
-    wide = max(1.0, log2(max(n, 1) / PER_VALUE))
-    m = int(max(2, min(distance + 1, 64 // wide)))
+    some = fps.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(sample).collect()
+    seen = np.array([r[0] for r in some], np.int64).view(np.uint64)
+    plans = [plan_of(seen, m, distance, n) for m in range(2, distance + 2)]
+    return min((p for p in plans if p.possible), key=lambda p: p.estimate(seen[:1000]))
+
+
+def plan_of(seen: np.ndarray, m: int, distance: int, n: int) -> Plan:
+    """The plan of ``m`` partitions for ``n`` fingerprints of which some were seen."""
     parts = []
     for bits in grouped_bits(seen if len(seen) > 1 else np.zeros(2, np.uint64), m):
         p = Partition(bits, np.zeros(0, np.uint64), np.zeros(0))
@@ -182,67 +225,106 @@ def planned(fps: DataFrame, distance: int = DISTANCE, sample: int = SAMPLE) -> P
 
 
 def probes_of(plan: Plan):
-    """UDF: the (partition, value) keys that a fingerprint looks up."""
-    @F.pandas_udf("array<struct<part:int,value:long>>")
+    """UDF: the keys that a fingerprint looks up, each a partition (from bit 40 on) and a value."""
+
+    @F.pandas_udf("array<long>")
     def probes(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
-            out = []
+            out = np.empty(len(part), object)
             for at in range(0, len(part), 2000):
                 fps = part.to_numpy(np.int64)[at : at + 2000].view(np.uint64)
-                values, chosen = [p.value(fps) for p in plan.partitions], plan.thresholds(fps)
-                for k in range(len(fps)):
-                    out.append([(i, int(v)) for i, t in enumerate(chosen[k]) if t >= 0 for v in values[i][k] ^ plan.partitions[i].masks(int(t))])
+                chosen, which = np.unique(plan.thresholds(fps), axis=0, return_inverse=True)
+                for k, thresholds in enumerate(chosen):
+                    own = np.flatnonzero(which.reshape(-1) == k)
+                    for row, keys in zip(own, plan.keys(fps[own], thresholds), strict=True):
+                        out[at + row] = keys
             yield pd.Series(out)
 
     return probes
 
 
 def keys_of(plan: Plan, fp: Column) -> Column:
-    """The (partition, value) keys under which a fingerprint is stored."""
-    value = lambda p: sum(F.shiftleft(F.shiftright(fp, b).bitwiseAND(F.lit(1).cast("long")), k) for k, b in enumerate(p.bits))
-    return F.array(*(F.struct(F.lit(i).alias("part"), value(p).alias("value")) for i, p in enumerate(plan.partitions)))
+    """The keys under which a fingerprint is stored, one for each partition."""
+    bit = lambda b, k: F.shiftleft(F.shiftright(fp, b).bitwiseAND(F.lit(1).cast("long")), k)
+    value = lambda p: sum(bit(b, k) for k, b in enumerate(p.bits))
+    return F.array(*(F.lit(i << 40).cast("long") + value(p) for i, p in enumerate(plan.partitions)))
+
 
+def _pairs(fps: DataFrame, plan: Plan, reach: int, known: DataFrame | None = None, some: Column | None = None) -> DataFrame:
+    """Pairs ``(a, b)``, a < b, that a's probes find and that differ in at most ``reach`` bits, some more than once.
 
-def links(fps: DataFrame, plan: Plan) -> DataFrame:
+    The distance is checked inside the join, so candidates are never written.  With ``known(fp, root)``, pairs of
+    one root are left out; with ``some``, only fingerprints a for which it holds are looked at.
+    """
+    one, two = fps.select("fp"), fps.select("fp")
+    if some is not None:
+        one = one.filter(some)
+    if known is not None:
+        one, two = (x.join(known.select("fp", "root"), "fp", "left") for x in (one, two))
+    roots = [] if known is None else ["root"]
+    names = lambda x, keys, fp: x.select(F.col("fp").alias(fp), *(F.col(r).alias(f"{r}_{fp}") for r in roots), F.explode(keys).alias("key"))
+    near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= reach)
+    if known is not None:
+        near = near & F.coalesce(F.col("root_a") != F.col("root_b"), F.lit(True))
+    return names(one, probes_of(plan)("fp"), "a").join(names(two, keys_of(plan, F.col("fp")), "b"), "key").filter(near)
+
+
+def links(fps: DataFrame, plan: Plan, reach: int | None = None) -> DataFrame:
     """All pairs ``(a, b)``, a < b, of distinct fingerprints within the plan's distance.
 
     A fingerprint's own probes find all its neighbours, so each pair is taken from its smaller member's probes.
-    The distance is checked inside the join, so candidates are never written.
+    With a larger ``reach``, those farther pairs that a probe happens to meet are given too.
     """
-    probing = fps.select(F.col("fp").alias("a"), F.explode(probes_of(plan)("fp")).alias("key")).select("a", "key.*")
-    stored = fps.select(F.col("fp").alias("b"), F.explode(keys_of(plan, F.col("fp"))).alias("key")).select("b", "key.*")
-    near = (probing["part"] == stored["part"]) & (probing["value"] == stored["value"]) & (F.col("a") < F.col("b"))
-    return probing.join(stored, near & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= plan.distance)).select("a", "b").distinct()
+    return _pairs(fps, plan, plan.distance if reach is None else reach).select("a", "b").distinct()
+
+
+Verify = Callable[[DataFrame], DataFrame]
+
+
+def linked(fps: DataFrame, plan: Plan, reach: int, verify: Verify, known_of: Verify, found: DataFrame | None = None) -> DataFrame:
+    """``(node, root)`` of every node with a link, over the pairs of ``links``.
+
+    ``verify`` makes links between nodes of pairs of fingerprints, ``known_of`` gives ``(fp, root)`` for roots of
+    nodes; ``found`` are links known before.  While there are many pairs, as in a large cloud of near copies, a round
+    takes one pair of each fingerprint and then leaves out pairs inside one class; so what is written grows with the
+    fingerprints, not with the pairs.  The last round takes every pair that is left, so no link between classes is lost.
+    """
+    roots = None if found is None else saved(components(found), "classes")
+    for turn in range(ROUNDS + 1):
+        known = None if roots is None else known_of(roots)
+        seen = F.pmod(F.xxhash64("fp", F.lit("seen")), F.lit(SEEN)) == 0
+        many = turn < ROUNDS and _pairs(fps, plan, reach, known, seen).count() * SEEN > MANY * plan.n
+        pairs = _pairs(fps, plan, reach, known)
+        if many:
+            pairs = pairs.groupBy("a").agg(F.min_by("b", F.xxhash64("b", F.lit(turn))).alias("b"))
+        new = saved(verify(pairs.select("a", "b").distinct()), "links")
+        found = new if found is None else found.unionByName(new)
+        last, roots = roots, saved(components(found), "classes")
+        if last is not None:
+            dropped(last)
+        if not many:
+            return roots
 
 
 def _classes(docs: DataFrame, distance: int) -> DataFrame:
-    """``doc_id, tie, fp, root, component_id, n_links`` of every row; tie is a hash of the text."""
-    rows = saved(docs.select("doc_id", F.xxhash64("text").alias("tie"), fingerprints("text").alias("fp")), "fingerprints")
+    """``doc_id, fp, component_id`` of every row."""
+    rows = saved(docs.select("doc_id", fingerprints("text").alias("fp")), "fingerprints")
     fps = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct_fingerprints")
-    found = saved(links(fps, planned(fps, distance)), "fingerprint_links")
-    roots = components(found)
-    n = found.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    known = fps.join(roots.join(n, "node"), fps["fp"] == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    named = lambda roots: roots.withColumnRenamed("node", "fp")
+    roots = linked(fps, planned(fps, distance), distance, lambda pairs: pairs, named)
+    known = fps.join(named(roots), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = saved(known.join(ids, "root").select(F.col("fp").alias("_fp"), "root", "component_id", "n_links"), "fingerprint_classes")
-    dropped(found)
-    return rows.join(classes, F.col("fp") == F.col("_fp")).select("doc_id", "tie", "fp", "root", "component_id", "n_links")
+    classes = saved(known.join(ids, "root").select("fp", "component_id"), "fingerprint_classes")
+    dropped(fps, roots)
+    return rows.join(classes, "fp")
 
 
 def near_classes(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """One row for each input row: ``doc_id, fp, component_id, n_links``.
+    """One row for each input row: ``doc_id, fp, component_id``.
 
     ``component_id`` is the smallest id that the row reaches over links of fingerprints (null only if none has an
-    id).  ``n_links`` counts the other fingerprints linked to the row's.  Texts without words (null, empty, blank)
-    have fingerprint 0 and are linked like any other.  Equal fingerprints are one node, so groups of copies of any
-    size cost nothing; rows may be repeated; extra columns are ignored; an empty table gives no rows.
+    id).  Texts without words (null, empty, blank) have fingerprint 0 and are linked like any other.  Equal
+    fingerprints are one node, so groups of copies of any size cost nothing; rows may be repeated; extra columns are
+    ignored; an empty table gives no rows; a text of any length is read whole, in blocks.
     """
-    return _classes(docs, distance).select("doc_id", "fp", "component_id", "n_links")
-
-
-def one_of_each(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """One document of each class, with all its columns: the one of smallest id (null last; ties by a text hash)."""
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tie"))
-    kept = _classes(docs, distance).groupBy("root").agg(best.alias("x")).select(F.col("x.doc_id").alias("_kept"), F.col("x.tie").alias("_tie"))
-    rows = docs.withColumn("_row", F.xxhash64("text"))
-    return rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")) & (F.col("_row") == F.col("_tie")), "left_semi").dropDuplicates(["doc_id", "_row"]).drop("_row")
+    return _classes(docs, distance).select("doc_id", "fp", "component_id")

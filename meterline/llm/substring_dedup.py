@@ -1,4 +1,4 @@
-"""Removal of repeated byte strings by distributed prefix doubling over anchored positions.
+"""Removal of repeated byte strings by ranks of anchored positions at growing lengths.
 
 Naming every byte position at every offset would move far more rows than there is text.  Two strings of
 ``length`` bytes are equal only if they have their anchor at the same place (the smallest hashed ``GRAM``-byte
@@ -7,6 +7,8 @@ gram inside, leftmost of equals), so positions are ranked in nodes: runs of wind
 Each round names a node by pairs of ranks, the rank of what all its windows share (its core) and the rank of all
 its bytes (its span), lets Spark bring equal pairs together, and reranks at a longer shared length:
 
+This stands in for prefix doubling over all positions, whose sorted rank pairs would be many times the text.
+
 1. nodes are whole runs of an anchor, the core is the anchor's gram,
 2. nodes are groups of ``STEP`` neighbouring windows, the core has ``length - STEP + 1`` bytes,
 3. nodes are single windows of ``length`` bytes, the threshold.
@@ -14,6 +16,10 @@ its bytes (its span), lets Spark bring equal pairs together, and reranks at a lo
 A core found once is unique and drops out.  A span found before is repeated as a whole.  If all nodes of a core
 have one span, nothing is left to tell apart; else the first node of each span goes to the next round.  The first
 occurrence of any window is always the first of its span, so no link is lost by dropping the others.
+
+Ranks are 64-bit hashes, cores and spans by two polynomials of different bases.  Spans are only compared within one
+core, so a false removal takes two different spans of one core with equal span hashes; in the last round, where core
+and span are the same bytes, both hashes would have to agree.
 """
 
 from __future__ import annotations
@@ -25,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from meterline.llm.common import dropped, saved
 
@@ -33,7 +40,8 @@ GRAM = 32
 STEP = 8
 #: Window starts handled at a time in one document.
 CHUNK = 1 << 20
-_POWER = 0x9E3779B97F4A7C15
+#: Bases of the polynomials of cores and of spans.
+_POWERS = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 _U = np.uint64
 #: ``place`` holds a node's first window start, and in its two low bytes how far the last one and the anchor are.
 _NODES = "id long, tie long, place long, core long, span long"
@@ -47,22 +55,28 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 class Ranker:
-    """Hashed ranks of byte strings: polynomial prefix sums modulo 2**64, mixed."""
+    """Hashed ranks of byte strings, of two kinds: polynomial prefix sums modulo 2**64, mixed."""
 
     def __init__(self, seed: int = 1):
-        self.values = np.random.default_rng(seed).integers(1, 1 << 63, 256, dtype=np.uint64)
-        self.up = self.down = np.ones(1, np.uint64)
+        self.values = np.random.default_rng(seed).integers(1, 1 << 63, (2, 256), dtype=np.uint64)
+        self.up = self.down = [np.ones(1, np.uint64)] * 2
 
     def load(self, data: np.ndarray) -> None:
         n = len(data) + 1
-        if len(self.up) < n:
-            size = 1 << n.bit_length()
-            step = lambda x: np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(size, x, np.uint64))))
-            self.up, self.down = step(_U(_POWER)), step(_U(pow(_POWER, -1, 1 << 64)))
-        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(self.values[data] * self.up[: len(data)], dtype=np.uint64)))
-
-    def rank(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return _mixed((self.sums[end] - self.sums[start]) * self.down[start])
+        if len(self.up[0]) < n:
+            ones = np.ones(1, np.uint64)
+            step = lambda x: np.multiply.accumulate(np.append(ones, np.full(1 << n.bit_length(), x, np.uint64)))
+            self.up = [step(_U(x)) for x in _POWERS]
+            self.down = [step(_U(pow(x, -1, 1 << 64))) for x in _POWERS]
+        self.sums = []
+        for values, up in zip(self.values, self.up, strict=True):
+            sums = np.zeros(n, np.uint64)
+            np.cumsum(values[data] * up[: n - 1], dtype=np.uint64, out=sums[1:])
+            self.sums.append(sums)
+
+    def rank(self, start: np.ndarray, end: np.ndarray, kind: int = 0) -> np.ndarray:
+        sums = self.sums[kind]
+        return _mixed((sums[end] - sums[start]) * self.down[kind][start])
 
 
 def anchored(ranker: Ranker, n: int, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -86,7 +100,7 @@ def anchored(ranker: Ranker, n: int, length: int, gram: int) -> tuple[np.ndarray
 def _span(ranker: Ranker, anchor: np.ndarray, lo: np.ndarray, hi: np.ndarray, length: int) -> np.ndarray:
     """Rank of a node's bytes together with where its windows lie about the anchor."""
     place = ((anchor - lo) * (2 * length) + (anchor - hi)).astype(np.uint64)
-    return _mixed(ranker.rank(lo, hi + length) ^ _mixed(place + _U(1)))
+    return _mixed(ranker.rank(lo, hi + length, 1) ^ _mixed(place + _U(1)))
 
 
 def _first_nodes(data: np.ndarray, ranker: Ranker, length: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
@@ -225,8 +239,10 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, wi
     come first; different texts of one id in order of a hash), or earlier in the same text.  Strings never cross
     rows and are judged on the input.  ``spans`` lists the removed runs as ``[start, end)``.  Rows of equal id and
     text are one document and get equal results.  Null texts are empty; texts shorter than ``length`` lose nothing;
-    extra columns are ignored; an empty table gives no rows.
+    extra columns are ignored; an empty table gives no rows.  Ids must be whole numbers.
     """
+    if not isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        raise TypeError("doc_id must be a whole number, as its order decides what is earlier")
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"), F.xxhash64(text).alias("tie"), text.alias("text"))
     ranges = repeated_ranges(rows.select("id", "tie", "text"), length, gram)

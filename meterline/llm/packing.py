@@ -145,7 +145,9 @@ def pack(rows: DataFrame, length: int = LENGTH, group: int = GROUP) -> DataFrame
     """Adds ``sequence_id, offset`` to pieces with a ``length`` of 1 to ``length``.
 
     Pieces are dealt by hash to groups of about ``group`` rows whatever the input's size.  Equal ones are counted
-    and dealt in chunks, so a group is bounded and no key can be hot; the same input gives the same sequences.
+    and dealt in chunks, so a group is bounded and no key can be hot; the same input gives the same sequences.  Each
+    group is packed by itself: against one group for all, at most the room left in a group's sequences is lost, which
+    a group of pieces of all lengths fills but for its last few sequences (a test compares it with the lower bound).
     """
     n = max(1, -(-rows.count() // group))
     names, many = rows.columns, F.col("_n")
@@ -170,7 +172,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, length: int = LENGTH, end: i
     """Pieces of all rows with their places: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``.
 
     Null and empty texts give one piece, the end id alone.  Repeated rows and null ids are packed like any other
-    row; extra columns are ignored; an empty table gives no pieces.
+    row; texts of any length are cut whole; extra columns are ignored; an empty table gives no pieces.
     """
     return pack(saved(pieces(docs, tokenizer, length, end, with_ids), "pieces"), length)
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from meterline.llm.common import let
+from meterline.llm.common import let, saved
 
 LEARN = "assistant"
 
@@ -13,14 +14,18 @@ LEARN = "assistant"
 def turns(conversations: DataFrame) -> DataFrame:
     """``conv_id, turns``: each conversation as an array of ``role, content`` by turn (ties by role, then text).
 
-    Null roles are ``unknown``, null texts empty; turns without number come first; rows without ``conv_id`` are one
-    conversation.
+    Null roles are ``unknown``, null texts empty; turns without number come first; rows without ``conv_id`` are
+    conversations of one turn each, as nothing joins them.  Texts are kept whole; extra columns are ignored; an empty
+    table gives no rows.
     """
     said = F.struct("turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("content"))
     # array_sort puts null numbers last, so absence is the first key
     keyed = F.struct(F.col("turn").isNotNull().alias("known"), said.alias("x"))
-    rows = conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(keyed)).alias("turns"))
-    return rows.select("conv_id", F.transform("turns", lambda t: F.struct(t["x"]["role"].alias("role"), t["x"]["content"].alias("content"))).alias("turns"))
+    known = F.col("conv_id").isNotNull()
+    rows = conversations.filter(known).groupBy("conv_id").agg(F.array_sort(F.collect_list(keyed)).alias("turns"))
+    rows = rows.unionByName(conversations.filter(~known).select("conv_id", F.array(keyed).alias("turns")))
+    plain = lambda t: F.struct(t["x"]["role"].alias("role"), t["x"]["content"].alias("content"))
+    return rows.select("conv_id", F.transform("turns", plain).alias("turns"))
 
 
 def common_turns(a: Column, b: Column) -> Column:
@@ -54,7 +59,8 @@ def format_pairs(pairs: DataFrame) -> DataFrame:
     """``pair_id, n_prompt_turns, prompt`` and, for chosen and rejected each, ``*_completion`` and ``*_spans``.
 
     ``pairs`` has ``pair_id`` and two arrays of ``role, content`` structs.  Equal conversations have empty
-    completions; null arrays count as empty; repeated pairs give equal rows; extra columns are ignored.
+    completions; null arrays count as empty; repeated pairs give equal rows; texts are kept whole; extra columns are
+    ignored; an empty table gives no rows.
     """
     empty = F.array().cast("array<struct<role:string,content:string>>")
     rows = pairs.select("pair_id", F.coalesce("chosen", empty).alias("chosen"), F.coalesce("rejected", empty).alias("rejected"))
@@ -73,9 +79,11 @@ def swapped_pairs(conversations: DataFrame) -> DataFrame:
     """Pairs from plain conversations: chosen is the conversation, rejected has another's last answer.
 
     The last assistant turn is replaced by the one of the conversation whose number differs in the lowest bit;
-    where either has none, rejected equals chosen.
+    where either has none, rejected equals chosen.  ``conv_id`` must be a whole number.
     """
-    talks = turns(conversations)
+    if not isinstance(conversations.schema["conv_id"].dataType, T.IntegralType):
+        raise TypeError("conv_id must be a whole number, as its lowest bit names the partner")
+    talks = saved(turns(conversations), "conversations")
     said = F.filter("turns", lambda t: t["role"] == LEARN)
     last = talks.filter(F.exists("turns", lambda t: t["role"] == LEARN)).select(F.col("conv_id").bitwiseXOR(F.lit(1).cast("long")).alias("_for"), F.element_at(said, -1)["content"].alias("_answer"))
     rows = talks.join(last, talks["conv_id"] == last["_for"], "left")

@@ -104,7 +104,8 @@ def failures() -> dict[str, Column]:
 def ledger(docs: DataFrame) -> DataFrame:
     """``doc_id``, the measurements and ``failed_bits`` (long), one row for each input row.
 
-    Null texts count as empty and fail ``too_few_words``; extra columns are ignored; repeated rows give equal rows.
+    Null texts count as empty and fail ``too_few_words``; texts of any length are measured whole; extra columns are
+    ignored; repeated rows give equal rows; an empty table gives no rows.
     """
     return measured(docs).withColumn("failed_bits", failed_bits())
 
@@ -118,7 +119,7 @@ def failed_bits() -> Column:
 
 
 def passed(docs: DataFrame, policy: Policy = POLICIES[-1]) -> DataFrame:
-    """The documents that a policy keeps, with all their columns."""
+    """The documents that a policy keeps, with all their columns, whatever their names."""
     rows = measured(docs, F.struct(*docs.columns).alias("_doc")).withColumn("failed_bits", failed_bits())
     return rows.filter(keeps(BASE) & keeps(policy)).select("_doc.*")
 
@@ -134,8 +135,15 @@ def apply_policy(rows: DataFrame, policy: Policy) -> DataFrame:
 
 def ablations(rows: DataFrame, policy: Policy) -> DataFrame:
     """For each rule of a policy: documents that fail it, and those that come back if it alone is removed."""
-    seen = rows.select(F.col("failed_bits").bitwiseAND(F.lit(policy.mask).cast("long")).alias("bits")).groupBy("bits").agg(F.count(F.lit(1)).alias("n"))
+    masked = F.col("failed_bits").bitwiseAND(F.lit(policy.mask).cast("long"))
+    seen = rows.groupBy(masked.alias("bits")).agg(F.count(F.lit(1)).alias("n"))
     bit = {r: F.lit(1 << RULES.index(r)).cast("long") for r in policy.rules}
-    sums = seen.agg(*(x for r in policy.rules for x in (F.sum(F.when(F.col("bits").bitwiseAND(bit[r]) != 0, F.col("n"))).alias(f"{r}_fails"), F.sum(F.when(F.col("bits") == bit[r], F.col("n"))).alias(f"{r}_alone"))))
-    each = F.array(*(F.struct(F.lit(policy.version).alias("policy"), F.lit(r).alias("rule"), F.coalesce(F.col(f"{r}_fails"), F.lit(0)).alias("n_failed"), F.coalesce(F.col(f"{r}_alone"), F.lit(0)).alias("n_recovered")) for r in policy.rules))
-    return sums.select(F.explode(each).alias("x")).select("x.*")
+    bits, zero = F.col("bits"), F.lit(0).cast("long")
+    many = lambda holds: F.coalesce(F.sum(F.when(holds, F.col("n"))), zero)
+    one = lambda r: F.struct(
+        F.lit(policy.version).alias("policy"),
+        F.lit(r).alias("rule"),
+        many(bits.bitwiseAND(bit[r]) != 0).alias("n_failed"),
+        many(bits == bit[r]).alias("n_recovered"),
+    )
+    return seen.agg(F.array(*map(one, policy.rules)).alias("all")).select(F.explode("all").alias("x")).select("x.*")

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterline.llm import exact_dedup, language_id, mixing, packing, preference, quality_rules, simhash, substring_dedup, toxicity, url_filter
-from meterline.llm.common import table
+from meterline.llm.common import saved, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -51,7 +52,23 @@ SELECT doc_id, n_words, n_repeat_words, word_chars, n_symbols, n_dup_lines, n_li
 """
 )
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.apply_policy(quality_rules.ledger(table(spark, sf_dir, "documents")), quality_rules.POLICIES[-1])
+    rows = saved(quality_rules.ledger(table(spark, sf_dir, "documents")), "quality_ledger")
+    return quality_rules.apply_policy(rows, quality_rules.POLICIES[-1])
+
+
+def _ablations_sql() -> str:
+    one = lambda p, r: f"""SELECT '{p.version}' AS policy, '{r}' AS rule, count(*) FILTER (WHERE failed_bits & {1 << quality_rules.RULES.index(r)} <> 0)::BIGINT AS n_failed,
+  count(*) FILTER (WHERE failed_bits & {p.mask} = {1 << quality_rules.RULES.index(r)})::BIGINT AS n_recovered FROM led"""
+    parts = " UNION ALL ".join(one(p, r) for p in quality_rules.POLICIES for r in p.rules)
+    return f"WITH led AS ({SQL['op1_quality_rules']}) {parts}"
+
+
+@query(_ablations_sql())
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy version costs, from one stored ledger."""
+    rows = saved(quality_rules.ledger(table(spark, sf_dir, "documents")).select("failed_bits"), "quality_ledger")
+    found = [quality_rules.ablations(rows, p) for p in quality_rules.POLICIES]
+    return reduce(DataFrame.unionByName, found)
 
 
 @query()
@@ -68,8 +85,12 @@ o AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS source_no FROM
 w AS (SELECT *, [5, 2, 1][(source_no - 1) % 3 + 1] AS weight, source_size * 3 AS cap FROM o),
 v AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, source_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
         / sum(weight) OVER (ORDER BY cap / weight, source_no ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
-a AS (SELECT source, source_size, least(cap::DOUBLE, weight * max(level) OVER ()) AS target FROM v),
-b AS (SELECT *, least(round(target)::BIGINT, source_size * 3) AS words FROM a),
+a AS (SELECT source, source_no, source_size, least(cap::DOUBLE, weight * max(level) OVER ()) AS target FROM v),
+z AS (SELECT *, sum(round(target)::HUGEINT) OVER (ORDER BY source_no) AS upto, sum(round(target)::HUGEINT) OVER () AS total FROM a WHERE round(target) > 0),
+e AS (SELECT source_no, (upto - round(target)::HUGEINT) * 2147483648 // total AS lo, upto * 2147483648 // total AS hi FROM z),
+t AS (SELECT (i % 2147483648 * 1327217885) % 2147483648 AS point FROM (SELECT unnest(range(greatest(1, (coalesce(sum(size), 0)::BIGINT + 8) // 16))) AS i FROM d)),
+n AS (SELECT source_no, greatest(1, count(point)) * 16 AS words FROM e LEFT JOIN t ON point >= lo AND point < hi GROUP BY source_no),
+b AS (SELECT a.*, coalesce(words, 0) AS words FROM a LEFT JOIN n USING (source_no)),
 c AS (SELECT d.*, b.source_size, b.target, b.words, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY place, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
       FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source)
 SELECT doc_id, source, size, source_size, target, (SELECT sum(greatest(0, least(size, words - start - k * source_size))) FROM unnest([0, 1, 2]) AS e(k))::BIGINT AS taken FROM c
@@ -111,7 +132,7 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = simhash.near_classes(table(spark, sf_dir, "documents"))
-    return rows.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id", "n_links")
+    return rows.select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 #: Rules of the URL query, as its contract gives them.
@@ -142,22 +163,23 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-WITH t AS (SELECT conv_id, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
-      row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, 'unknown'), coalesce(text, '')) AS pos FROM conversations),
-l AS (SELECT conv_id, max(pos) AS last, arg_max(text, pos) AS answer FROM t WHERE role = 'assistant' GROUP BY conv_id),
+WITH o AS (SELECT *, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS u FROM conversations),
+t AS (SELECT conv_id, u, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
+      row_number() OVER (PARTITION BY conv_id, u ORDER BY turn NULLS FIRST, coalesce(role, 'unknown'), coalesce(text, '')) AS pos FROM o),
+l AS (SELECT conv_id, max(pos) AS last, arg_max(text, pos) AS answer FROM t WHERE role = 'assistant' AND conv_id IS NOT NULL GROUP BY conv_id),
 b AS (SELECT t.*, CASE WHEN pos = l.last AND o.answer IS NOT NULL THEN o.answer ELSE text END AS other
       FROM t LEFT JOIN l ON t.conv_id = l.conv_id LEFT JOIN l AS o ON xor(o.conv_id, 1) = t.conv_id),
-n AS (SELECT conv_id, coalesce(min(pos) FILTER (WHERE text <> other) - 1, count(*)) AS n FROM b GROUP BY conv_id),
+n AS (SELECT conv_id, u, coalesce(min(pos) FILTER (WHERE text <> other) - 1, count(*)) AS n FROM b GROUP BY conv_id, u),
 x AS (SELECT b.*, n, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS a, '<|' || role || '|>' || chr(10) || other || '<|end|>' || chr(10) AS r
-      FROM b JOIN n ON b.conv_id IS NOT DISTINCT FROM n.conv_id),
+      FROM b JOIN n ON b.conv_id IS NOT DISTINCT FROM n.conv_id AND b.u IS NOT DISTINCT FROM n.u),
 y AS (SELECT *, coalesce(sum(CASE WHEN pos > n THEN length(a) END) OVER w, 0) AS ca, coalesce(sum(CASE WHEN pos > n THEN length(r) END) OVER w, 0) AS cr
-      FROM x WINDOW w AS (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+      FROM x WINDOW w AS (PARTITION BY conv_id, u ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 SELECT conv_id AS pair_id, n::INTEGER AS n_prompt_turns, coalesce(string_agg(a, '' ORDER BY pos) FILTER (WHERE pos <= n), '') AS prompt,
   coalesce(string_agg(a, '' ORDER BY pos) FILTER (WHERE pos > n), '') AS chosen_completion,
   coalesce(string_agg((ca + length(role) + 5)::BIGINT || ':' || (length(text) + 7), ',' ORDER BY pos) FILTER (WHERE pos > n AND role = 'assistant'), '') AS chosen_spans,
   coalesce(string_agg(r, '' ORDER BY pos) FILTER (WHERE pos > n), '') AS rejected_completion,
   coalesce(string_agg((cr + length(role) + 5)::BIGINT || ':' || (length(other) + 7), ',' ORDER BY pos) FILTER (WHERE pos > n AND role = 'assistant'), '') AS rejected_spans
-FROM y GROUP BY conv_id, n
+FROM y GROUP BY conv_id, u, n
 """
 )
 def op9_preference(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,7 +38,7 @@ def path_of(url: Column) -> Column:
 
 
 def longest_rule(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
-    """Struct ``rule, verdict`` of the longest rule that fits (of equal lengths the smaller text), or null."""
+    """Struct ``rule, verdict`` of the longest of a few rules that fits (of equal lengths the smaller text), or null."""
     found = F.lit(None).cast("struct<rule:string,verdict:string>")
     for r in sorted(rules, key=lambda r: (-len(r.text), r.text), reverse=True):
         fits = ((host == r.host) | host.endswith("." + r.host)) & path.startswith(r.path)
@@ -46,6 +46,21 @@ def longest_rule(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
     return found
 
 
+def ruled(seen: DataFrame, rules: DataFrame) -> DataFrame:
+    """``seen(host, path, ...)`` with ``found``, the longest fitting rule of a table ``verdict, host, path`` of any size.
+
+    A host's suffixes meet the rules' hosts by equality, once for each different host and path.
+    """
+    parts = F.split("host", r"\.")
+    tails = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, n, F.size(parts)), "."))
+    pages = seen.select("host", "path").distinct().withColumn("tail", F.explode(tails))
+    known = rules.select("verdict", F.col("host").alias("tail"), F.col("path").alias("start"))
+    text = F.concat("tail", "start")
+    hits = pages.join(known, "tail").filter(F.startswith("path", F.col("start")))
+    best = F.min_by(F.struct(text.alias("rule"), "verdict"), F.struct(-F.length(text), text))
+    return seen.join(hits.groupBy("host", "path").agg(best.alias("found")), ["host", "path"], "left")
+
+
 HITS = T.StructType([T.StructField("strict", T.ArrayType(T.StringType())), T.StructField("soft", T.ArrayType(T.StringType()))])
 
 
@@ -78,23 +93,44 @@ def vocabulary_hits(strict: Sequence[str] = STRICT, soft: Sequence[str] = SOFT):
     return hits
 
 
-def filter_urls(pages: DataFrame, rules: Sequence[Rule] = (), strict: Sequence[str] = STRICT, soft: Sequence[str] = SOFT, soft_needed: int = 2) -> DataFrame:
+def vocabulary_of(terms: DataFrame, most: int = 1_000_000) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """Strict and soft terms of a table ``term, is_strict``, lower-cased; more than ``most`` are an error."""
+    rows = terms.filter("term <> ''").select(F.lower("term").alias("t"), "is_strict").distinct().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} terms don't fit an automaton in every worker")
+    return tuple(sorted(r["t"] for r in rows if r["is_strict"])), tuple(sorted(r["t"] for r in rows if not r["is_strict"]))
+
+
+def filter_urls(
+    pages: DataFrame,
+    rules: Sequence[Rule] | DataFrame = (),
+    strict: Sequence[str] = STRICT,
+    soft: Sequence[str] = SOFT,
+    soft_needed: int = 2,
+) -> DataFrame:
     """One row for each row of ``pages(page_id, url)``: ``page_id, host, path, rule, verdict, strict_hits, soft_hits``.
 
-    A fitting rule decides (the longest); else one strict term or ``soft_needed`` different soft terms block.
+    A fitting rule decides (the longest); else one strict term or ``soft_needed`` different soft terms block.  A table
+    of rules is joined; a few given as values are tested in turn.
     Null urls, and urls without ``://``, have empty host and path, fit no rule, and are judged by the vocabulary
-    alone (null: no hit, allowed).  Repeated rows and extra columns are each judged alike, or ignored.
+    alone (null: no hit, allowed).  Repeated rows are judged alike, urls of any length whole; extra columns are
+    ignored; an empty table gives no rows.
     """
     url = F.col("url")
-    seen = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), vocabulary_hits(strict, soft)(url).alias("hits"))
-    seen = seen.withColumn("found", longest_rule(F.col("host"), F.col("path"), rules))
+    hits = vocabulary_hits(strict, soft)(url)
+    seen = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), hits.alias("hits"))
+    if isinstance(rules, DataFrame):
+        seen = ruled(seen, rules)
+    else:
+        seen = seen.withColumn("found", longest_rule(F.col("host"), F.col("path"), rules))
     blocked = (F.size("hits.strict") >= 1) | (F.size("hits.soft") >= soft_needed)
+    judged = F.when(blocked, F.lit("block")).otherwise(F.lit("allow"))
     return seen.select(
         "page_id",
         "host",
         "path",
         F.col("found.rule").alias("rule"),
-        F.coalesce(F.col("found.verdict"), F.when(blocked, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"),
+        F.coalesce(F.col("found.verdict"), judged).alias("verdict"),
         F.col("hits.strict").alias("strict_hits"),
         F.col("hits.soft").alias("soft_hits"),
     )

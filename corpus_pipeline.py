@@ -1,4 +1,4 @@
-"""Corpus pipeline: quality rules, exact dedup, near-dedup by shingle overlap, mixing to target weights, best-fit packing.
+"""Corpus pipeline: quality rules, exact dedup, SimHash near-dedup, mixing to target weights, best-fit packing.
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame that is written as Parquet and read again as the
 next stage's ``docs``.  All but the last return the columns of ``documents``.
@@ -8,8 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meterline.llm import exact_dedup, mixing, overlap, packing, quality_rules
-from meterline.llm.common import saved, table
+from meterline.llm import exact_dedup, mixing, near_copies, packing, quality_rules
+from meterline.llm.common import dropped, saved, table
 from meterline.llm.queries import word_bpe
 
 
@@ -24,8 +24,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies (four fifths of the five-word shingles): the one of smallest id."""
-    return overlap.one_of_each(docs)
+    """One document of each class of near copies (SimHash, verified on five-word shingles): the one of smallest id."""
+    return near_copies.one_of_each(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +45,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; the tables between stages are deleted once the next one is written."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir), "stage")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    for k, (_, stage) in enumerate(STAGES):
+        made = saved(stage(spark, docs, sf_dir), "stage")
+        if k:
+            dropped(docs)
+        docs = made
+    return docs

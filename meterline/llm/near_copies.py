@@ -1,10 +1,8 @@
 """One document of each class of near copies: SimHash candidates, verified by the overlap of their word shingles.
 
-Fingerprints are those of the distinct shingles.  Probes are planned for ``DISTANCE`` bits; a pair that they meet is a
-candidate up to ``REACH`` bits, if the sizes allow the similarity and a second fingerprint of other hashes agrees.
-The Jaccard similarity of whole shingle sets decides, so no pair below it is linked.  Pairs that are farther than
-``DISTANCE`` bits are found where two of their partitions are near, which is likely but not certain; the README
-gives the measured recall.
+Two texts are linked if the fingerprints of their distinct shingles differ in at most ``DISTANCE`` bits and the Jaccard
+similarity of their whole shingle sets is ``PERCENT`` or more.  All such pairs are found, and no pair of less
+similarity is linked; similar pairs whose fingerprints differ more are not (the README gives the measured share).
 """
 
 from __future__ import annotations
@@ -23,10 +21,8 @@ from meterline.llm.simhash import hashes, linked, majority_bits, planned
 SHINGLE = 5
 #: Least Jaccard similarity of near copies, in percent.
 PERCENT = 80
-#: Bits of the first fingerprint within which every pair is found, and beyond which none is looked at.
-DISTANCE, REACH = 9, 16
-#: Most bits of both fingerprints, 128, in which candidates differ: similar sets differ in 19, others in 64 on average.
-BOTH = 32
+#: Bits in which fingerprints of near copies may differ.
+DISTANCE = 7
 
 
 def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -35,27 +31,19 @@ def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(np.concatenate(parts).astype(np.uint64)) if parts else np.zeros(0, np.uint64)
 
 
-def _other(h: np.ndarray) -> np.ndarray:
-    """Hashes that are independent of the given ones for practical purposes."""
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
-def sketch(own: np.ndarray) -> tuple[int, int, int, int]:
-    """Name (a hash), size and two fingerprints of a set."""
+def sketch(own: np.ndarray) -> tuple[int, int, int]:
+    """Name (a hash), size and fingerprint of a set."""
     import xxhash
 
-    bits = [majority_bits([h.astype(">u8")]) for h in (own, _other(own))]
-    return xxhash.xxh64_intdigest(own.tobytes()), len(own), *bits
+    return xxhash.xxh64_intdigest(own.tobytes()), len(own), majority_bits([own.astype(">u8")])
 
 
 def _sketches(shingle: int):
-    @F.pandas_udf("set long, size long, fp long, more long")
+    @F.pandas_udf("set long, size long, fp long")
     def sketches(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            made = np.array([sketch(shingle_set(t, shingle)) for t in part], np.uint64).reshape(-1, 4)
-            yield pd.DataFrame(made.view(np.int64), columns=["set", "size", "fp", "more"])
+            made = np.array([sketch(shingle_set(t, shingle)) for t in part], np.uint64).reshape(-1, 3)
+            yield pd.DataFrame(made.view(np.int64), columns=["set", "size", "fp"])
 
     return sketches
 
@@ -98,13 +86,11 @@ def _classes(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, Da
     """``doc_id, tie, set`` of every row, where tie is a hash of the text, and ``(node, root)`` of sets with a link."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("tie"), _sketches(shingle)("text").alias("x"))
     rows = saved(rows.select("doc_id", "tie", "x.*"), "sketches")
-    nodes = rows.groupBy("set").agg(*(F.min(c).alias(c) for c in ("tie", "size", "fp", "more")))
-    nodes = saved(nodes, "shingle_sets")
-    fps = saved(nodes.groupBy("fp").agg(F.count(F.lit(1)).alias("n_sets"), F.min("set").alias("first")), "set_fingerprints")
-    one, two = (nodes.select(*(F.col(c).alias(f"{c}_{k}") for c in ("set", "size", "fp", "more"))) for k in ("a", "b"))
-    differ = lambda c: F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b")))
+    nodes = saved(rows.groupBy("set").agg(*(F.min(c).alias(c) for c in ("tie", "size", "fp"))), "shingle_sets")
+    fps = nodes.groupBy("fp").agg(F.count(F.lit(1)).alias("n_sets"), F.min("set").alias("first"))
+    fps = saved(fps, "set_fingerprints")
+    one, two = (nodes.select(*(F.col(c).alias(f"{c}_{k}") for c in ("set", "size", "fp"))) for k in ("a", "b"))
     likely = 100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b")
-    likely = likely & (differ("fp") + differ("more") <= BOTH)
 
     def checked(pairs: DataFrame) -> DataFrame:
         """Links of the pairs of rows of ``one`` and ``two``."""
@@ -117,19 +103,22 @@ def _classes(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, Da
         return checked(pairs.join(one, F.col("a") == F.col("fp_a")).join(two, F.col("b") == F.col("fp_b")))
 
     def known_of(roots: DataFrame) -> DataFrame:
-        """A fingerprint of one set has that set's root; others have none, and their pairs are looked at each time."""
+        """A fingerprint of one set has that set's root; others have none, and all their pairs are looked at."""
         single = fps.filter("n_sets = 1").select("fp", F.col("first").alias("node"))
         return single.join(roots, "node").select("fp", "root")
 
-    # sets of one fingerprint: first each with one of them, then those of different classes with one another
     several = fps.filter("n_sets > 1").select(F.col("fp").alias("fp_a"), F.col("first").alias("set_a"))
-    found = checked(one.join(several, ["fp_a", "set_a"]).join(two, F.col("fp_a") == F.col("fp_b")).filter("set_a < set_b"))
-    roots = saved(components(found), "classes")
-    side = lambda x, k: x.join(roots, F.col(f"set_{k}") == F.col("node"), "left").withColumn(f"root_{k}", F.coalesce("root", f"set_{k}")).drop("node", "root")
-    shared = one.join(several.select("fp_a"), "fp_a")
-    rest = side(shared, "a").join(side(two, "b"), F.col("fp_a") == F.col("fp_b")).filter("set_a < set_b AND root_a <> root_b")
-    found = found.unionByName(checked(rest))
-    return rows.select("doc_id", "tie", "set"), linked(fps, planned(fps, DISTANCE), REACH, verify, known_of, found)
+    found = None
+    if not several.isEmpty():
+        # sets of one fingerprint: first each with one of them, then those of different classes with one another
+        shared = one.join(several.select("fp_a"), "fp_a").join(two, F.col("fp_a") == F.col("fp_b")).filter("set_a < set_b")
+        found = checked(shared.join(several, ["fp_a", "set_a"], "left_semi"))
+        roots = saved(components(found), "classes")
+        for k in ("a", "b"):
+            near = roots.select(F.col("node").alias(f"set_{k}"), F.col("root").alias(f"root_{k}"))
+            shared = shared.join(near, f"set_{k}", "left").withColumn(f"root_{k}", F.coalesce(f"root_{k}", f"set_{k}"))
+        found = found.unionByName(checked(shared.filter("root_a <> root_b")))
+    return rows.select("doc_id", "tie", "set"), linked(fps, planned(fps, DISTANCE), verify, known_of, found)
 
 
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

@@ -35,9 +35,8 @@ CROWDED = 128
 PROBE = 30
 #: Most probes of one partition; larger thresholds are never planned, and the others make up for them.
 MOST_PROBES = 1 << 20
-#: Rounds that follow one pair of each fingerprint while there are more pairs than so many a fingerprint, which is
-#: estimated from one fingerprint in ``SEEN``.  They decide how pairs are written, not which classes come out.
-ROUNDS, MANY, SEEN = 6, 20, 64
+#: Fingerprints of one key with which all others of the key are compared first, which joins large clouds of near copies.
+HUBS = 4
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
@@ -250,60 +249,61 @@ def keys_of(plan: Plan, fp: Column) -> Column:
     return F.array(*(F.lit(i << 40).cast("long") + value(p) for i, p in enumerate(plan.partitions)))
 
 
-def _pairs(fps: DataFrame, plan: Plan, reach: int, known: DataFrame | None = None, some: Column | None = None) -> DataFrame:
-    """Pairs ``(a, b)``, a < b, that a's probes find and that differ in at most ``reach`` bits, some more than once.
+def _keyed(fps: DataFrame, keys: Column, name: str, known: DataFrame | None = None) -> DataFrame:
+    """``(name, root, key)`` rows of fingerprints; the root is null where it is not ``known(fp, root)``."""
+    rows = fps.select("fp") if known is None else fps.select("fp").join(known.select("fp", "root"), "fp", "left")
+    root = [] if known is None else [F.col("root").alias(f"root_{name}")]
+    return rows.select(F.col("fp").alias(name), *root, F.explode(keys).alias("key"))
 
-    The distance is checked inside the join, so candidates are never written.  With ``known(fp, root)``, pairs of
-    one root are left out; with ``some``, only fingerprints a for which it holds are looked at.
-    """
-    one, two = fps.select("fp"), fps.select("fp")
-    if some is not None:
-        one = one.filter(some)
-    if known is not None:
-        one, two = (x.join(known.select("fp", "root"), "fp", "left") for x in (one, two))
-    roots = [] if known is None else ["root"]
-    names = lambda x, keys, fp: x.select(F.col("fp").alias(fp), *(F.col(r).alias(f"{r}_{fp}") for r in roots), F.explode(keys).alias("key"))
-    near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= reach)
-    if known is not None:
-        near = near & F.coalesce(F.col("root_a") != F.col("root_b"), F.lit(True))
-    return names(one, probes_of(plan)("fp"), "a").join(names(two, keys_of(plan, F.col("fp")), "b"), "key").filter(near)
+
+def _near(plan: Plan) -> Column:
+    return (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= plan.distance)
 
 
-def links(fps: DataFrame, plan: Plan, reach: int | None = None) -> DataFrame:
+def links(fps: DataFrame, plan: Plan, known: DataFrame | None = None) -> DataFrame:
     """All pairs ``(a, b)``, a < b, of distinct fingerprints within the plan's distance.
 
-    A fingerprint's own probes find all its neighbours, so each pair is taken from its smaller member's probes.
-    With a larger ``reach``, those farther pairs that a probe happens to meet are given too.
+    A fingerprint's own probes find all its neighbours, so each pair is taken from its smaller member's probes.  The
+    distance is checked inside the join, so candidates are never written.  Pairs of one root in ``known(fp, root)`` are
+    left out.
     """
-    return _pairs(fps, plan, plan.distance if reach is None else reach).select("a", "b").distinct()
+    one = _keyed(fps, probes_of(plan)("fp"), "a", known)
+    two = _keyed(fps, keys_of(plan, F.col("fp")), "b", known)
+    near = _near(plan)
+    if known is not None:
+        near = near & F.coalesce(F.col("root_a") != F.col("root_b"), F.lit(True))
+    return one.join(two, "key").filter(near).select("a", "b").distinct()
+
+
+def stars(fps: DataFrame, plan: Plan) -> DataFrame:
+    """Those pairs of ``links`` between the fingerprints of a key and ``HUBS`` of them: a few for each fingerprint."""
+    stored = _keyed(fps, keys_of(plan, F.col("fp")), "fp")
+    hubs = F.array_distinct(F.array(*(F.min_by("fp", F.xxhash64("fp", F.lit(k))) for k in range(HUBS))))
+    found = stored.groupBy("key").agg(hubs.alias("hubs"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    found = found.select("key", F.explode("hubs").alias("hub"))
+    pairs = stored.join(found, "key").select(F.least("fp", "hub").alias("a"), F.greatest("fp", "hub").alias("b"))
+    return pairs.filter(_near(plan)).distinct()
 
 
-Verify = Callable[[DataFrame], DataFrame]
+Step = Callable[[DataFrame], DataFrame]
 
 
-def linked(fps: DataFrame, plan: Plan, reach: int, verify: Verify, known_of: Verify, found: DataFrame | None = None) -> DataFrame:
+def linked(fps: DataFrame, plan: Plan, verify: Step, known_of: Step, found: DataFrame | None = None) -> DataFrame:
     """``(node, root)`` of every node with a link, over the pairs of ``links``.
 
     ``verify`` makes links between nodes of pairs of fingerprints, ``known_of`` gives ``(fp, root)`` for roots of
-    nodes; ``found`` are links known before.  While there are many pairs, as in a large cloud of near copies, a round
-    takes one pair of each fingerprint and then leaves out pairs inside one class; so what is written grows with the
-    fingerprints, not with the pairs.  The last round takes every pair that is left, so no link between classes is lost.
+    nodes; ``found`` are links known before.  Stars come first; then every pair that is not inside one class already,
+    so a large cloud of near copies does not cost all its pairs, and no link between classes is lost.
     """
-    roots = None if found is None else saved(components(found), "classes")
-    for turn in range(ROUNDS + 1):
-        known = None if roots is None else known_of(roots)
-        seen = F.pmod(F.xxhash64("fp", F.lit("seen")), F.lit(SEEN)) == 0
-        many = turn < ROUNDS and _pairs(fps, plan, reach, known, seen).count() * SEEN > MANY * plan.n
-        pairs = _pairs(fps, plan, reach, known)
-        if many:
-            pairs = pairs.groupBy("a").agg(F.min_by("b", F.xxhash64("b", F.lit(turn))).alias("b"))
-        new = saved(verify(pairs.select("a", "b").distinct()), "links")
-        found = new if found is None else found.unionByName(new)
-        last, roots = roots, saved(components(found), "classes")
+    roots = None
+    for step in (stars, links):
+        pairs = step(fps, plan) if roots is None else step(fps, plan, known_of(roots))
+        new = saved(verify(pairs), "links")
+        found, last = new if found is None else found.unionByName(new), roots
+        roots = saved(components(found), "classes")
         if last is not None:
             dropped(last)
-        if not many:
-            return roots
+    return roots
 
 
 def _classes(docs: DataFrame, distance: int) -> DataFrame:
@@ -311,7 +311,7 @@ def _classes(docs: DataFrame, distance: int) -> DataFrame:
     rows = saved(docs.select("doc_id", fingerprints("text").alias("fp")), "fingerprints")
     fps = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct_fingerprints")
     named = lambda roots: roots.withColumnRenamed("node", "fp")
-    roots = linked(fps, planned(fps, distance), distance, lambda pairs: pairs, named)
+    roots = linked(fps, planned(fps, distance), lambda pairs: pairs, named)
     known = fps.join(named(roots), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = known.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = saved(known.join(ids, "root").select("fp", "component_id"), "fingerprint_classes")

@@ -203,6 +203,8 @@ def grouped_bits(fps: np.ndarray, m: int) -> list[tuple[int, ...]]:
 
 def planned(fps: DataFrame, distance: int = DISTANCE, sample: int = SAMPLE) -> Plan:
     """Partitions for the distinct fingerprints ``fps(fp)``, from their number and a bounded sample."""
+    if not 1 <= distance <= 14:
+        raise ValueError("distance must be 1 to 14 bits")
     n = fps.count()
     some = fps.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(sample).collect()
     seen = np.array([r[0] for r in some], np.int64).view(np.uint64)
@@ -224,20 +226,24 @@ def plan_of(seen: np.ndarray, m: int, distance: int, n: int) -> Plan:
 
 
 def probes_of(plan: Plan):
-    """UDF: the keys that a fingerprint looks up, each a partition (from bit 40 on) and a value."""
+    """UDF: the keys that a fingerprint looks up, each a partition (from bit 40 on) and a value, and its thresholds.
 
-    @F.pandas_udf("array<long>")
-    def probes(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    Thresholds are packed, four bits each, as one more than they are.
+    """
+
+    @F.pandas_udf("reach long, keys array<long>")
+    def probes(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            out = np.empty(len(part), object)
+            out, reach = np.empty(len(part), object), np.zeros(len(part), np.int64)
             for at in range(0, len(part), 2000):
                 fps = part.to_numpy(np.int64)[at : at + 2000].view(np.uint64)
                 chosen, which = np.unique(plan.thresholds(fps), axis=0, return_inverse=True)
                 for k, thresholds in enumerate(chosen):
                     own = np.flatnonzero(which.reshape(-1) == k)
+                    reach[at + own] = sum(int(t + 1) << 4 * i for i, t in enumerate(thresholds))
                     for row, keys in zip(own, plan.keys(fps[own], thresholds), strict=True):
                         out[at + row] = keys
-            yield pd.Series(out)
+            yield pd.DataFrame({"reach": reach, "keys": out})
 
     return probes
 
@@ -249,11 +255,22 @@ def keys_of(plan: Plan, fp: Column) -> Column:
     return F.array(*(F.lit(i << 40).cast("long") + value(p) for i, p in enumerate(plan.partitions)))
 
 
-def _keyed(fps: DataFrame, keys: Column, name: str, known: DataFrame | None = None) -> DataFrame:
+def _keyed(fps: DataFrame, keys: Column, name: str, known: DataFrame | None = None, *more: str) -> DataFrame:
     """``(name, root, key)`` rows of fingerprints; the root is null where it is not ``known(fp, root)``."""
-    rows = fps.select("fp") if known is None else fps.select("fp").join(known.select("fp", "root"), "fp", "left")
+    rows = fps if known is None else fps.join(known.select("fp", "root"), "fp", "left")
     root = [] if known is None else [F.col("root").alias(f"root_{name}")]
-    return rows.select(F.col("fp").alias(name), *root, F.explode(keys).alias("key"))
+    return rows.select(F.col("fp").alias(name), *root, *more, F.explode(keys).alias("key"))
+
+
+def _first_find(plan: Plan) -> Column:
+    """Whether no partition before the key's own finds the pair too, so that each pair is made once."""
+    found, part = F.col("a").bitwiseXOR(F.col("b")), F.shiftright("key", 40)
+    first = F.lit(True)
+    for i, p in enumerate(plan.partitions):
+        mask = F.lit(int(np.uint64(sum(1 << b for b in p.bits)).view(np.int64)))
+        most = F.shiftright("reach", 4 * i).bitwiseAND(F.lit(15).cast("long"))
+        first = first & ((part <= i) | (F.bit_count(found.bitwiseAND(mask)) >= most))
+    return first
 
 
 def _near(plan: Plan) -> Column:
@@ -267,12 +284,13 @@ def links(fps: DataFrame, plan: Plan, known: DataFrame | None = None) -> DataFra
     distance is checked inside the join, so candidates are never written.  Pairs of one root in ``known(fp, root)`` are
     left out.
     """
-    one = _keyed(fps, probes_of(plan)("fp"), "a", known)
+    probing = fps.select("fp", probes_of(plan)("fp").alias("x")).select("fp", "x.*")
+    one = _keyed(probing, F.col("keys"), "a", known, "reach")
     two = _keyed(fps, keys_of(plan, F.col("fp")), "b", known)
     near = _near(plan)
     if known is not None:
         near = near & F.coalesce(F.col("root_a") != F.col("root_b"), F.lit(True))
-    return one.join(two, "key").filter(near).select("a", "b").distinct()
+    return one.join(two, "key").filter(near & _first_find(plan)).select("a", "b")
 
 
 def stars(fps: DataFrame, plan: Plan) -> DataFrame:

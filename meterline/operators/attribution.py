@@ -1,6 +1,7 @@
 """From log events to priced requests: per-request usage, the active turn, the model, and turn durations.
 
-All state machines are windows over one file's lines, so they share one shuffle by path.
+All state machines are windows inside one file, so they share one shuffle by path: contexts and session facts too are
+windows over the whole file, not joins.
 """
 
 from __future__ import annotations
@@ -27,18 +28,23 @@ def has_tokens(usage: Column) -> Column:
     return F.greatest(*(usage[f] for f in FIELDS[:5])) > 0
 
 
-def turn_contexts(events: DataFrame) -> DataFrame:
-    """``path, turn_id, model, effort``: the last context of each turn of the whole file."""
-    own = events.filter("kind = 'context' AND turn_id IS NOT NULL")
-    last = own.groupBy("path", "turn_id").agg(F.max_by(F.struct("model", "effort"), "line_no").alias("c"))
-    return last.select("path", "turn_id", "c.model", "c.effort")
+def with_file_facts(events: DataFrame) -> DataFrame:
+    """Events with what holds for the whole file.
 
-
-def sessions(events: DataFrame) -> DataFrame:
-    """``path, n_meta, session_at, session_date, bad_session_time``."""
-    timed = F.when(F.col("at").isNotNull(), F.struct("line_no", "at", "at_date"))
-    rows = events.filter("kind = 'meta'").groupBy("path").agg(F.count(F.lit(1)).alias("n_meta"), F.max(timed).alias("t"), F.bool_or("bad_time").alias("bad_session_time"))
-    return rows.select("path", "n_meta", F.col("t.at").alias("session_at"), F.col("t.at_date").alias("session_date"), "bad_session_time")
+    ``n_meta, session_at, session_date, bad_session_time`` of its meta lines, and ``_model, _effort`` of the last context
+    of the event's turn, wherever in the file it stands.
+    """
+    whole, turn, kind = W.partitionBy("path"), W.partitionBy("path", "turn_id"), F.col("kind")
+    timed = F.when((kind == "meta") & F.col("at").isNotNull(), F.struct("line_no", "at", "at_date"))
+    context = F.when((kind == "context") & F.col("turn_id").isNotNull(), F.struct("line_no", "model", "effort"))
+    rows = events.select(
+        "*",
+        F.count_if(kind == "meta").over(whole).alias("n_meta"),
+        F.max(timed).over(whole).alias("_session"),
+        F.bool_or(F.when(kind == "meta", F.col("bad_time"))).over(whole).alias("bad_session_time"),
+    ).withColumn("_context", F.max(context).over(turn))
+    found = {"session_at": "_session.at", "session_date": "_session.at_date", "_model": "_context.model", "_effort": "_context.effort"}
+    return rows.withColumns({c: F.col(x) for c, x in found.items()}).drop("_session", "_context")
 
 
 def attributed(events: DataFrame) -> DataFrame:
@@ -50,9 +56,7 @@ def attributed(events: DataFrame) -> DataFrame:
     """
     by = W.partitionBy("path").orderBy("line_no")
     before, so_far = by.rowsBetween(W.unboundedPreceding, -1), by.rowsBetween(W.unboundedPreceding, 0)
-    contexts = turn_contexts(events).select("path", "turn_id", F.col("model").alias("_model"), F.col("effort").alias("_effort"))
-    rows = events.join(contexts, ["path", "turn_id"], "left").join(sessions(events), "path", "left")
-    rows = rows.withColumn("n_meta", F.coalesce("n_meta", F.lit(0)))
+    rows = with_file_facts(events)
     kind, known = F.col("kind"), F.col("_model").isNotNull()
     rows = rows.withColumn("is_start", (kind == "start") & known)
     rows = rows.withColumn("_segment", F.count_if(kind == "start").over(so_far))
@@ -92,40 +96,62 @@ def turns(rows: DataFrame) -> DataFrame:
     return rows.filter("is_start").select("path", "line_no", "turn_id", F.col("_model").alias("model"), F.col("_effort").alias("effort"))
 
 
-def turn_ends(rows: DataFrame) -> DataFrame:
-    """``path, line_no, turn_id, model, seconds`` of every end that closes a timed start (seconds null: untimed end).
+def with_ends(rows: DataFrame) -> DataFrame:
+    """Rows with ``ended_turn, ended_model, seconds`` on every end that closes a timed start, else null.
 
-    The latest timed start of the turn counts, and the first end uses it up.
+    The latest timed start of the turn counts, and the first end uses it up (seconds null: untimed end).
     """
-    ends = rows.filter("kind = 'end'").select("path", "line_no", F.coalesce("turn_id", "active").alias("turn_id"), "at", F.lit(False).alias("_starts"))
-    starts = rows.filter("is_start AND at IS NOT NULL").select("path", "line_no", "turn_id", "at", F.lit(True).alias("_starts"))
-    by = W.partitionBy("path", "turn_id").orderBy("line_no")
-    both = ends.filter("turn_id IS NOT NULL").unionByName(starts).withColumn("_from", F.when(F.lag("_starts").over(by), F.lag("at").over(by)))
-    paired = both.filter("NOT _starts AND _from IS NOT NULL")
-    seconds = (F.unix_micros("at") - F.unix_micros("_from")) / F.lit(1e6)
-    contexts = rows.filter("is_start").groupBy("path", "turn_id").agg(F.max("_model").alias("model"))
-    return paired.withColumn("seconds", seconds).join(contexts, ["path", "turn_id"]).select("path", "line_no", "turn_id", "model", "seconds")
+    ends = (F.col("kind") == "end") & F.coalesce("turn_id", "active").isNotNull()
+    starts = F.col("is_start") & F.col("at").isNotNull()
+    rows = rows.withColumn("_turn", F.when(ends, F.coalesce("turn_id", "active")).when(starts, F.col("turn_id")))
+    # other rows form a part of their own, so that ends and starts alone follow one another
+    by = W.partitionBy("path", "_turn").orderBy("line_no")
+    began = F.lag(F.when(starts, F.struct("at", F.col("_model").alias("model")))).over(by)
+    rows = rows.withColumn("_began", began).withColumn("_began", F.when(ends, F.col("_began")))
+    seconds = (F.unix_micros("at") - F.unix_micros("_began.at")) / F.lit(1e6)
+    closes = F.col("_began").isNotNull()
+    ended = {"ended_turn": F.when(closes, F.col("_turn")), "ended_model": F.col("_began.model"), "seconds": seconds}
+    return rows.withColumns(ended).drop("_turn", "_began")
 
 
-def rollout_quality(rows: DataFrame) -> DataFrame:
-    """``path, malformed_lines, oversized_lines, invalid_usage, unattributed_tokens, is_incomplete`` of each file."""
+def turn_ends(rows: DataFrame) -> DataFrame:
+    """``path, line_no, turn_id, model, seconds`` of every end that closes a timed start."""
+    own = with_ends(rows).filter("ended_turn IS NOT NULL")
+    return own.select("path", "line_no", F.col("ended_turn").alias("turn_id"), F.col("ended_model").alias("model"), "seconds")
+
+
+def _quality() -> list[Column]:
     lost = F.col("usage").isNotNull() & F.col("for_model").isNull()
     untimed = F.col("bad_time") & (F.col("is_start") | (F.col("kind") == "end") | F.col("for_model").isNotNull())
-    incomplete = F.col("kind").isin("malformed", "oversized") | F.col("is_invalid") | lost | untimed | F.coalesce("bad_session_time", F.lit(False))
-    return rows.groupBy("path").agg(
+    incomplete = F.col("kind").isin("malformed", "oversized") | F.col("is_invalid") | lost | untimed
+    tokens = F.when(lost & (F.col("n_meta") > 1), F.col("usage.total"))
+    # a sum beyond the largest BIGINT stops there, and the file is incomplete
+    above = lambda c: F.try_sum(c).isNull() & (F.count(c) > 0)
+    full = above(tokens)
+    for f in FIELDS[:5]:
+        full = full | above(F.when(F.col("for_model").isNotNull(), F.col(f"usage.{f}")))
+    return [
         F.count_if(F.col("kind") == "malformed").alias("malformed_lines"),
         F.count_if(F.col("kind") == "oversized").alias("oversized_lines"),
         F.count_if("is_invalid").alias("invalid_usage"),
-        F.coalesce(total_or_max(F.when(lost & (F.col("n_meta") > 1), F.col("usage.total"))), F.lit(0).cast("bigint")).alias("unattributed_tokens"),
-        F.bool_or(incomplete).alias("is_incomplete"),
-    )
+        F.coalesce(total_or_max(tokens), F.lit(0).cast("bigint")).alias("unattributed_tokens"),
+        (F.bool_or(incomplete | F.coalesce("bad_session_time", F.lit(False))) | full).alias("is_incomplete"),
+    ]
+
+
+def rollout_quality(rows: DataFrame) -> DataFrame:
+    """``path, malformed_lines, oversized_lines, invalid_usage, unattributed_tokens, is_incomplete`` of each file."""
+    return rows.groupBy("path").agg(*_quality())
 
 
 def rollout_stats(rows: DataFrame) -> DataFrame:
     """One row for each file: quality, known usage, turns, ended turns and turn seconds."""
     zero = F.lit(0).cast("bigint")
-    used = usage_events(rows).groupBy("path").agg(*(total_or_max(F.col(f)).alias(f) for f in FIELDS[:5]))
-    begun = turns(rows).groupBy("path").agg(F.count(F.lit(1)).alias("turns"))
-    ended = turn_ends(rows).groupBy("path").agg(F.count(F.lit(1)).alias("ended_turns"), F.sum("seconds").alias("seconds"))
-    out = rollout_quality(rows).join(used, "path", "left").join(begun, "path", "left").join(ended, "path", "left")
-    return out.withColumns({c: F.coalesce(c, zero) for c in (*FIELDS[:5], "turns", "ended_turns")} | {"seconds": F.coalesce("seconds", F.lit(0.0))})
+    used = lambda f: F.when(F.col("for_model").isNotNull(), F.col(f"usage.{f}"))
+    return with_ends(rows).groupBy("path").agg(
+        *_quality(),
+        *(F.coalesce(total_or_max(used(f)), zero).alias(f) for f in FIELDS[:5]),
+        F.count_if("is_start").alias("turns"),
+        F.count("ended_turn").alias("ended_turns"),
+        F.coalesce(F.sum("seconds"), F.lit(0.0)).alias("seconds"),
+    )

@@ -10,6 +10,8 @@ from meterline.operators import aggregates as A
 from meterline.operators import selection as S
 from meterline.sources.projects import clean_path
 
+#: Warnings; fixed values of the report format.
+UNREAD_ROOT = "selected root rollout could not be read"
 COUNTS = ("input_tokens", "input_cache_write_tokens", "input_cache_read_tokens", "reasoning_tokens", "output_tokens", "turns", "completed_or_aborted_turns", "incomplete_turns")
 
 
@@ -83,13 +85,34 @@ def merged(trees: DataFrame, chosen: DataFrame) -> DataFrame:
         F.bool_or(F.coalesce("incomplete_input", F.lit(True))).alias("incomplete_input"),
         F.count_if(F.coalesce("incomplete_input", F.lit(True))).alias("incomplete_root_reports"),
         F.count_if(read & (F.size("unpriced_models") > 0)).alias("unpriced_root_reports"),
-        A.warnings(F.when(~read, F.lit("selected root rollout could not be read"))).alias("incomplete_input_warnings"),
+        A.warnings(F.when(~read, F.lit(UNREAD_ROOT))).alias("incomplete_input_warnings"),
     )
     lost = rows.filter("unpriced_models IS NOT NULL").select("target", F.explode("unpriced_models").alias("model", "n")).groupBy("target", "model").agg(F.sum("n").alias("n"))
     lost = lost.groupBy("target").agg(A.sorted_map(F.col("model"), F.col("n"), F.lit(True)).alias("unpriced_models"))
     return sums.join(lost, "target", "left").join(S.selection_counts(chosen), "target", "left")
 
 
+def merged_models(by_model: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Totals by target and model over the (rounded) model rows of its sessions' trees; the estimate is null if any is."""
+    own = chosen.filter("membership IN ('direct', 'fallback', 'projectless_member')")
+    rows = own.select("target", F.col("id").alias("root_id")).join(by_model, "root_id")
+    money = lambda c: F.col(c).cast("decimal(38,8)")
+    counts = ("turns", "input_tokens", "input_cache_write_tokens", "input_cache_read_tokens", "reasoning_tokens", "output_tokens")
+    return rows.groupBy("target", "model").agg(
+        *(F.sum(c).alias(c) for c in counts),
+        F.round(F.sum("total_turn_duration_seconds"), 3).alias("total_turn_duration_seconds"),
+        F.when(F.count_if(F.col("estimated_cost_usd").isNull()) == 0, F.sum(money("estimated_cost_usd")).cast("double")).alias("estimated_cost_usd"),
+        F.sum(money("known_model_cost_usd")).cast("double").alias("known_model_cost_usd"),
+    )
+
+
+def merged_warnings(warnings: DataFrame, chosen: DataFrame) -> DataFrame:
+    """``target, warnings``: different warnings of the trees of a target's sessions, in order."""
+    own = chosen.filter("membership IN ('direct', 'fallback', 'projectless_member')").select("target", F.col("id").alias("root_id"))
+    each = own.join(warnings, "root_id").select("target", F.explode("incomplete_input_warnings").alias("w"))
+    return each.groupBy("target").agg(A.warnings(F.col("w")).alias("warnings"))
+
+
 def missing_roots(found: DataFrame, known_paths: DataFrame) -> DataFrame:
     """``target, missing_source_roots``: root paths of projects that ``known_paths(root_path, root_exists)`` says are gone."""
     paths = found.filter("project_id IS NOT NULL").select("target", F.explode("paths").alias("root_path"))

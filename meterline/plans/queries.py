@@ -293,6 +293,62 @@ def project_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.select("target", "rollout_count", "input_tokens", "output_tokens", "turns", "total_turn_duration_seconds", "estimated_cost_usd", "known_model_cost_usd", "unattributed_usage_tokens", "incomplete_input", "incomplete_root_reports", "unpriced_root_reports", "direct_assignments", "unpriced_models")
 
 
+NATION_ROOTS = "SELECT id AS root_id, n_name AS target FROM li JOIN nation ON n_nationkey = nation WHERE kind = 'root'"
+
+
+@query(f"""{MODELS}, r AS ({NATION_ROOTS})
+SELECT target, model, sum(turns)::BIGINT AS turns, sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens, round(sum(total_turn_duration_seconds), 3) AS total_turn_duration_seconds,
+  CASE WHEN count(*) = count(estimated_cost_usd) THEN sum(estimated_cost_usd::DECIMAL(38,8))::DOUBLE END AS estimated_cost_usd, sum(known_model_cost_usd::DECIMAL(38,8))::DOUBLE AS known_model_cost_usd
+FROM md JOIN r USING (root_id) GROUP BY target, model""")
+def project_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as projects: their roots' trees by model, merged."""
+    rows = adapters.links(spark, sf_dir).filter("kind = 'root'").join(table(spark, sf_dir, "nation"), F.col("nation") == F.col("n_nationkey"))
+    chosen = rows.select(F.col("n_name").alias("target"), "id", F.lit("direct").alias("membership"))
+    merged = projects.merged_models(_parts(spark, sf_dir)["by_model"], chosen)
+    return merged.drop("reasoning_tokens", "input_cache_write_tokens", "input_cache_read_tokens")
+
+
+@query(f"""{FACTS}, {_tree_sql('root_id', 'SELECT root_id, id FROM tr')}
+SELECT root_id, 'Whole tree' AS label, format('{{:,}}', turns) || ' (' || format('{{:,}}', completed_or_aborted_turns) || ' complete, ' || format('{{:,}}', incomplete_turns) || ' incomplete)' AS turns,
+  {_count_sql('input_tokens')} AS input, {_count_sql('input_cache_read_tokens')} AS cache_read, CASE WHEN input_cache_write_tokens > 0 THEN {_count_sql('input_cache_write_tokens')} END AS cache_write,
+  {_count_sql('output_tokens')} AS output, '0' AS reasoning, {_duration_sql('total_turn_duration_seconds')} AS duration,
+  CASE WHEN estimated_cost_usd IS NOT NULL THEN printf('$%.2f', estimated_cost_usd) ELSE printf('$%.2f+', known_model_cost_usd) END AS cost FROM rp""")
+def readable_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.readable_scope(_parts(spark, sf_dir)["tree"], F.lit("Whole tree"))
+
+
+@query(f"""{FACTS}, {_tree_sql('root_id', 'SELECT root_id, id FROM tr')},
+nm AS (SELECT o_custkey AS id, o_orderpriority || CASE WHEN o_custkey % 4 = 0 THEN ' · $1.50+ · ⇄2K' ELSE '' END AS name, o_orderdate AS index_at FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1),
+th AS (SELECT c_custkey AS id, c_name, TIMESTAMP '1998-01-01' + to_days((c_custkey % 900)::INTEGER) AS updated_at FROM customer WHERE c_custkey % 50 = 0),
+ch AS (SELECT th.*, CASE WHEN th.id % 100 = 0 THEN c_name ELSE coalesce(nm.name, 'Untitled') END AS base FROM th LEFT JOIN nm USING (id)
+  WHERE updated_at <= TIMESTAMP '1999-06-01' - INTERVAL 15 MINUTE AND NOT coalesce(ends_with(nm.name, '+ · ⇄2K') AND index_at >= updated_at, FALSE)),
+sx AS (SELECT ch.id, regexp_replace(base, ' · \\$1\\.50\\+ · ⇄2K$', '') AS stem, base, '$' || format('{{:,}}', round(known_model_cost_usd * 100)::BIGINT // 100) || '.' || lpad((round(known_model_cost_usd * 100)::BIGINT % 100)::VARCHAR, 2, '0')
+  || CASE WHEN estimated_cost_usd IS NULL THEN '+' ELSE '' END || ' · ⇄' || {_count_sql('(input_tokens + output_tokens)')} AS suffix FROM ch JOIN rp ON rp.root_id = ch.id)
+SELECT id, base AS old_title, stem || ' · ' || suffix AS new_title, NULL::VARCHAR AS error FROM sx""")
+def title_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Root customers as threads, their newest order as index entry: selection, trees and titles in one plan."""
+    key, orders = F.col("c_custkey"), table(spark, sf_dir, "orders")
+    when = F.lit("1998-01-01 00:00:00").cast(orders.schema["o_orderdate"].dataType)
+    none = F.lit(None).cast("string")
+    threads = table(spark, sf_dir, "customer").select(
+        key.alias("id"),
+        F.when(key % 100 == 0, F.col("c_name")).alias("title"),
+        none.alias("name"),
+        F.lit("legacy").alias("history_mode"),
+        (when + F.make_dt_interval((key % 900).cast("int"))).alias("updated_at"),
+        none.alias("first_user_message"),
+        F.when(key % 50 == 0, "cli").otherwise('{"subagent":"review"}').alias("source"),
+    )
+    named = orders.select(
+        F.col("o_custkey").alias("id"),
+        F.concat("o_orderpriority", F.when(F.col("o_custkey") % 4 == 0, " · $1.50+ · ⇄2K").otherwise("")).alias("name"),
+        F.col("o_orderdate").alias("updated_at"),
+        F.col("o_orderkey").alias("line_no"),
+    )
+    now = F.lit("1999-06-01 00:00:00").cast(orders.schema["o_orderdate"].dataType)
+    return titles.title_chain(threads, logs.latest_name(named), adapters.facts(spark, sf_dir), ("cost", "total"), 200, now, 15, 1_000_000)
+
+
 @query("WITH c AS (SELECT o_custkey, o_orderpriority AS model, o_orderstatus AS effort, count(*) AS n FROM orders GROUP BY ALL) SELECT o_custkey, model, effort FROM c QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY n DESC, model, effort) = 1")
 def majority_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "orders").groupBy("o_custkey", F.col("o_orderpriority").alias("model"), F.col("o_orderstatus").alias("effort")).agg(F.count(F.lit(1)).alias("n"))

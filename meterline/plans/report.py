@@ -17,7 +17,12 @@ from meterline.sources import catalog as C
 from meterline.sources import logs
 
 USED = FIELDS[:5]
-#: Fixed value of the report format.
+#: Warnings and pricing basis; fixed values of the report format.
+SCAN_MALFORMED = "rollout scan skipped malformed JSONL records"
+SCAN_OVERSIZED = "rollout scan skipped oversized JSONL records"
+INDEX_MALFORMED = "session index contains malformed JSONL records"
+INDEX_OVERSIZED = "session index skipped oversized JSONL records"
+UNREAD = "descendant rollout %s could not be read"
 BASIS = "standard API list pricing; per request/turn model; output includes reasoning"
 
 
@@ -101,7 +106,7 @@ def stats(members: DataFrame, facts: Facts, *keys: str) -> DataFrame:
     most = counts.groupBy(*keys).agg(A.majority(F.struct("model", "effort"), F.col("n")).alias("majority"))
     lost = rows.filter("unpriced IS NOT NULL").groupBy(*keys, "model").agg(total_or_max(F.col("unpriced")).alias("n"))
     lost = lost.groupBy(*keys).agg(A.sorted_map(F.col("model"), F.col("n"), F.lit(True)).alias("unpriced_models"))
-    quality = members.join(facts.quality.select("id", "unattributed_tokens", "is_incomplete"), "id", "left").groupBy(*keys).agg(F.count(F.lit(1)).alias("rollout_count"), F.coalesce(total_or_max(F.col("unattributed_tokens")), F.lit(0).cast("bigint")).alias("unattributed"), F.bool_or(F.coalesce("is_incomplete", F.lit(False))).alias("any_incomplete"))
+    quality = members.join(facts.quality.select("id", "unattributed_tokens", "is_incomplete"), "id", "left").groupBy(*keys).agg(F.count(F.lit(1)).alias("rollout_count"), F.coalesce(total_or_max(F.col("unattributed_tokens")), F.lit(0).cast("bigint")).alias("unattributed"), F.bool_or(F.coalesce("is_incomplete", F.lit(True))).alias("any_incomplete"))
     joined = quality.join(sums, list(keys), "left").join(most, list(keys), "left").join(lost, list(keys), "left")
     zeros = {c: F.coalesce(c, F.lit(0).cast("bigint")) for c in (*USED, "turns", "ended")}
     joined = joined.withColumns(zeros | {"seconds": F.coalesce("seconds", F.lit(0.0)), "cost": F.coalesce("cost", F.lit(0).cast("decimal(38,6)")), "partly_priced": F.coalesce("partly_priced", F.lit(False))})
@@ -115,36 +120,48 @@ def by_model(members: DataFrame, facts: Facts, *keys: str) -> DataFrame:
     return sums.select(*keys, "model", "turns", F.col("input").alias("input_tokens"), F.col("cache_write").alias("input_cache_write_tokens"), F.col("cached").alias("input_cache_read_tokens"), F.col("reasoning").alias("reasoning_tokens"), F.col("output").alias("output_tokens"), F.col("seconds").alias("total_turn_duration_seconds"), F.when(~F.col("partly_priced"), known).alias("estimated_cost_usd"), known.alias("known_model_cost_usd"))
 
 
-def tree_report(facts: Facts, roots: DataFrame, scan: DataFrame | None = None, names: DataFrame | None = None, names_complete: bool = True) -> dict[str, DataFrame]:
+def tree_report(facts: Facts, roots: DataFrame, scan: DataFrame | None = None, names: DataFrame | None = None, index: DataFrame | None = None) -> dict[str, DataFrame]:
     """The parts of the reports of ``roots(id)`` (of any kind), all roots at once.
 
     ``rollout`` (the session itself), ``tree``, ``by_model``, ``by_kind`` and ``warnings``.  ``scan`` has the scan
-    counters of the home: a bad record in it makes every tree incomplete, but not the sessions' own figures.  Names
-    are left out where the index isn't complete.
+    counters of the home: a bad record in it makes every tree incomplete, but not the sessions' own figures.
+    ``index`` has the counters of the session index: where it has bad records, names are left out.  A descendant
+    without facts makes its tree incomplete, with a warning.
     """
     own = roots.join(facts.rollouts.select("id"), "id", "left_semi")
     links = facts.rollouts.select("id", "parent_id")
     below = stored(tree.closure(links, own), "members")
     members = below.select("root_id", F.col("member_id").alias("id"), "depth")
-    flag, notes = F.lit(False), own.select(F.col("id").alias("root_id"), F.array().cast("array<string>").alias("incomplete_input_warnings"))
+    flag, texts = F.lit(False), []
     if scan is not None:
-        seen = scan.first()
-        texts = [t for n, t in ((seen["n_malformed"], "rollout scan skipped malformed JSONL records"), (seen["n_oversized"], "rollout scan skipped oversized JSONL records")) if n]
+        texts = _noted(scan, SCAN_MALFORMED, SCAN_OVERSIZED)
         flag = F.lit(bool(texts))
-        notes = notes.withColumn("incomplete_input_warnings", F.array(*map(F.lit, texts)).cast("array<string>"))
+    of_index = _noted(index, INDEX_MALFORMED, INDEX_OVERSIZED) if index is not None else []
+    unread = members.filter("depth > 0").join(facts.quality.select("id"), "id", "left_anti")
+    unread = unread.groupBy("root_id").agg(F.array_sort(F.collect_list(F.format_string(UNREAD, F.col("id").cast("string")))).alias("_unread"))
+    fixed = lambda x: F.array(*map(F.lit, x)).cast("array<string>")
+    missing = F.coalesce("_unread", fixed([]))
+    notes = own.select(F.col("id").alias("root_id")).join(unread, "root_id", "left")
+    notes = notes.select("root_id", F.concat(fixed(texts), missing, fixed(of_index)).alias("incomplete_input_warnings"))
     whole = stats(members.select("root_id", "id"), facts, "root_id")
     whole = whole.withColumn("incomplete_input", F.col("incomplete_input") | flag).withColumn("estimated_cost_usd", F.when(~F.col("incomplete_input"), F.col("estimated_cost_usd")))
     alone = stats(members.filter("depth = 0").select("root_id", "id"), facts, "root_id")
     children = stats(members.filter("depth > 0").select("root_id", "id"), facts, "root_id").select("root_id", F.col("rollout_count").alias("_n"), F.col("total_turn_duration_seconds").alias("_s"))
     kinds = members.join(facts.rollouts.select("id", "kind"), "id").select("root_id", F.col("kind").alias("rollout_type"), "id")
     head = facts.rollouts.select(F.col("id").alias("root_id"), F.col("kind").alias("rollout_type"), F.col("cwd").alias("project"))
-    named = names.select(F.col("id").alias("root_id"), F.col("name").alias("thread_name")) if names is not None and names_complete else None
+    named = names.select(F.col("id").alias("root_id"), F.col("name").alias("thread_name")) if names is not None and not of_index else None
     rollout = alone.join(head, "root_id").join(children, "root_id", "left")
     rollout = rollout.join(named, "root_id", "left") if named is not None else rollout.withColumn("thread_name", F.lit(None).cast("string"))
     rollout = rollout.withColumn("total_subagent_spawns", F.coalesce("_n", F.lit(0).cast("bigint"))).withColumn("total_subagent_turn_duration_seconds", F.coalesce("_s", F.lit(0.0))).drop("_n", "_s")
     return {"rollout": rollout, "tree": whole, "by_model": by_model(members.select("root_id", "id"), facts, "root_id"), "by_kind": stats(kinds, facts, "root_id", "rollout_type"), "warnings": notes}
 
 
+def _noted(quality: DataFrame, malformed: str, oversized: str) -> list[str]:
+    """The warnings that a row of counters calls for."""
+    seen = quality.first()
+    return [t for n, t in ((seen["n_malformed"], malformed), (seen["n_oversized"], oversized)) if n]
+
+
 def provenance(price_catalog: DataFrame) -> DataFrame:
     """``basis, as_of, source, model_proxies`` of a catalog."""
     return price_catalog.select(F.lit(BASIS).alias("basis"), "as_of", "source", F.map_from_entries(F.array_sort(F.map_entries("proxies"))).alias("model_proxies"))
@@ -192,7 +209,7 @@ def readable_scope(rows: DataFrame, scope: Column) -> DataFrame:
 
 
 def readable_models(rows: DataFrame) -> DataFrame:
-    """Models as formatted text columns, by known cost, largest first, then by name."""
+    """Models as formatted text columns, by known cost, largest first, then by name; :func:`readable_scope` gives totals."""
     return _readable(rows, X.safe_text(F.col("model")), X.grouped_count(F.col("turns"))).orderBy("root_id", F.col("_cost").desc(), "label").drop("_cost")
 
 

@@ -7,7 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from meterline.functions.records import source_is_root
+from meterline.functions.shared import stored
 from meterline.functions.titles import base_name, composed, metrics_text
+from meterline.operators.selection import idle, needs_update
+from meterline.plans.report import Facts, tree_report
+from meterline.sources import logs
 
 
 def proposals(selected: DataFrame, trees: DataFrame, metrics: Sequence[str], width: int) -> DataFrame:
@@ -22,6 +27,33 @@ def proposals(selected: DataFrame, trees: DataFrame, metrics: Sequence[str], wid
     return made.withColumn("error", F.when(F.col("new_title").isNull(), "too_narrow"))
 
 
+def with_index(threads: DataFrame, names: DataFrame) -> DataFrame:
+    """Threads with ``index_name, index_at`` of the session index ``id, name, updated_at``; null where it has none."""
+    return threads.join(names.select("id", F.col("name").alias("index_name"), F.col("updated_at").alias("index_at")), "id", "left")
+
+
+def title_chain(
+    threads: DataFrame,
+    names: DataFrame,
+    facts: Facts,
+    metrics: Sequence[str],
+    width: int,
+    now: Column,
+    idle_minutes: int,
+    limit: int,
+    scan: DataFrame | None = None,
+) -> DataFrame:
+    """Proposals for the newest idle root sessions that need one, from the thread table to the composed title.
+
+    Threads meet the session index, the idle ones that need an update are selected, only their trees are totalled, and
+    each gets its title.  Which threads are roots follows from their ``source``.
+    """
+    roots = logs.checked_threads(threads).filter(source_is_root(F.col("source")))
+    chosen = stored(idle(with_index(roots, names), needs_update(metrics, width), now, idle_minutes, limit), "chosen")
+    trees = tree_report(facts, chosen.select("id"), scan)["tree"]
+    return proposals(chosen, trees, metrics, width)
+
+
 def append_names(made: DataFrame, updated_at: Column, path: str) -> None:
     """Append the new names to the session index as JSON lines, all with one timestamp."""
     stamp = F.date_format(updated_at, "yyyy-MM-dd'T'HH:mm:ss'Z'")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -16,11 +19,32 @@ STARTS = ("task_started", "turn_started")
 ENDS = ("task_complete", "turn_complete", "task_aborted", "turn_aborted")
 
 
+#: Folders of a home with active and archived sessions; fixed values of the log format.
+FOLDERS = ("sessions", "archived_sessions")
+
+
+def present(spark: SparkSession, folders: Iterable[str]) -> list[str]:
+    """Those of the folders that exist, in whatever file system they are."""
+    paths = {f: spark._jvm.org.apache.hadoop.fs.Path(f) for f in folders}
+    conf = spark._jsc.hadoopConfiguration()
+    return [f for f, p in paths.items() if p.getFileSystem(conf).exists(p)]
+
+
+def read_homes(spark: SparkSession, *homes: str) -> DataFrame:
+    """Lines of the active and archived sessions of several homes, with ``home``."""
+    parts = [read_lines(spark, *(f"{h}/{f}" for f in FOLDERS)).withColumn("home", F.lit(h)) for h in homes]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def read_lines(spark: SparkSession, *folders: str) -> DataFrame:
     """``path, mtime, size, line_no, raw`` of every line of every ``*.jsonl`` below the folders (active and archived).
 
+    Folders that don't exist are empty.
     A file may be split among tasks: lines are numbered by the start of their block and their order in it.
     """
+    folders = present(spark, folders)
+    if not folders:
+        return spark.createDataFrame([], "path string, mtime timestamp, size long, line_no long, raw string")
     found = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").option("lineSep", "\n").text(list(folders))
     lines = found.select(
         F.col("_metadata.file_path").alias("path"),
@@ -102,8 +126,9 @@ def rollouts(rows: DataFrame) -> DataFrame:
     id_ = R.first_text(payload, "$.id", "$.session_id")
     metas = rows.filter((R.text_at(v, "$.type") == "session_meta") & R.is_object(payload) & id_.isNotNull())
     record = F.struct("line_no", id_.alias("id"), R.parent_id(payload).alias("parent_id"), R.rollout_kind(R.at(payload, "$.source")).alias("kind"), R.text_at(payload, "$.cwd").alias("cwd"))
-    found = metas.groupBy("path", "mtime").agg(F.min_by(record, "line_no").alias("r"))
-    return found.select("path", "mtime", "r.id", "r.parent_id", F.coalesce("r.kind", F.lit("root")).alias("kind"), "r.cwd")
+    home = [c for c in ("home",) if c in rows.columns]
+    found = metas.groupBy("path", "mtime", *home).agg(F.min_by(record, "line_no").alias("r"))
+    return found.select("path", "mtime", *home, "r.id", "r.parent_id", F.coalesce("r.kind", F.lit("root")).alias("kind"), "r.cwd")
 
 
 def scan_quality(rows: DataFrame) -> DataFrame:

@@ -40,6 +40,8 @@ def clean_path(path: Column) -> Column:
 
 
 def ancestors(path: Column) -> Column:
-    """The path and every folder above it, as an array."""
+    """The path and every folder above it, up to ``/``, as an array."""
     parts = F.split(path, "/")
-    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    above = lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/")
+    folders = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.when(above(n) == "", "/").otherwise(above(n)))
+    return F.array_distinct(folders)

@@ -55,25 +55,67 @@ def stats(spark, *raws):
     return attribution.rollout_stats(seen).first(), seen
 
 
-def test_running_totals_and_reset(spark):
-    got, _ = stats(spark, meta(), context("t"), start("t"), usage((100, 20, 5), (100, 20, 5)), usage((40, 10, 2), (140, 30, 7)), usage((7, 1, 1), (7, 1, 1)))
-    assert (got["input"], got["cached"], got["output"], got["turns"], got["is_incomplete"]) == (147, 31, 8, 1, False)
-
-
-@pytest.mark.parametrize(
-    ("raws", "tokens", "lost", "turns"),
-    [
-        ([meta(), context("t"), start("t"), usage((5, 0, 2))], 7, 0, 1),
-        ([meta(), context("t"), start("t"), usage((6, 0, 3)), end("t", name="turn_aborted")], 9, 0, 1),
-        ([meta(), context(None, "old"), usage((6, 0, 3))], 9, 0, 0),
-        ([meta("a"), meta("b"), context(None, "old"), usage((6, 0, 3))], 0, 9, 0),
-        ([meta("a"), meta("b"), context("t"), usage((6, 0, 3))], 0, 9, 0),
-    ],
-)
-def test_attribution(spark, raws, tokens, lost, turns):
-    got, _ = stats(spark, *raws)
-    assert (got["input"] + got["output"], got["unattributed_tokens"], got["turns"]) == (tokens, lost, turns)
-    assert got["is_incomplete"] == (lost > 0)
+def test_growth_of_totals_is_what_was_used(spark):
+    # totals grow, stand still, are left out, fall in one field alone, and grow again from there
+    seen = [((9, 3, 2), (60, 9, 8)), ((1, 1, 1), (60, 9, 8)), ((4, 2, 1), None), ((8, 6, 3), (75, 15, 11)), ((5, 4, 2), (90, 14, 12)), ((2, 2, 2), (91, 16, 12))]
+    got, rows = stats(spark, meta(), context("t"), start("t"), *(usage(last, total) for last, total in seen))
+    expected = [(9, 3, 2), (4, 2, 1), (15, 6, 3), (5, 4, 2), (1, 2, 0)]
+    used = rows.filter("usage IS NOT NULL").orderBy("line_no").select("usage.input", "usage.cached", "usage.output")
+    assert [tuple(r) for r in used.collect()] == expected
+    assert (got["input"], got["cached"], got["output"]) == tuple(map(sum, zip(*expected, strict=True)))
+
+
+def test_who_is_charged(spark):
+    use = usage((11, 4, 13))
+    cases = {
+        "end_of_another_turn": ([meta(), context("p", "mp"), context("q", "mq"), start("p"), end("q"), use], "mp", False),
+        "own_end": ([meta(), context("p", "mp"), start("p"), end("p"), use], None, True),
+        "unknown_start_ends_a_turn": ([meta(), context("p", "mp"), start("p"), start("zz"), use], None, True),
+        "context_comes_later": ([meta(), start("p"), use, context("p", "late")], "late", False),
+        "loose_context_after_an_end": ([meta(), context("p", "mp"), start("p"), end("p"), context(None, "loose"), use], "loose", False),
+        "turn_clears_loose_context": ([meta(), context(None, "loose"), context("p", "mp"), use], None, True),
+        "loose_context_of_two_metas": ([meta("v"), meta("w"), context(None, "loose"), use], None, True),
+    }
+    seen = attributed_files(spark, {k: raws for k, (raws, _, _) in cases.items()})
+    charged = {r["path"]: r["for_model"] for r in seen.filter("usage IS NOT NULL").collect()}
+    assert charged == {k: model for k, (_, model, _) in cases.items()}
+    found = {r["path"]: (r["is_incomplete"], r["unattributed_tokens"]) for r in attribution.rollout_stats(seen).collect()}
+    assert found == {k: (lost, 24 if k == "loose_context_of_two_metas" else 0) for k, (_, _, lost) in cases.items()}
+
+
+def attributed_files(spark, files):
+    return attribution.attributed(logs.log_events(records(spark, **files))).cache()
+
+
+def test_sums_beyond_bigint_are_incomplete(spark):
+    big = (1 << 62) + 5
+    got, _ = stats(spark, meta(), context("t"), start("t"), usage({"input_tokens": big}), usage({"input_tokens": big}))
+    assert (got["input"], got["is_incomplete"]) == ((1 << 63) - 1, True)
+
+
+def test_attribution_takes_one_shuffle(spark):
+    events = logs.log_events(records(spark, f=[meta(), context("t"), start("t"), usage((1, 0, 0)), end("t")]))
+    plan = attribution.rollout_stats(attribution.attributed(events))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_missing_folders_are_empty_and_homes_stay_apart(spark, tmp_path):
+    for home, when in (("one", 5), ("two", 9)):
+        (tmp_path / home / "sessions").mkdir(parents=True)
+        (tmp_path / home / "sessions" / f"{when}.jsonl").write_text(meta("same") + "\n" + meta("other") + "\n")
+    rows = logs.records(logs.read_homes(spark, str(tmp_path / "one"), str(tmp_path / "two"), str(tmp_path / "none")))
+    found = logs.newest_per_id(logs.rollouts(rows), "home").collect()
+    assert sorted((r["home"].rsplit("/")[-1], r["id"]) for r in found) == [("one", "same"), ("two", "same")]
+    assert logs.read_homes(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_thread_table_sources(spark):
+    threads = spark.createDataFrame([("a", "cli", "/f/a", "/w"), ("b", '{"subagent":"review"}', "/f/b", None), ("c", "not json", "/f/c", None), ("d", None, "/f/d", None)], "id string, source string, rollout_path string, cwd string")
+    assert {r["id"] for r in logs.root_hints(threads).collect()} == {"a", "c"}
+    files = logs.rollouts(records(spark, **{"/f/x": [meta("x")], "/f/a": [meta("a")], "/f/y": [meta("y", source={"subagent": "review"})]}))
+    assert {(r["id"], r["path"]) for r in logs.root_hints(threads, files).collect()} == {("a", "/f/a"), ("c", "/f/c"), ("x", "/f/x")}
+    with pytest.raises(ValueError, match="first_user_message"):
+        logs.checked_threads(threads)
 
 
 def test_durations_and_models(spark):
@@ -237,3 +279,18 @@ def test_tree_report_and_json(spark, price_catalog):
     assert made["tree"]["incomplete_input"] is True and "incomplete_input" not in made["rollout"]
     assert made["rollout"]["rollout_id"] == "r" and made["rollout"]["thread_name"] is None and made["by_model"]["m1"]["turns"] == 1
     assert made["pricing"]["model_proxies"] == {"p": "m1", "q": "m1"} and set(made["by_rollout_type"]) == {"root", "security_review"}
+
+
+def test_unread_descendants_and_bad_index(spark, price_catalog):
+    rows = records(spark, f=[meta("r")], g=[meta("k", parent_thread_id="r", source={"subagent": "review"})])
+    facts = report.facts_of(rows, price_catalog)
+    facts.quality = facts.quality.filter("id = 'r'")
+    roots = spark.createDataFrame([("r",)], "id string")
+    index = logs.records(spark.createDataFrame([(1, '{"id":"r","thread_name":"N","updated_at":"2026-01-01T00:00:00Z"}'), (2, "broken")], "line_no long, raw string"))
+    parts = report.tree_report(facts, roots, None, logs.session_names(index), logs.index_quality(index))
+    whole, own = parts["tree"].first(), parts["rollout"].first()
+    assert (whole["incomplete_input"], whole["estimated_cost_usd"], own["incomplete_input"]) == (True, None, False)
+    assert own["thread_name"] is None
+    assert parts["warnings"].first()["incomplete_input_warnings"] == [report.UNREAD % "k", report.INDEX_MALFORMED]
+    parts = report.tree_report(facts, roots, None, logs.session_names(index), logs.index_quality(index.limit(1)))
+    assert parts["rollout"].first()["thread_name"] == "N"

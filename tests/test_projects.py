@@ -45,3 +45,23 @@ def test_ids_in_order(spark):
     wanted = spark.createDataFrame([(0, "b"), (1, "x"), (2, "b"), (3, "a")], "position int, id string")
     got, missing = selection.by_ids(roots, wanted)
     assert [r["id"] for r in got.collect()] == ["b", "a"] and [r["id"] for r in missing.collect()] == ["x"]
+
+
+def test_root_folder_holds_every_path(spark):
+    from meterline.operators import selection
+
+    roots = spark.createDataFrame([(1, "/"), (2, "/a/b"), (3, "x"), (4, None)], "id int, cwd string")
+    paths = spark.createDataFrame([("all", "/"), ("a", "/a")], "target string, root_path string")
+    assert {(r["target"], r["id"]) for r in selection.beneath(roots, paths).collect()} == {("all", 1), ("all", 2), ("a", 2)}
+
+
+def test_owners_and_missing_roots(spark):
+    from meterline.operators import selection
+    from meterline.plans import projects
+
+    roots = spark.createDataFrame([("p", "/a"), ("q", "/a"), ("q", "/b")], "project_id string, root_path string")
+    asked = spark.createDataFrame([("/a",), ("/b",), ("/c",)], "root_path string")
+    assert {tuple(r) for r in selection.path_owners(roots, asked).collect()} == {("/a", 2, None), ("/b", 1, "q"), ("/c", 0, None)}
+    found = spark.createDataFrame([("q", "q", ["/a", "/b"])], "target string, project_id string, paths array<string>")
+    known = spark.createDataFrame([("/a", False), ("/b", True)], "root_path string, root_exists boolean")
+    assert projects.missing_roots(found, known).first()["missing_source_roots"] == 1

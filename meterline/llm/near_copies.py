@@ -69,7 +69,9 @@ def _similar(percent: int):
 
 def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The pairs ``(a, b)`` of sets that are similar; whole sets are made of those in a pair alone."""
-    named = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
+    # sets are folded on each side first, so a set of many pairs is moved once
+    one, two = (pairs.select(F.col(k).alias("set")).distinct() for k in ("a", "b"))
+    named = one.union(two).distinct()
     texts = nodes.join(named, "set").select("set", F.col("tie").alias("_tie"))
     known = docs.select(F.xxhash64("text").alias("_tie"), "text").join(texts, "_tie")
     # equal texts give equal sets, of which one is enough

@@ -1,8 +1,10 @@
 """One document of each class of near copies: SimHash candidates, verified by the overlap of their word shingles.
 
-Two texts are linked if the fingerprints of their distinct shingles differ in at most ``DISTANCE`` bits and the Jaccard
-similarity of their whole shingle sets is ``PERCENT`` or more.  All such pairs are found, and no pair of less
-similarity is linked; similar pairs whose fingerprints differ more are not (the README gives the measured share).
+Two texts are linked if the Jaccard similarity of their whole shingle sets is ``PERCENT`` or more and their SimHash
+fingerprints are near: those of their distinct words within ``DISTANCE`` bits and those of their distinct shingles
+within ``SHINGLE_DISTANCE``.  A changed word changes ``SHINGLE`` shingles but one word, so similar texts are nearer
+each other in the first, which is searched by pigeonhole; the second leaves out texts that only share their words.
+No pair of less similarity is linked; few similar pairs have fingerprints further apart (README: measured share).
 """
 
 from __future__ import annotations
@@ -16,13 +18,15 @@ from pyspark.sql import functions as F
 
 from meterline.llm.common import dropped, saved
 from meterline.llm.components import components
-from meterline.llm.simhash import hashes, linked, majority_bits, planned
+from meterline.llm.simhash import LOWER, SEED, hashes, linked, majority_bits, planned
 
 SHINGLE = 5
 #: Least Jaccard similarity of near copies, in percent.
 PERCENT = 80
-#: Bits in which fingerprints of near copies may differ.
+#: Bits in which the fingerprints of the words of near copies may differ.
 DISTANCE = 7
+#: Bits in which the fingerprints of their shingles may differ: 9.7 are expected at 80 percent, with a deviation of 2.9.
+SHINGLE_DISTANCE = 20
 
 
 def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -31,19 +35,29 @@ def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(np.concatenate(parts).astype(np.uint64)) if parts else np.zeros(0, np.uint64)
 
 
-def sketch(own: np.ndarray) -> tuple[int, int, int]:
-    """Name (a hash), size and fingerprint of a set."""
+def word_set(text: str | None) -> np.ndarray:
+    """Hashes of a whole text's distinct words."""
     import xxhash
 
-    return xxhash.xxh64_intdigest(own.tobytes()), len(own), majority_bits([own.astype(">u8")])
+    words = set((text or "").encode("utf-8", "surrogatepass").translate(LOWER).split())
+    return np.array([xxhash.xxh64_intdigest(w, SEED) for w in sorted(words)], np.uint64)
+
+
+def sketch(text: str | None, shingle: int = SHINGLE) -> tuple[int, int, int, int]:
+    """Name (a hash) and size of a text's shingle set, fingerprints of its words and of its shingles."""
+    import xxhash
+
+    own = shingle_set(text, shingle)
+    fp, wide = (majority_bits([s.astype(">u8")]) for s in (word_set(text), own))
+    return xxhash.xxh64_intdigest(own.tobytes()), len(own), fp, wide
 
 
 def _sketches(shingle: int):
-    @F.pandas_udf("set long, size long, fp long")
+    @F.pandas_udf("set long, size long, fp long, wide long")
     def sketches(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            made = np.array([sketch(shingle_set(t, shingle)) for t in part], np.uint64).reshape(-1, 3)
-            yield pd.DataFrame(made.view(np.int64), columns=["set", "size", "fp"])
+            made = np.array([sketch(t, shingle) for t in part], np.uint64).reshape(-1, 4)
+            yield pd.DataFrame(made.view(np.int64), columns=["set", "size", "fp", "wide"])
 
     return sketches
 
@@ -72,7 +86,7 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int,
     # sets are folded on each side first, so a set of many pairs is moved once
     one, two = (pairs.select(F.col(k).alias("set")).distinct() for k in ("a", "b"))
     named = one.union(two).distinct()
-    texts = nodes.join(named, "set").select("set", F.col("tie").alias("_tie"))
+    texts = named.join(nodes.select(F.col("node").alias("set"), F.col("tie").alias("_tie")), "set")
     known = docs.select(F.xxhash64("text").alias("_tie"), "text").join(texts, "_tie")
     # equal texts give equal sets, of which one is enough
     known = known.groupBy("set").agg(F.min("text").alias("text"))
@@ -88,39 +102,21 @@ def _classes(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, Da
     """``doc_id, tie, set`` of every row, where tie is a hash of the text, and ``(node, root)`` of sets with a link."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("tie"), _sketches(shingle)("text").alias("x"))
     rows = saved(rows.select("doc_id", "tie", "x.*"), "sketches")
-    nodes = saved(rows.groupBy("set").agg(*(F.min(c).alias(c) for c in ("tie", "size", "fp"))), "shingle_sets")
-    fps = nodes.groupBy("fp").agg(F.count(F.lit(1)).alias("n_sets"), F.min("set").alias("first"))
-    fps = saved(fps, "set_fingerprints")
-    one, two = (nodes.select(*(F.col(c).alias(f"{c}_{k}") for c in ("set", "size", "fp"))) for k in ("a", "b"))
-    likely = 100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b")
-
-    def checked(pairs: DataFrame) -> DataFrame:
-        """Links of the pairs of rows of ``one`` and ``two``."""
-        wanted = saved(pairs.filter(likely).select(F.col("set_a").alias("a"), F.col("set_b").alias("b")), "candidates")
+    sets = rows.groupBy("set").agg(*(F.min(c).alias(c) for c in ("tie", "size", "fp", "wide")))
+    nodes = saved(sets.withColumnRenamed("set", "node"), "shingle_sets")
+
+    def likely(a: Column, b: Column) -> Column:
+        sized = 100 * F.least(a["size"], b["size"]) >= percent * F.greatest(a["size"], b["size"])
+        return sized & (F.bit_count(a["wide"].bitwiseXOR(b["wide"])) <= SHINGLE_DISTANCE)
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        wanted = saved(pairs, "candidates")
         made = _verified(docs, nodes, wanted, shingle, percent)
         dropped(wanted)
         return made
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        return checked(pairs.join(one, F.col("a") == F.col("fp_a")).join(two, F.col("b") == F.col("fp_b")))
-
-    def known_of(roots: DataFrame) -> DataFrame:
-        """A fingerprint of one set has that set's root; others have none, and all their pairs are looked at."""
-        single = fps.filter("n_sets = 1").select("fp", F.col("first").alias("node"))
-        return single.join(roots, "node").select("fp", "root")
-
-    several = fps.filter("n_sets > 1").select(F.col("fp").alias("fp_a"), F.col("first").alias("set_a"))
-    found = None
-    if not several.isEmpty():
-        # sets of one fingerprint: first each with one of them, then those of different classes with one another
-        shared = one.join(several.select("fp_a"), "fp_a").join(two, F.col("fp_a") == F.col("fp_b")).filter("set_a < set_b")
-        found = checked(shared.join(several, ["fp_a", "set_a"], "left_semi"))
-        roots = saved(components(found), "classes")
-        for k in ("a", "b"):
-            near = roots.select(F.col("node").alias(f"set_{k}"), F.col("root").alias(f"root_{k}"))
-            shared = shared.join(near, f"set_{k}", "left").withColumn(f"root_{k}", F.coalesce(f"root_{k}", f"set_{k}"))
-        found = found.unionByName(checked(shared.filter("root_a <> root_b")))
-    return rows.select("doc_id", "tie", "set"), linked(fps, planned(fps, DISTANCE), verify, known_of, found)
+    plan = planned(nodes.select("fp").distinct(), DISTANCE)
+    return rows.select("doc_id", "tie", "set"), linked(nodes.drop("tie"), plan, verify, likely)
 
 
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

@@ -37,7 +37,7 @@ PROBE = 30
 MOST_PROBES = 1 << 20
 #: Fingerprints of one key with which all others of the key are compared first, which joins large clouds of near copies.
 HUBS = 4
-_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
 
@@ -45,7 +45,7 @@ def hashes(text: str | None, shingle: int = SHINGLE, block: int = 200_000) -> It
     """XXH64 of the word shingles of a whole text, in blocks; a text of fewer words is one shingle."""
     import xxhash
 
-    words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()  # splits at x20 and x09-x0D
+    words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()  # splits at x20 and x09-x0D
     if not words:
         return
     joined = memoryview(b" ".join(words))
@@ -255,16 +255,21 @@ def keys_of(plan: Plan, fp: Column) -> Column:
     return F.array(*(F.lit(i << 40).cast("long") + value(p) for i, p in enumerate(plan.partitions)))
 
 
-def _keyed(fps: DataFrame, keys: Column, name: str, known: DataFrame | None = None, *more: str) -> DataFrame:
-    """``(name, root, key)`` rows of fingerprints; the root is null where it is not ``known(fp, root)``."""
-    rows = fps if known is None else fps.join(known.select("fp", "root"), "fp", "left")
-    root = [] if known is None else [F.col("root").alias(f"root_{name}")]
-    return rows.select(F.col("fp").alias(name), *root, *more, F.explode(keys).alias("key"))
+#: A condition on two nodes beside their distance.
+Also = Callable[[Column, Column], Column]
+
+
+def _keyed(nodes: DataFrame, keys: Column, side: str, known: DataFrame | None = None, *more: str) -> DataFrame:
+    """``(side, root, key)`` rows of nodes, each a struct; the root is null where it is not ``known(node, root)``."""
+    rows = nodes if known is None else nodes.join(known.select("node", "root"), "node", "left")
+    root = [] if known is None else [F.col("root").alias(f"root_{side}")]
+    held = F.struct("node", *(c for c in nodes.columns if c not in ("node", "keys", *more)))
+    return rows.select(held.alias(side), *root, *more, F.explode(keys).alias("key"))
 
 
 def _first_find(plan: Plan) -> Column:
     """Whether no partition before the key's own finds the pair too, so that each pair is made once."""
-    found, part = F.col("a").bitwiseXOR(F.col("b")), F.shiftright("key", 40)
+    found, part = F.col("a.fp").bitwiseXOR(F.col("b.fp")), F.shiftright("key", 40)
     first = F.lit(True)
     for i, p in enumerate(plan.partitions):
         mask = F.lit(int(np.uint64(sum(1 << b for b in p.bits)).view(np.int64)))
@@ -273,54 +278,54 @@ def _first_find(plan: Plan) -> Column:
     return first
 
 
-def _near(plan: Plan) -> Column:
-    return (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= plan.distance)
+def _near(plan: Plan, also: Also | None) -> Column:
+    a, b = F.col("a"), F.col("b")
+    near = (a["node"] < b["node"]) & (F.bit_count(a["fp"].bitwiseXOR(b["fp"])) <= plan.distance)
+    return near & also(a, b) if also else near
 
 
-def links(fps: DataFrame, plan: Plan, known: DataFrame | None = None) -> DataFrame:
-    """All pairs ``(a, b)``, a < b, of distinct fingerprints within the plan's distance.
+def links(nodes: DataFrame, plan: Plan, known: DataFrame | None = None, also: Also | None = None) -> DataFrame:
+    """All pairs ``(a, b)``, a < b, of ``nodes(node, fp, ...)`` with fingerprints within the plan's distance.
 
     A fingerprint's own probes find all its neighbours, so each pair is taken from its smaller member's probes.  The
-    distance is checked inside the join, so candidates are never written.  Pairs of one root in ``known(fp, root)`` are
-    left out.
+    distance, and what ``also`` says of the two structs, is checked inside the join, so candidates are never written.
+    Pairs of one root in ``known(node, root)`` are left out.
     """
-    probing = fps.select("fp", probes_of(plan)("fp").alias("x")).select("fp", "x.*")
+    probing = nodes.withColumn("x", probes_of(plan)("fp")).select(*nodes.columns, "x.*")
     one = _keyed(probing, F.col("keys"), "a", known, "reach")
-    two = _keyed(fps, keys_of(plan, F.col("fp")), "b", known)
-    near = _near(plan)
+    two = _keyed(nodes, keys_of(plan, F.col("fp")), "b", known)
+    near = _near(plan, also)
     if known is not None:
         near = near & F.coalesce(F.col("root_a") != F.col("root_b"), F.lit(True))
-    return one.join(two, "key").filter(near & _first_find(plan)).select("a", "b")
+    pairs = one.join(two, "key").filter(near & _first_find(plan))
+    return pairs.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
 
 
-def stars(fps: DataFrame, plan: Plan) -> DataFrame:
-    """Those pairs of ``links`` between the fingerprints of a key and ``HUBS`` of them: a few for each fingerprint."""
-    stored = _keyed(fps, keys_of(plan, F.col("fp")), "fp")
-    hubs = F.array_distinct(F.array(*(F.min_by("fp", F.xxhash64("fp", F.lit(k))) for k in range(HUBS))))
+def stars(nodes: DataFrame, plan: Plan, also: Also | None = None) -> DataFrame:
+    """Those pairs of ``links`` between the nodes of a key and ``HUBS`` of them: a few for each node."""
+    stored = _keyed(nodes, keys_of(plan, F.col("fp")), "own")
+    hubs = F.array_distinct(F.array(*(F.min_by("own", F.xxhash64("own.node", F.lit(k))) for k in range(HUBS))))
     found = stored.groupBy("key").agg(hubs.alias("hubs"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     found = found.select("key", F.explode("hubs").alias("hub"))
-    pairs = stored.join(found, "key").select(F.least("fp", "hub").alias("a"), F.greatest("fp", "hub").alias("b"))
-    return pairs.filter(_near(plan)).distinct()
-
-
-Step = Callable[[DataFrame], DataFrame]
+    pairs = stored.join(found, "key").select(F.least("own", "hub").alias("a"), F.greatest("own", "hub").alias("b"))
+    return pairs.filter(_near(plan, also)).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
 
 
-def linked(fps: DataFrame, plan: Plan, verify: Step, known_of: Step, found: DataFrame | None = None) -> DataFrame:
-    """``(node, root)`` of every node with a link, over the pairs of ``links``.
+def linked(
+    nodes: DataFrame, plan: Plan, verify: Callable[[DataFrame], DataFrame] | None = None, also: Also | None = None
+) -> DataFrame:
+    """``(node, root)`` of every node with a link, over those pairs of ``links`` that ``verify`` leaves.
 
-    ``verify`` makes links between nodes of pairs of fingerprints, ``known_of`` gives ``(fp, root)`` for roots of
-    nodes; ``found`` are links known before.  Stars come first; then every pair that is not inside one class already,
-    so a large cloud of near copies does not cost all its pairs, and no link between classes is lost.
+    Stars come first; then every pair that is not inside one class already, so a large cloud of near copies does not
+    cost all its pairs, and no link between classes is lost.
     """
-    roots = None
-    for step in (stars, links):
-        pairs = step(fps, plan) if roots is None else step(fps, plan, known_of(roots))
-        new = saved(verify(pairs), "links")
-        found, last = new if found is None else found.unionByName(new), roots
+    found = roots = None
+    for last in (False, True):
+        pairs = links(nodes, plan, roots, also) if last else stars(nodes, plan, also)
+        new = saved(verify(pairs) if verify else pairs, "links")
+        found, before = found.unionByName(new) if last else new, roots
         roots = saved(components(found), "classes")
-        if last is not None:
-            dropped(last)
+    dropped(before)
     return roots
 
 
@@ -328,9 +333,8 @@ def _classes(docs: DataFrame, distance: int) -> DataFrame:
     """``doc_id, fp, component_id`` of every row."""
     rows = saved(docs.select("doc_id", fingerprints("text").alias("fp")), "fingerprints")
     fps = saved(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct_fingerprints")
-    named = lambda roots: roots.withColumnRenamed("node", "fp")
-    roots = linked(fps, planned(fps, distance), lambda pairs: pairs, named)
-    known = fps.join(named(roots), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    roots = linked(fps.select(F.col("fp").alias("node"), "fp"), planned(fps, distance))
+    known = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = known.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = saved(known.join(ids, "root").select("fp", "component_id"), "fingerprint_classes")
     dropped(fps, roots)

@@ -506,7 +506,7 @@ def test_links_equal_brute_force(spark, n):
             x ^= 1 << r.randrange(64)
         fps.add(x)
     signed = np.array(sorted(fps), np.uint64).view(np.int64)
-    df = spark.createDataFrame(pd.DataFrame({"fp": signed}))
+    df = spark.createDataFrame(pd.DataFrame({"node": signed, "fp": signed}))
     u = np.sort(signed).view(np.uint64)
     near = np.argwhere(np.triu(np.bitwise_count(u[:, None] ^ u[None, :]) <= 4, 1))
     expected = {(int(np.int64(u[i].view(np.int64))), int(u[j].view(np.int64))) for i, j in near}
@@ -522,7 +522,7 @@ def test_links_of_two_parts_with_a_crowded_half(spark):
     parts = simhash.Partition(tuple(range(32)), none, none), simhash.Partition(tuple(range(32, 64)), np.zeros(1, np.uint64), np.array([0.9]))
     plan = simhash.Plan(parts, 4, 170_000_000)
     assert (plan.thresholds(fps) == [4, -1]).all(axis=1).any()
-    df = spark.createDataFrame(pd.DataFrame({"fp": fps.view(np.int64)}))
+    df = spark.createDataFrame(pd.DataFrame({"node": fps.view(np.int64), "fp": fps.view(np.int64)}))
     got = rows(simhash.links(df, plan))
     assert len(set(got)) == len(got)
     assert set(got) == {(int(a), int(b)) for a in fps for b in fps if a < b and (int(a) ^ int(b)).bit_count() <= 4}
@@ -603,10 +603,12 @@ def test_near_copies_equal_brute_force(spark):
     texts = [(k, " ".join(t)) for k, t in enumerate(made)]
     sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in made]
     close = [(a, b) for b in range(len(made)) for a in range(b) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
-    marks = [near_copies.sketch(near_copies.shingle_set(t))[2] for _, t in texts]
-    sure = [(a, b) for a, b in close if (marks[a] ^ marks[b]).bit_count() <= near_copies.DISTANCE]
-    within = sum((marks[a] ^ marks[b]).bit_count() <= near_copies.DISTANCE for b in range(len(made)) for a in range(b))
-    assert 100 < len(sure) < len(close) and len(sure) < within
+    marks = [near_copies.sketch(t)[2:] for _, t in texts]
+    far = [near_copies.DISTANCE, near_copies.SHINGLE_DISTANCE]
+    near = lambda a, b: all((x ^ y).bit_count() <= d for x, y, d in zip(marks[a], marks[b], far, strict=True))
+    sure = [(a, b) for a, b in close if near(a, b)]
+    within = sum(near(a, b) for b in range(len(made)) for a in range(b))
+    assert 100 < 0.95 * len(close) < len(sure) < within
     kept = near_copies.one_of_each(spark.createDataFrame(texts, "doc_id long, text string"))
     assert sorted(rows(kept)) == [texts[k] for k, root in enumerate(classes_of(len(made), sure)) if root == k]
 
@@ -615,10 +617,10 @@ def test_large_clouds_do_not_cost_all_pairs(spark):
     r = random.Random(2)
     base = r.getrandbits(64)
     fps = {base ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64)) for _ in range(1500)} | {r.getrandbits(64) for _ in range(100)}
-    df = spark.createDataFrame(pd.DataFrame({"fp": np.array(sorted(fps), np.uint64).view(np.int64)}))
+    df = spark.createDataFrame(pd.DataFrame({"fp": np.array(sorted(fps), np.uint64).view(np.int64)})).selectExpr("fp AS node", "fp")
     plan = simhash.planned(df)
     assert simhash.stars(df, plan).count() < 2 * simhash.HUBS * len(plan.partitions) * len(fps)
-    known = components(simhash.stars(df, plan)).withColumnRenamed("node", "fp")
+    known = components(simhash.stars(df, plan))
     assert simhash.links(df, plan, known).count() < len(fps) < simhash.links(df, plan).count() / 50
 
 
@@ -642,10 +644,10 @@ def test_sets_of_one_fingerprint_are_verified(spark, monkeypatch):
 
 
 def same_fingerprints(real, shingle):
-    @F.pandas_udf("set long, size long, fp long")
+    @F.pandas_udf("set long, size long, fp long, wide long")
     def sketches(part: pd.Series) -> pd.DataFrame:
-        made = [real(near_copies.shingle_set(t, shingle)) for t in part]
-        return pd.DataFrame({"set": [int(np.uint64(m[0]).view(np.int64)) for m in made], "size": [m[1] for m in made], "fp": 5})
+        made = [real(t, shingle) for t in part]
+        return pd.DataFrame({"set": [int(np.uint64(m[0]).view(np.int64)) for m in made], "size": [m[1] for m in made], "fp": 5, "wide": 5})
 
     return sketches
 

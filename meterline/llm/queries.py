@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterline.llm import exact_dedup, language_id, mixing, packing, preference, quality_rules, simhash, substring_dedup, toxicity, url_filter
+from meterline.llm import exact_dedup, filter_audit, language_id, mixing, packing, preference, quality_rules, simhash, substring_dedup, toxicity, url_filter
 from meterline.llm.common import saved, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -189,3 +189,29 @@ def op9_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_substrings(table(spark, sf_dir, "documents")).drop("spans")
+
+
+@query(
+    rf"""
+WITH m AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, {WORDS_SQL} AS w,
+    doc_id > min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS again FROM documents),
+g AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+d AS (SELECT part, CASE WHEN len(w) < 100 THEN 1 ELSE 0 END AS a, CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 1 ELSE 0 END AS b,
+    CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 10 * length(t) THEN 1 ELSE 0 END AS c,
+    CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 1 ELSE 0 END AS s, CASE WHEN again THEN 1 ELSE 0 END AS e,
+    coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic FROM m LEFT JOIN g USING (doc_id)),
+k AS (SELECT part, map {{'A': a, 'B': b, 'C': c, 'D': s, 'E': e}} AS f, good, toxic, count(*) AS n FROM d GROUP BY ALL),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT [p.x, q.x, r.x, u.x, v.x] AS o FROM l p, l q, l r, l u, l v WHERE len(list_distinct([p.x, q.x, r.x, u.x, v.x])) = 5),
+z AS (SELECT o, unnest([1, 2, 3, 4, 5]) AS step FROM o),
+j AS (SELECT k.*, o, step, f[o[step]] AS here, list_sum(list_transform(o[1:step-1], lambda y: f[y])) AS prior, list_sum(map_values(f)) AS total FROM k, z),
+r AS (SELECT part, o, step, sum(CASE WHEN coalesce(prior, 0) = 0 AND here = 0 THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN coalesce(prior, 0) = 0 AND here = 1 THEN n ELSE 0 END) AS removed, sum(CASE WHEN prior > 0 AND here = 1 THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN here = 1 AND total = 1 THEN n ELSE 0 END) AS unique_fails, sum(CASE WHEN coalesce(prior, 0) = 0 AND here = 1 THEN n * good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN coalesce(prior, 0) = 0 AND here = 1 THEN n * toxic ELSE 0 END) AS toxic_lost FROM j GROUP BY part, o, step)
+SELECT part, array_to_string(o, '') AS filter_order, step::INTEGER AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+    unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, o[step]))::BIGINT AS shapley FROM r
+"""
+)
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

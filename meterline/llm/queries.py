@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterline.llm import exact_dedup, filter_audit, language_id, mixing, packing, preference, quality_rules, simhash, substring_dedup, toxicity, url_filter
+from meterline.llm import collocations, exact_dedup, filter_audit, language_id, mixing, packing, preference, quality_rules, simhash, substring_dedup, toxicity, url_filter
 from meterline.llm.common import saved, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -215,3 +215,26 @@ SELECT part, array_to_string(o, '') AS filter_order, step::INTEGER AS step, kept
 )
 def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query(
+    r"""
+WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+g AS (SELECT lang, k, w[i:i+k-1] AS g FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4, 5]) AS k))),
+c AS (SELECT lang, k, g, count(*) AS a FROM g GROUP BY lang, k, g),
+f AS (SELECT * FROM c WHERE a >= 100),
+n AS (SELECT lang, sum(a)::BIGINT AS n FROM c WHERE k = 1 GROUP BY lang),
+x AS (SELECT f.lang, f.g, f.k, f.a, n, unnest(range(1, f.k)) AS cut FROM f JOIN n USING (lang) WHERE k > 1),
+s AS (SELECT x.*, lf.a AS l, rf.a AS r, (1000::HUGEINT * x.a * n // (lf.a::HUGEINT * rf.a))::BIGINT AS score
+  FROM x JOIN f AS lf ON lf.lang = x.lang AND lf.g = x.g[:cut] JOIN f AS rf ON rf.lang = x.lang AND rf.g = x.g[cut+1:]),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1),
+h AS (SELECT DISTINCT lang, part, a FROM (SELECT lang, a, g[1:k-1] AS part FROM f WHERE k > 2 UNION ALL SELECT lang, a, g[2:k] FROM f WHERE k > 2)),
+v AS (SELECT b.* FROM b WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.lang = b.lang AND h.part = b.g AND h.a >= b.a))
+SELECT lang, rank, phrase, a, l, r, n, score FROM (
+  SELECT *, array_to_string(g, ' ') AS phrase, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank FROM v) WHERE rank <= 2000
+"""
+)
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))

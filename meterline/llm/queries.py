@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterline.llm import collocations, exact_dedup, filter_audit, language_id, mixing, packing, preference, quality_rules, simhash, substring_dedup, toxicity, url_filter
+from meterline.llm import collocations, exact_dedup, filter_audit, html_text, language_id, mixing, packing, preference, quality_rules, simhash, substring_dedup, toxicity, url_filter
 from meterline.llm.common import saved, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -238,3 +238,8 @@ SELECT lang, rank, phrase, a, l, r, n, score FROM (
 )
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op13_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf_dir, "pages"))

@@ -153,23 +153,28 @@ class Bits:
         return (self.data[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) != 0
 
 
-def bits_of(rows: DataFrame) -> Bits:
-    """Bitmap of the phrases of ``rows(lang, key)``: about 32 bits each, up to the size that is the bound."""
-    log2 = min(MOST_BITS, max(LEAST_BITS, int(rows.count()).bit_length() + 5))
+def hashed(rows: DataFrame) -> DataFrame:
+    """``h``: hash of each phrase of ``rows(lang, key)``."""
 
-    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lang, own in _by_lang(b.column(0)):
                 keys = b.column(1).take(pa.array(own)).to_pylist()
                 for size in {len(k) for k in keys}:
                     words = np.frombuffer(b"".join(k for k in keys if len(k) == size), np.int64).reshape(-1, size // 8)
-                    slot = gram_hash(lang, [np.ascontiguousarray(words[:, j]) for j in range(size // 8)]) >> np.uint64(64 - log2)
-                    yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int64))], ["slot"])
+                    h = gram_hash(lang, [np.ascontiguousarray(words[:, j]) for j in range(size // 8)])
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["h"])
 
-    found = rows.select("lang", "key").mapInArrow(slots, "slot long")
-    mask = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("slot", F.lit(64)).cast("int"))
+    return rows.select("lang", "key").mapInArrow(hashes, "h long")
+
+
+def bits_of(rows: DataFrame, n: int | None = None) -> Bits:
+    """Bitmap of the hashes ``rows(h)``: about 32 bits for each of ``n``, up to the size that is the bound."""
+    log2 = min(MOST_BITS, max(LEAST_BITS, int(rows.count() if n is None else n).bit_length() + 5))
+    slot = F.call_function("shiftrightunsigned", F.col("h"), F.lit(64 - log2))
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(slot, F.lit(64)).cast("int"))
     # at most 2^(log2 - 6) rows of 16 bytes, whatever the input
-    got = found.groupBy(F.floor(F.col("slot") / 64).alias("at")).agg(F.bit_or(mask).alias("bits")).toPandas()
+    got = rows.groupBy(F.floor(slot / 64).alias("at")).agg(F.bit_or(mask).alias("bits")).toPandas()
     data = np.zeros(1 << (log2 - 6), np.uint64)
     data[got["at"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64).view(np.uint64)
     return Bits(log2, data)
@@ -199,8 +204,8 @@ class Search:
     neighbours: bool = False
 
 
-def _counted(lang: str, ids: np.ndarray, hashes: np.ndarray, size: int, s: Search) -> list:
-    """Columns ``key, a`` (and least and greatest neighbour on each side) of one chunk."""
+def _places(lang: str, ids: np.ndarray, hashes: np.ndarray, size: int, s: Search):
+    """Places in a chunk where a phrase of the search begins, and the hashes of words ``lo`` to ``hi`` from a place on."""
     single = gram_hash(lang, [hashes])
     known = s.words.has(single)
     known[hashes == 0] = False
@@ -216,6 +221,12 @@ def _counted(lang: str, ids: np.ndarray, hashes: np.ndarray, size: int, s: Searc
         at = at[fits | s.unopened.has(single)[ids[at + 1]]] if s.unopened is not None else at[fits]
     if s.whole is not None:
         at = at[s.whole.has(part(at, 0, size))]
+    return at, part
+
+
+def _counted(lang: str, ids: np.ndarray, hashes: np.ndarray, size: int, s: Search) -> list:
+    """Columns ``key, a`` (and least and greatest neighbour on each side) of one chunk."""
+    at, _ = _places(lang, ids, hashes, size, s)
     if not len(at):
         return [np.zeros((0, size), np.int64), *(np.zeros(0, np.int64) for _ in range(5 if s.neighbours else 1))]
     group = ids[at].astype(np.int64)
@@ -232,6 +243,53 @@ def _counted(lang: str, ids: np.ndarray, hashes: np.ndarray, size: int, s: Searc
     return columns
 
 
+def _summed(slots: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different slots in order, and their summed counts."""
+    order = np.argsort(slots, kind="stable")
+    starts = np.flatnonzero(np.diff(slots[order], prepend=slots[order[:1]] - 1))
+    return slots[order[starts]], np.add.reduceat(n[order], starts)
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Whole numbers of 8 bytes, byte by byte, so that leading zeros stand together and cost nothing once compressed."""
+    return np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _numbers(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view("<i8").ravel()
+
+
+def hot_pairs(chunks: DataFrame, search: Search, tokens: int) -> DataFrame:
+    """``h``: hashes, cut to a prefix, under which the pairs of a search together reach the least count.
+
+    No frequent pair is missing.  Pairs are counted by that prefix alone (8 bits more than there are tokens), as sorted
+    differences of 2 or 3 bytes each, not as rows; each range of prefixes has about a million pairs, whatever the input.
+    """
+    bits = min(62, tokens.bit_length() + 8)
+    ranges = max(6, tokens.bit_length() - 20)
+    context = chunks.sparkSession.sparkContext.broadcast(search)
+
+    def count_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s, slots, n = context.value, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            for lang, ids, hashes in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                ids, hashes = np.frombuffer(ids.as_buffer(), "<i4"), np.frombuffer(hashes.as_buffer(), np.int64)
+                at, part = _places(lang, ids, hashes, 2, s)
+                if len(at):
+                    more, m = np.unique((part(at, 0, 2) >> np.uint64(64 - bits)).astype(np.int64), return_counts=True)
+                    slots, n = _summed(np.concatenate([slots, more]), np.concatenate([n, m]))
+        cuts = np.flatnonzero(np.diff(slots >> (bits - ranges), prepend=-1)) if len(slots) else []
+        for lo, hi in zip(cuts, [*cuts[1:], len(slots)], strict=True):
+            yield pa.RecordBatch.from_pydict({"range": [int(slots[lo] >> (bits - ranges))], "slots": [_planes(np.diff(slots[lo:hi], prepend=slots[lo] >> (bits - ranges) << (bits - ranges)))], "n": [_planes(n[lo:hi])]})
+
+    def add(key: tuple, t: pa.Table) -> pa.Table:
+        first = key[0].as_py() << (bits - ranges)
+        slots, n = _summed(np.concatenate([first + np.cumsum(_numbers(x)) for x in t["slots"].to_pylist()]), np.concatenate([_numbers(x) for x in t["n"].to_pylist()]))
+        return pa.table({"h": pa.array((slots[n >= LEAST].astype(np.uint64) << np.uint64(64 - bits)).view(np.int64))})
+
+    return chunks.mapInArrow(count_all, "range long, slots binary, n binary").groupBy("range").applyInArrow(add, "h long")
+
+
 def counted(chunks: DataFrame, search: Search) -> DataFrame:
     """``lang, key, a`` (and ``l_min, l_max, r_min, r_max``) of the phrases of a search with the least count."""
     names = ["a", "l_min", "l_max", "r_min", "r_max"] if search.neighbours else ["a"]
@@ -286,13 +344,14 @@ def collocations(docs: DataFrame, top: int = TOP) -> DataFrame:
     totals = saved(every.groupBy("lang").agg(F.sum("f").alias("n")), "phrase_totals")
     bound = F.expr("1000 * cast(n AS decimal(38,0)) div f")
     known = saved(every.filter(F.col("f") >= LEAST).join(totals, "lang").select("lang", "key", "word", "f", bound.alias("bound")), "phrase_vocabulary")
-    frequent, counts = bits_of(known), known.select("lang", "key", "f")
+    frequent, counts = bits_of(hashed(known)), known.select("lang", "key", "f")
     made = [stream, every, totals, known]
 
     def keep(df: DataFrame, name: str) -> DataFrame:
         made.append(saved(df, name))
         return made[-1]
 
+    tokens = totals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     # pairs: first words in falling order of their bound, until the last place is settled
     pairs, floor_, above = None, totals.select("lang", F.lit(0).cast("long").alias("least")), None
     for cut in BATCHES:
@@ -301,35 +360,31 @@ def collocations(docs: DataFrame, top: int = TOP) -> DataFrame:
         above = cut
         if firsts.isEmpty():
             continue
-        fresh = keep(counted(chunks, Search((2,), frequent, firsts=bits_of(firsts))), "phrase_pairs")
-        near = counted(chunks, Search((2,), frequent, whole=bits_of(fresh), neighbours=True)) if not fresh.isEmpty() else None
-        if near is None:
-            continue
-        # a bitmap may let phrases of other first words in: only those of this batch count here
-        near = keep(scored(near.join(fresh.select("lang", "key"), ["lang", "key"], "left_semi"), counts, totals), "phrase_scored_pairs")
+        hot = keep(hot_pairs(chunks, Search((2,), frequent, firsts=bits_of(hashed(firsts))), tokens), "phrase_hot_pairs")
+        near = keep(scored(counted(chunks, Search((2,), frequent, whole=bits_of(hot), neighbours=True)), counts, totals), "phrase_scored_pairs")
         pairs = near if pairs is None else pairs.unionByName(near)
         pairs = keep(pairs.dropDuplicates(["lang", "key"]), "phrase_all_pairs")
         last = pairs.filter(~_dropped()).withColumn("place", F.row_number().over(W.partitionBy("lang").orderBy(F.col("score").desc())))
         floor_ = keep(totals.select("lang").join(last.filter(F.col("place") == top).select("lang", F.col("score").alias("least")), "lang", "left").select("lang", F.coalesce("least", F.lit(0)).alias("least")), "phrase_floor")
-    if pairs is None:
+    if pairs is None or pairs.isEmpty():
         dropped(*made)
         return spark.createDataFrame([], "lang string, rank long, phrase string, a long, l long, r long, n long, score long")
 
     # longer ones: from prefixes whose bound reaches the floor
     bounds = known.select("lang", F.col("key").alias("first"), "bound").join(floor_, "lang")
     unopened = keep(bounds.filter("bound < least").select("lang", F.col("first").alias("key")), "phrase_unopened")
-    closed = None if unopened.isEmpty() else bits_of(unopened)
+    closed = None if unopened.isEmpty() else bits_of(hashed(unopened))
     levels, parent = [], pairs.select("lang", "key", "a")
-    shorter = bits_of(parent)
+    shorter = bits_of(hashed(parent))
     for size in range(3, LONGEST + 1):
         open_ = parent.withColumn("first", F.expr("substring(key, 1, 8)")).join(bounds.filter("bound >= least"), ["lang", "first"]).select("lang", "key")
-        grown = keep(counted(chunks, Search((size,), frequent, prefix=bits_of(open_), suffix=shorter, unopened=closed, neighbours=True)), "phrase_level")
+        grown = keep(counted(chunks, Search((size,), frequent, prefix=bits_of(hashed(open_)), suffix=shorter, unopened=closed, neighbours=True)), "phrase_level")
         if grown.isEmpty():
             break
         levels.append(grown)
         parent = grown.select("lang", "key", "a")
         # suffixes of the next level that begin with an opened word were counted at this one
-        shorter = bits_of(parent)
+        shorter = bits_of(hashed(parent))
     counts = reduce(DataFrame.unionByName, (x.select("lang", "key", F.col("a").alias("f")) for x in (pairs, *levels)), counts)
     whole = pairs
     if levels:
@@ -338,7 +393,7 @@ def collocations(docs: DataFrame, top: int = TOP) -> DataFrame:
         needed = after.select("lang", F.expr("substring(key, at, length(key))").alias("key")).distinct()
         missing = keep(needed.join(counts.select("lang", "key"), ["lang", "key"], "left_anti"), "phrase_suffixes")
         if not missing.isEmpty():
-            more = counted(chunks, Search(tuple(range(2, LONGEST)), frequent, whole=bits_of(missing)))
+            more = counted(chunks, Search(tuple(range(2, LONGEST)), frequent, whole=bits_of(hashed(missing))))
             counts = counts.unionByName(keep(more.join(missing, ["lang", "key"], "left_semi").select("lang", "key", F.col("a").alias("f")), "phrase_more"))
         whole = pairs.unionByName(scored(longer, counts, totals))
     by = W.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc())

@@ -278,7 +278,9 @@ def hot_pairs(chunks: DataFrame, search: Search, tokens: int) -> DataFrame:
                 if len(at):
                     more, m = np.unique((part(at, 0, 2) >> np.uint64(64 - bits)).astype(np.int64), return_counts=True)
                     slots, n = _summed(np.concatenate([slots, more]), np.concatenate([n, m]))
-        cuts = np.flatnonzero(np.diff(slots >> (bits - ranges), prepend=-1)) if len(slots) else []
+        if not len(slots):
+            return
+        cuts = np.flatnonzero(np.diff(slots >> (bits - ranges), prepend=-1))
         for lo, hi in zip(cuts, [*cuts[1:], len(slots)], strict=True):
             yield pa.RecordBatch.from_pydict({"range": [int(slots[lo] >> (bits - ranges))], "slots": [_planes(np.diff(slots[lo:hi], prepend=slots[lo] >> (bits - ranges) << (bits - ranges)))], "n": [_planes(n[lo:hi])]})
 

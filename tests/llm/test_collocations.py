@@ -65,6 +65,14 @@ def test_phrases_equal_plain_count(spark, monkeypatch, seed, top, batches):
     assert sorted(map(tuple, got.collect())) == plain(docs, 4, top)
 
 
+def test_partitions_without_pairs(spark, monkeypatch):
+    monkeypatch.setattr(collocations, "LEAST", 2)
+    docs = [(t, "en") for t in ("a b", "a b", "rare", "a", "b", "")]
+    rows = [(k, t, g, "s", 1, "x", 1) for k, (t, g) in enumerate(docs)]
+    got = collocations.collocations(spark.createDataFrame(rows, SCHEMA).repartition(6))
+    assert sorted(map(tuple, got.collect())) == plain(docs, 2, 2000)
+
+
 def test_large_counts_stay_exact(spark):
     big = 3_000_000_000_000
     key = lambda *w: b"".join(x.to_bytes(8, "little") for x in w)

@@ -37,7 +37,7 @@ LEAST, LONGEST, TOP = 100, 5, 2000
 #: Bounds down to which first words are opened, one batch after another.
 BATCHES = (50_000, 0)
 #: Tokens of a chunk, words of a task's dictionary, and the sizes of bitmaps (log2 of bits: 16 MB at most).
-CHUNK, VOCABULARY = 1 << 20, 500_000
+CHUNK, VOCABULARY = 1 << 18, 500_000
 LEAST_BITS, MOST_BITS = 16, 27
 #: A-Z lower-cased, tabs as blanks, piece ends as a byte that no UTF-8 text has.
 _END = b"\xff"
@@ -245,6 +245,8 @@ def _counted(lang: str, ids: np.ndarray, hashes: np.ndarray, size: int, s: Searc
 
 def _summed(slots: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Different slots in order, and their summed counts."""
+    if not len(slots):
+        return slots, n
     order = np.argsort(slots, kind="stable")
     starts = np.flatnonzero(np.diff(slots[order], prepend=slots[order[:1]] - 1))
     return slots[order[starts]], np.add.reduceat(n[order], starts)
@@ -265,19 +267,22 @@ def hot_pairs(chunks: DataFrame, search: Search, tokens: int) -> DataFrame:
     No frequent pair is missing.  Pairs are counted by that prefix alone (8 bits more than there are tokens), as sorted
     differences of 2 or 3 bytes each, not as rows; each range of prefixes has about a million pairs, whatever the input.
     """
-    bits = min(62, tokens.bit_length() + 8)
+    bits = min(62, max(LEAST_BITS, tokens.bit_length() + 8))  # no fewer than the bitmap made of them has
     ranges = max(6, tokens.bit_length() - 20)
     context = chunks.sparkSession.sparkContext.broadcast(search)
 
     def count_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s, slots, n = context.value, np.zeros(0, np.int64), np.zeros(0, np.int64)
+        s, parts, waiting = context.value, [(np.zeros(0, np.int64), np.zeros(0, np.int64))], 0
         for batch in batches:
             for lang, ids, hashes in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 ids, hashes = np.frombuffer(ids.as_buffer(), "<i4"), np.frombuffer(hashes.as_buffer(), np.int64)
                 at, part = _places(lang, ids, hashes, 2, s)
                 if len(at):
-                    more, m = np.unique((part(at, 0, 2) >> np.uint64(64 - bits)).astype(np.int64), return_counts=True)
-                    slots, n = _summed(np.concatenate([slots, more]), np.concatenate([n, m]))
+                    parts.append(np.unique((part(at, 0, 2) >> np.uint64(64 - bits)).astype(np.int64), return_counts=True))
+                    waiting += len(parts[-1][0])
+                    if waiting > max(CHUNK, len(parts[0][0])):
+                        parts, waiting = [_summed(*map(np.concatenate, zip(*parts, strict=True)))], 0
+        slots, n = _summed(*map(np.concatenate, zip(*parts, strict=True)))
         if not len(slots):
             return
         cuts = np.flatnonzero(np.diff(slots >> (bits - ranges), prepend=-1))

@@ -21,7 +21,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
-from itertools import count
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +36,8 @@ from meterline.llm.common import dropped, saved
 LEAST, LONGEST, TOP = 100, 5, 2000
 #: Bounds down to which first words are opened, one batch after another.
 BATCHES = (50_000, 0)
-#: Tokens of a chunk, words of a task's dictionary, and the sizes of bitmaps (log2 of bits: 16 MB at most).
-CHUNK, VOCABULARY = 1 << 18, 500_000
+#: Tokens of a chunk, words of a task's dictionary, pairs that a task holds, and the sizes of bitmaps (log2 of bits: 16 MB at most).
+CHUNK, VOCABULARY, PAIRS = 1 << 18, 200_000, 1 << 20
 LEAST_BITS, MOST_BITS = 16, 27
 #: A-Z lower-cased, tabs as blanks, piece ends as a byte that no UTF-8 text has.
 _END = b"\xff"
@@ -91,10 +91,14 @@ class _Numbering:
             self.known = np.concatenate([self.known, np.fromiter(map(word_hash, words), np.int64, len(words))])
         return self.known
 
-    def words(self, lang: str) -> dict[str, list]:
-        """Counted words as columns."""
-        names, n = list(self.number)[1:], self.counts[1 : len(self.number)]
-        return {"lang": [lang] * len(names), "word": names, "key": [h.tobytes() for h in self.hashes()[1:]], "n": n}
+    def words(self, lang: str, at_once: int = 1 << 16) -> Iterator[dict[str, list]]:
+        """Counted words as columns, a part at a time."""
+        names = iter(self.number)
+        next(names)
+        for lo in range(1, len(self.number), at_once):
+            own = list(islice(names, at_once))
+            hi = lo + len(own)
+            yield {"lang": [lang] * len(own), "word": own, "key": [h.tobytes() for h in self.hashes()[lo:hi]], "n": self.counts[lo:hi]}
 
 
 _STREAM = pa.schema([("lang", pa.string()), ("ids", pa.binary()), ("hashes", pa.binary()), ("word", pa.binary()), ("key", pa.binary()), ("n", pa.int64())])
@@ -117,13 +121,13 @@ def streams(docs: DataFrame) -> DataFrame:
                 if own.size >= CHUNK:
                     yield one(own.chunk(lang))
                     if len(own.number) > VOCABULARY:
-                        yield row(own.words(lang))
+                        yield from map(row, own.words(lang))
                         own.renew()
         for lang, own in open_.items():
             if own.size:
                 yield one(own.chunk(lang))
             if len(own.number) > 1:
-                yield row(own.words(lang))
+                yield from map(row, own.words(lang))
 
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     return texts.mapInArrow(read, "lang string, ids binary, hashes binary, word binary, key binary, n long")
@@ -245,8 +249,6 @@ def _counted(lang: str, ids: np.ndarray, hashes: np.ndarray, size: int, s: Searc
 
 def _summed(slots: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Different slots in order, and their summed counts."""
-    if not len(slots):
-        return slots, n
     order = np.argsort(slots, kind="stable")
     starts = np.flatnonzero(np.diff(slots[order], prepend=slots[order[:1]] - 1))
     return slots[order[starts]], np.add.reduceat(n[order], starts)
@@ -272,7 +274,7 @@ def hot_pairs(chunks: DataFrame, search: Search, tokens: int) -> DataFrame:
     context = chunks.sparkSession.sparkContext.broadcast(search)
 
     def count_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s, parts, waiting = context.value, [(np.zeros(0, np.int64), np.zeros(0, np.int64))], 0
+        s, parts, waiting = context.value, [], 0
         for batch in batches:
             for lang, ids, hashes in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 ids, hashes = np.frombuffer(ids.as_buffer(), "<i4"), np.frombuffer(hashes.as_buffer(), np.int64)
@@ -280,14 +282,18 @@ def hot_pairs(chunks: DataFrame, search: Search, tokens: int) -> DataFrame:
                 if len(at):
                     parts.append(np.unique((part(at, 0, 2) >> np.uint64(64 - bits)).astype(np.int64), return_counts=True))
                     waiting += len(parts[-1][0])
-                    if waiting > max(CHUNK, len(parts[0][0])):
-                        parts, waiting = [_summed(*map(np.concatenate, zip(*parts, strict=True)))], 0
+                if waiting > PAIRS:
+                    yield from folded(parts)
+                    parts, waiting = [], 0
+        if parts:
+            yield from folded(parts)
+
+    def folded(parts: list) -> Iterator[pa.RecordBatch]:
         slots, n = _summed(*map(np.concatenate, zip(*parts, strict=True)))
-        if not len(slots):
-            return
         cuts = np.flatnonzero(np.diff(slots >> (bits - ranges), prepend=-1))
         for lo, hi in zip(cuts, [*cuts[1:], len(slots)], strict=True):
-            yield pa.RecordBatch.from_pydict({"range": [int(slots[lo] >> (bits - ranges))], "slots": [_planes(np.diff(slots[lo:hi], prepend=slots[lo] >> (bits - ranges) << (bits - ranges)))], "n": [_planes(n[lo:hi])]})
+            first = slots[lo] >> (bits - ranges)
+            yield pa.RecordBatch.from_pydict({"range": [int(first)], "slots": [_planes(np.diff(slots[lo:hi], prepend=first << (bits - ranges)))], "n": [_planes(n[lo:hi])]})
 
     def add(key: tuple, t: pa.Table) -> pa.Table:
         first = key[0].as_py() << (bits - ranges)

@@ -30,3 +30,13 @@ def computed(df: DataFrame, **columns: Column) -> DataFrame:
     out of JSON grows plans without bound; a generated row is not copied.
     """
     return df.select("*", F.inline(F.array(F.struct(*(c.alias(name) for name, c in columns.items())))))
+
+
+def dropped(*frames: DataFrame) -> None:
+    """Delete the files behind frames made by :func:`stored` that no later plan reads."""
+    for df in frames:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            if "/meterline/" in folder:
+                path = jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(conf).delete(path, True)

@@ -104,14 +104,16 @@ def with_ends(rows: DataFrame) -> DataFrame:
     ends = (F.col("kind") == "end") & F.coalesce("turn_id", "active").isNotNull()
     starts = F.col("is_start") & F.col("at").isNotNull()
     rows = rows.withColumn("_turn", F.when(ends, F.coalesce("turn_id", "active")).when(starts, F.col("turn_id")))
-    # other rows form a part of their own, so that ends and starts alone follow one another
-    by = W.partitionBy("path", "_turn").orderBy("line_no")
+    # other rows form parts of their own, so that ends and starts alone follow one another; those of a long file several
+    loose = F.when(F.col("_turn").isNull(), F.floor(F.col("line_no") / 100_000))
+    by = W.partitionBy("path", "_turn", "_loose").orderBy("line_no")
+    rows = rows.withColumn("_loose", loose)
     began = F.lag(F.when(starts, F.struct("at", F.col("_model").alias("model")))).over(by)
     rows = rows.withColumn("_began", began).withColumn("_began", F.when(ends, F.col("_began")))
     seconds = (F.unix_micros("at") - F.unix_micros("_began.at")) / F.lit(1e6)
     closes = F.col("_began").isNotNull()
     ended = {"ended_turn": F.when(closes, F.col("_turn")), "ended_model": F.col("_began.model"), "seconds": seconds}
-    return rows.withColumns(ended).drop("_turn", "_began")
+    return rows.withColumns(ended).drop("_turn", "_began", "_loose")
 
 
 def turn_ends(rows: DataFrame) -> DataFrame:

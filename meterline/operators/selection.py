@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from meterline.functions.titles import ends_in
+from meterline.operators.matching import containing
 from meterline.sources.projects import ancestors
 
 
@@ -18,16 +19,32 @@ def by_ids(roots: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
     return roots.join(first, "id").orderBy("position"), wanted.select("id").distinct().join(roots.select("id"), "id", "left_anti")
 
 
+def title_matches(roots: DataFrame, queries: DataFrame) -> DataFrame:
+    """``query, id`` of every session whose title, name or index name holds the text of ``queries(query)``, any case.
+
+    An empty query is held by every session that has any of the three.
+    """
+    texts = roots.select("id", F.explode(F.array(*(F.lower(c) for c in ("title", "name", "index_name")))).alias("text")).filter("text IS NOT NULL")
+    asked = queries.filter("query IS NOT NULL").select("query", F.lower("query").alias("part")).distinct()
+    met = asked.join(containing(asked, texts), "part").join(texts, "text").select("query", "id")
+    empty = asked.filter("part = ''").select("query", (F.length("part") == 0).alias("_any")).join(texts.select("id", (F.length("text") >= 0).alias("_any")), "_any").select("query", "id")
+    return met.unionByName(empty).distinct()
+
+
 def by_title(roots: DataFrame, queries: DataFrame) -> DataFrame:
     """``query, n_matches, id, matches`` for ``queries(query)``: titles, names or index names that hold the text.
 
-    ``id`` is set only if exactly one session matches; ``matches`` lists them otherwise.
+    ``id`` is set only if exactly one session matches; otherwise ``matches`` has the first five ids in order (and ``, ...``
+    if there are more).  :func:`title_matches` has all of them as rows.
     """
-    holds = F.lit(False)
-    for c in ("title", "name", "index_name"):
-        holds = holds | F.coalesce(F.contains(F.lower(c), F.lower("query")), F.lit(False))
-    found = queries.join(roots.select("id", "title", "name", "index_name"), holds, "left").groupBy("query").agg(F.count("id").alias("n_matches"), F.array_sort(F.collect_set("id")).alias("ids"))
-    return found.select("query", "n_matches", F.when(F.col("n_matches") == 1, F.get("ids", F.lit(0))).alias("id"), F.when(F.col("n_matches") != 1, F.array_join(F.transform("ids", lambda x: x.cast("string")), ", ")).alias("matches"))
+    met = title_matches(roots, queries)
+    first = met.withColumn("_place", F.row_number().over(W.partitionBy("query").orderBy("id"))).filter(F.col("_place") <= 6)
+    first = first.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("_place", "id")))["id"].alias("ids"))
+    found = queries.select("query").distinct().join(met.groupBy("query").agg(F.count(F.lit(1)).alias("n")), "query", "left").join(first, "query", "left")
+    n = F.coalesce("n", F.lit(0).cast("bigint"))
+    listed = F.array_join(F.slice(F.transform("ids", lambda x: x.cast("string")), 1, 5), ", ")
+    listed = F.coalesce(F.concat(listed, F.when(F.size("ids") > 5, ", ...").otherwise("")), F.lit(""))
+    return found.select("query", n.alias("n_matches"), F.when(n == 1, F.get("ids", F.lit(0))).alias("id"), F.when(n != 1, listed).alias("matches"))
 
 
 def needs_update(metrics: Sequence[str], width: int, reprice_before: Column | None = None) -> Column:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from meterline.functions import formatting as X
 from meterline.operators import aggregates as A
 from meterline.operators import selection as S
+from meterline.operators.matching import fuzzy_pairs
 from meterline.sources.projects import clean_path
 
 #: Warnings; fixed values of the report format.
@@ -36,13 +38,19 @@ def resolved(references: DataFrame, projects: DataFrame, roots: DataFrame, assig
     owner = given.join(each, "path").select(*row(4, "source_root_path", F.col("name"), F.col("project_id"), F.array("path")))
     plain = given.select(*row(5, "path", F.col("path"), nothing, F.array("path")))
     loose = r.filter((text != "") & ~F.col("is_path"))
-    close = loose.join(p, X.fuzzy_match(text, F.col("name"))).select(*row(6, "fuzzy_project_name", F.col("name"), F.col("project_id"), F.col("root_paths")))
+    near = fuzzy_pairs(loose.select(text.alias("reference")), p.select(F.col("name").alias("candidate")))
+    close = loose.join(near, text == F.col("reference")).join(p, F.col("candidate") == F.col("name")).select(*row(6, "fuzzy_project_name", F.col("name"), F.col("project_id"), F.col("root_paths")))
     folders = roots.filter("cwd IS NOT NULL").select("cwd").distinct()
-    past = loose.join(folders, X.fuzzy_match(text, F.col("cwd"))).select(*row(7, "fuzzy_historical_cwd", F.col("cwd"), nothing, F.array("cwd")))
+    near = fuzzy_pairs(loose.select(text.alias("reference")), folders.select(F.col("cwd").alias("candidate")))
+    past = loose.join(near.withColumnRenamed("candidate", "cwd"), text == F.col("reference")).select(*row(7, "fuzzy_historical_cwd", F.col("cwd"), nothing, F.array("cwd")))
     found = named
     for part in (owned, folder, owner, plain, close, past):
         found = found.unionByName(part)
-    best = found.groupBy("ref", "rank").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("target")).alias("names"), F.min_by(F.struct("resolver", "target", "project_id", "paths"), F.struct("target", "project_id")).alias("x"))
+    # of each rank the number of matches and its first six by name: a reference may match any number of folders
+    first = W.partitionBy("ref", "rank").orderBy("target", "project_id")
+    few = found.withColumn("_place", F.row_number().over(first)).filter(F.col("_place") <= 6)
+    few = few.groupBy("ref", "rank").agg(F.array_sort(F.collect_list("target")).alias("names"), F.min_by(F.struct("resolver", "target", "project_id", "paths"), "_place").alias("x"))
+    best = found.groupBy("ref", "rank").agg(F.count(F.lit(1)).alias("n")).join(few, ["ref", "rank"])
     first = best.groupBy("ref").agg(F.min_by(F.struct("n", "names", "x"), "rank").alias("b"))
     several = F.col("b.n") > 1
     one = lambda c: F.when(~several, F.col(f"b.x.{c}")).alias(c)

@@ -12,7 +12,7 @@ from meterline.functions import formatting as X
 from meterline.functions import titles as T
 from meterline.functions.shared import shared_dir, stored
 from meterline.operators import aggregates as A
-from meterline.operators import attribution, selection, tree
+from meterline.operators import attribution, long_logs, selection, tree
 from meterline.plans import adapters, projects, report, titles
 from meterline.plans.adapters import table
 from meterline.sources import catalog, logs
@@ -101,14 +101,18 @@ def jsonl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/meterline/jsonl-{uuid.uuid4().hex}"
     text = adapters.log_text(spark, sf_dir).repartition("path").sortWithinPartitions("path", "line_no")
     text.select(F.col("raw").alias("value"), F.col("path").alias("session")).write.partitionBy("session").option("lineSep", "\n").text(folder)
-    # the text writer ends names in .txt, so the folder is read by a wider filter than that of real logs
-    found = spark.read.option("recursiveFileLookup", True).option("lineSep", "\n").text(folder)
-    lines = found.select(F.regexp_extract("_metadata.file_path", "session=([^/]+)", 1).alias("path"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"), F.col("value").alias("raw"))
-    lines = lines.withColumn("line_no", F.row_number().over(W.partitionBy("path").orderBy("file", "block", "place")).cast("long"))
+    lines = logs.read_lines(spark, folder, names="*.txt").withColumn("path", F.regexp_extract("path", "session=([^/]+)", 1))
     rows = attribution.rollout_stats(stored(attribution.attributed(logs.log_events(logs.records(lines.select("path", "line_no", "raw")))), "attributed"))
     return rows.withColumn("seconds", F.round("seconds", 3)).select(*STAT_COLUMNS)
 
 
+@query(STATS)
+def long_log_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The logs attributed in segments of 16 lines, as if they were too long for a task."""
+    rows = attribution.rollout_stats(stored(long_logs.attributed(adapters.log_events(spark, sf_dir), 16), "attributed"))
+    return rows.withColumn("seconds", F.round("seconds", 3)).select(*STAT_COLUMNS)
+
+
 @query(f"WITH {LOG} SELECT path, 'm' || (turn % 4) AS model, 'e' || (turn % 3) AS effort, count(*)::BIGINT AS n FROM k WHERE is_start GROUP BY ALL")
 def turn_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = attribution.turns(attribution.attributed(adapters.log_events(spark, sf_dir)))
@@ -553,12 +557,27 @@ def title_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
 WITH q AS (SELECT n_name AS query, n_nationkey FROM nation), r AS (SELECT s_suppkey AS id, s_name || ' of nation_' || s_nationkey AS title FROM supplier),
 m AS (SELECT query, id FROM q LEFT JOIN r ON contains(lower(title), lower(query)))
-SELECT query, count(id)::BIGINT AS n_matches, CASE WHEN count(id) = 1 THEN min(id) END AS id, CASE WHEN count(id) <> 1 THEN coalesce(string_agg(id::VARCHAR, ', ' ORDER BY id), '') END AS matches FROM m GROUP BY query
+SELECT query, count(id)::BIGINT AS n_matches, CASE WHEN count(id) = 1 THEN min(id) END AS id, CASE WHEN count(id) <> 1 THEN array_to_string(coalesce(list(id ORDER BY id) FILTER (WHERE id IS NOT NULL), [])[:5], ', ') || CASE WHEN count(id) > 5 THEN ', ...' ELSE '' END END AS matches FROM m GROUP BY query
 """)
 def title_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selection.by_title(_titled(spark, sf_dir), table(spark, sf_dir, "nation").select(F.col("n_name").alias("query")))
+
+
+def _titled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as sessions, the nation in their titles."""
     none = F.lit(None).cast("string")
-    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.concat("s_name", F.lit(" of nation_"), F.col("s_nationkey").cast("string")).alias("title"), none.alias("name"), none.alias("index_name"))
-    return selection.by_title(rows, table(spark, sf_dir, "nation").select(F.col("n_name").alias("query")))
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.concat("s_name", F.lit(" of nation_"), F.col("s_nationkey").cast("string")).alias("title"), none.alias("name"), none.alias("index_name"))
+
+
+@query("""
+SELECT query, s_suppkey AS id FROM (SELECT n_name AS query FROM nation UNION SELECT r_name FROM region UNION SELECT 'of Nation_1' UNION SELECT '0' UNION SELECT '')
+JOIN supplier ON contains(lower(s_name || ' of nation_' || s_nationkey), lower(query))
+""")
+def title_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sessions of each title search, rare and frequent ones and the empty one."""
+    name = lambda t, c: table(spark, sf_dir, t).select(F.col(c).alias("query"))
+    more = spark.createDataFrame([("of Nation_1",), ("0",), ("",)], "query string")
+    return selection.title_matches(_titled(spark, sf_dir), name("nation", "n_name").union(name("region", "r_name")).union(more))
 
 
 @query(f"""SELECT l_orderkey, l_partkey, l_linenumber, '$' || printf('%.2f', l_extendedprice) || CASE WHEN l_linenumber % 2 = 0 THEN '' ELSE '+' END AS cost, format('{{:,}}', l_partkey * 1000 + l_linenumber) AS grouped, {_count_sql('(l_partkey * 997)')} AS compact,

@@ -12,7 +12,7 @@ from meterline.functions import formatting as X
 from meterline.functions.records import FIELDS, total_or_max
 from meterline.functions.shared import stored
 from meterline.operators import aggregates as A
-from meterline.operators import attribution, pricing, tree
+from meterline.operators import attribution, long_logs, pricing, tree
 from meterline.sources import catalog as C
 from meterline.sources import logs
 
@@ -42,12 +42,20 @@ class Facts:
         return stored(_measures(self), "measures")
 
 
-def facts_of(rows: DataFrame, price_catalog: DataFrame) -> Facts:
-    """Facts from log records (``logs.records``) and a checked catalog; the logs are read and parsed once each way."""
+def facts_of(rows: DataFrame, price_catalog: DataFrame, long_bytes: int | None = None) -> Facts:
+    """Facts from log records (``logs.records``) and a checked catalog; the logs are read and parsed once each way.
+
+    Files above ``long_bytes`` (by ``size``) are attributed in segments, so that no task holds one of them.
+    """
     sessions = stored(logs.newest_per_id(logs.rollouts(rows)), "sessions")
     keys = sessions.select("path", "id")
-    events = logs.log_events(logs.only_workset(rows, keys))
-    seen = stored(attribution.attributed(events), "attributed")
+    own = logs.only_workset(rows, keys)
+    if long_bytes is None:
+        seen = attribution.attributed(logs.log_events(own))
+    else:
+        short = attribution.attributed(logs.log_events(own.filter(F.col("size") <= long_bytes)))
+        seen = short.unionByName(long_logs.attributed(logs.log_events(own.filter(F.col("size") > long_bytes))))
+    seen = stored(seen, "attributed")
     keyed = lambda df: df.join(keys, "path").drop("path")
     usage = pricing.priced(attribution.usage_events(seen), C.price_points(price_catalog), C.proxies(price_catalog))
     return Facts(sessions.select("id", "parent_id", "kind", "cwd"), keyed(usage), keyed(attribution.turns(seen)), keyed(attribution.turn_ends(seen)), keyed(attribution.rollout_quality(seen)))

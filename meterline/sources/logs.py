@@ -36,16 +36,17 @@ def read_homes(spark: SparkSession, *homes: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def read_lines(spark: SparkSession, *folders: str) -> DataFrame:
-    """``path, mtime, size, line_no, raw`` of every line of every ``*.jsonl`` below the folders (active and archived).
+def read_lines(spark: SparkSession, *folders: str, names: str = "*.jsonl") -> DataFrame:
+    """``path, mtime, size, line_no, raw`` of every line of every file of that name below the folders (active and archived).
 
-    Folders that don't exist are empty.
-    A file may be split among tasks: lines are numbered by the start of their block and their order in it.
+    Folders that don't exist are empty.  A file may be split among tasks and is never gathered: the lines of each block
+    are counted first, and a line's number is the sum of the blocks before its own and its place in the block.  Both
+    readings are of one listing, so lines that are appended meanwhile count in neither.
     """
     folders = present(spark, folders)
     if not folders:
         return spark.createDataFrame([], "path string, mtime timestamp, size long, line_no long, raw string")
-    found = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").option("lineSep", "\n").text(list(folders))
+    found = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", names).option("lineSep", "\n").text(list(folders))
     lines = found.select(
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_modification_time").alias("mtime"),
@@ -54,8 +55,11 @@ def read_lines(spark: SparkSession, *folders: str) -> DataFrame:
         F.monotonically_increasing_id().alias("_order"),
         F.col("value").alias("raw"),
     )
-    number = F.row_number().over(W.partitionBy("path").orderBy("_block", "_order"))
-    return lines.withColumn("line_no", number.cast("long")).select("path", "mtime", "size", "line_no", "raw")
+    blocks = lines.groupBy("path", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_order").alias("_first"))
+    earlier = W.partitionBy("path").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    blocks = blocks.select("path", "_block", "_first", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    number = F.col("_before") + F.col("_order") - F.col("_first") + 1
+    return lines.join(blocks, ["path", "_block"]).select("path", "mtime", "size", number.cast("long").alias("line_no"), "raw")
 
 
 def records(lines: DataFrame) -> DataFrame:

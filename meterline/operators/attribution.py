@@ -6,12 +6,14 @@ windows over the whole file, not joins.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from meterline.functions.records import FIELDS, capped_minus, total_or_max
-from meterline.functions.shared import computed
+from meterline.functions.shared import computed, stored
 
 
 def usage_delta(last: Column, total: Column, previous: Column) -> Column:
@@ -82,6 +84,39 @@ def attributed(events: DataFrame) -> DataFrame:
     return rows.drop("_segment", "_opened", "_active", "_legacy")
 
 
+def without_overflow(rows: DataFrame) -> DataFrame:
+    """Attributed rows with ``left_out``: requests that would take a sum of their file beyond the largest BIGINT.
+
+    Requests are added in line order; one that no longer fits in any of its five sums is left out whole, as is an
+    unattributed one that doesn't fit in theirs, and later ones that fit are still added.  Left-out rows lose their
+    ``usage`` and ``for_model``.  Only files that overflow are looked at by request: each round finds a file's first
+    overflow and with it every later request that is larger than the room that is left, which can only shrink.
+    """
+    known, lost = F.col("for_model").isNotNull(), F.col("for_model").isNull() & (F.col("n_meta") > 1)
+    none = F.lit(0).cast("bigint")
+    sums = {f: F.when(known, F.col(f"usage.{f}")).otherwise(none) for f in FIELDS[:5]} | {"lost": F.when(lost, F.col("usage.total")).otherwise(none)}
+    own = rows.filter(F.col("usage").isNotNull() & (known | lost)).select("path", "line_no", *(v.cast("decimal(20,0)").alias(f) for f, v in sums.items()))
+    limit = F.lit((1 << 63) - 1).cast("decimal(30,0)")
+    any_over = lambda over: reduce(lambda a, b: a | b, map(over, sums))
+    full = own.groupBy("path").agg(*(F.sum(f).alias(f) for f in sums)).filter(any_over(lambda f: F.col(f) > limit)).select("path")
+    left, out = stored(own.join(full, "path", "left_semi"), "overflow"), None
+    so_far = W.partitionBy("path").orderBy("line_no").rowsBetween(W.unboundedPreceding, 0)
+    while True:
+        running = left.select("*", *(F.sum(f).over(so_far).alias(f"_{f}") for f in sums)).filter(any_over(lambda f: F.col(f"_{f}") > limit))
+        room = F.struct(*(((limit - F.col(f"_{f}") + F.col(f)).alias(f)) for f in sums))
+        first = stored(running.groupBy("path").agg(F.min("line_no").alias("_line"), F.min_by(room, "line_no").alias("_room")), "overflow")
+        if first.isEmpty():
+            break
+        gone = (F.col("line_no") == F.col("_line")) | ((F.col("line_no") > F.col("_line")) & any_over(lambda f: F.col(f) > F.col(f"_room.{f}")))
+        bad = stored(left.join(first, "path").filter(gone).select("path", "line_no"), "overflow")
+        out = bad if out is None else out.unionByName(bad)
+        left = stored(left.join(bad, ["path", "line_no"], "left_anti"), "overflow")
+    if out is None:
+        return rows.withColumn("left_out", F.lit(False))
+    marked = rows.join(out.withColumn("_out", F.lit(True)), ["path", "line_no"], "left").withColumn("left_out", F.coalesce("_out", F.lit(False))).drop("_out")
+    return marked.withColumns({c: F.when(~F.col("left_out"), F.col(c)) for c in ("usage", "for_model")}).select(*rows.columns, "left_out")
+
+
 def usage_events(rows: DataFrame) -> DataFrame:
     """One row for each attributed request: ``path, line_no, model, at, at_date`` and the five token fields.
 
@@ -122,10 +157,11 @@ def turn_ends(rows: DataFrame) -> DataFrame:
     return own.select("path", "line_no", F.col("ended_turn").alias("turn_id"), F.col("ended_model").alias("model"), "seconds")
 
 
-def _quality() -> list[Column]:
+def _quality(rows: DataFrame) -> list[Column]:
     lost = F.col("usage").isNotNull() & F.col("for_model").isNull()
     untimed = F.col("bad_time") & (F.col("is_start") | (F.col("kind") == "end") | F.col("for_model").isNotNull())
-    incomplete = F.col("kind").isin("malformed", "oversized") | F.col("is_invalid") | lost | untimed
+    left_out = F.col("left_out") if "left_out" in rows.columns else F.lit(False)
+    incomplete = F.col("kind").isin("malformed", "oversized") | F.col("is_invalid") | lost | untimed | left_out
     tokens = F.when(lost & (F.col("n_meta") > 1), F.col("usage.total"))
     # a sum beyond the largest BIGINT stops there, and the file is incomplete
     above = lambda c: F.try_sum(c).isNull() & (F.count(c) > 0)
@@ -143,7 +179,7 @@ def _quality() -> list[Column]:
 
 def rollout_quality(rows: DataFrame) -> DataFrame:
     """``path, malformed_lines, oversized_lines, invalid_usage, unattributed_tokens, is_incomplete`` of each file."""
-    return rows.groupBy("path").agg(*_quality())
+    return rows.groupBy("path").agg(*_quality(rows))
 
 
 def rollout_stats(rows: DataFrame) -> DataFrame:
@@ -151,7 +187,7 @@ def rollout_stats(rows: DataFrame) -> DataFrame:
     zero = F.lit(0).cast("bigint")
     used = lambda f: F.when(F.col("for_model").isNotNull(), F.col(f"usage.{f}"))
     return with_ends(rows).groupBy("path").agg(
-        *_quality(),
+        *_quality(rows),
         *(F.coalesce(total_or_max(used(f)), zero).alias(f) for f in FIELDS[:5]),
         F.count_if("is_start").alias("turns"),
         F.count("ended_turn").alias("ended_turns"),

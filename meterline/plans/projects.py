@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from meterline.functions import formatting as X
+from meterline.functions.records import total_or_max
 from meterline.operators import aggregates as A
 from meterline.operators import selection as S
 from meterline.operators.matching import fuzzy_pairs
@@ -73,10 +76,15 @@ def required_thread(references: DataFrame, found: DataFrame, chosen: DataFrame)
     return bound.join(inside, ["target", "thread_id"], "left_anti").select("ref", F.lit("thread is outside the project").alias("error"))
 
 
+def _overflows(*columns: str) -> Column:
+    """Whether a sum passes the largest BIGINT: it stops there, and what it belongs to is incomplete."""
+    return reduce(lambda a, b: a | b, (F.try_sum(c).isNull() & (F.count(c) > 0) for c in columns))
+
+
 def merged(trees: DataFrame, chosen: DataFrame) -> DataFrame:
     """Totals of each target over the (rounded) trees of its sessions.
 
-    The estimate is null if any tree's is; trees inside another selected tree count twice.  Sessions without tree
+    The estimate is null if any tree's is; sums stop at the largest BIGINT, which makes the target incomplete; trees inside another selected tree count twice.  Sessions without tree
     make the target incomplete, but leave its cost.
     """
     own = chosen.filter("membership IN ('direct', 'fallback', 'projectless_member')")
@@ -84,18 +92,17 @@ def merged(trees: DataFrame, chosen: DataFrame) -> DataFrame:
     read = F.col("_read").isNotNull()
     money = lambda c: F.col(c).cast("decimal(38,8)")
     sums = rows.groupBy("target").agg(
-        F.coalesce(F.sum("rollout_count"), F.lit(0)).alias("rollout_count"),
-        *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTS),
+        *(F.coalesce(total_or_max(F.col(c)), F.lit(0).cast("bigint")).alias(c) for c in ("rollout_count", *COUNTS)),
         F.round(F.coalesce(F.sum("total_turn_duration_seconds"), F.lit(0.0)), 3).alias("total_turn_duration_seconds"),
         F.when(F.count_if(read & F.col("estimated_cost_usd").isNull()) == 0, F.coalesce(F.sum(money("estimated_cost_usd")), F.lit(0)).cast("double")).alias("estimated_cost_usd"),
         F.coalesce(F.sum(money("known_model_cost_usd")), F.lit(0)).cast("double").alias("known_model_cost_usd"),
-        F.sum("unattributed_usage_tokens").alias("unattributed_usage_tokens"),
-        F.bool_or(F.coalesce("incomplete_input", F.lit(True))).alias("incomplete_input"),
+        total_or_max(F.col("unattributed_usage_tokens")).alias("unattributed_usage_tokens"),
+        (F.bool_or(F.coalesce("incomplete_input", F.lit(True))) | _overflows(*COUNTS, "unattributed_usage_tokens")).alias("incomplete_input"),
         F.count_if(F.coalesce("incomplete_input", F.lit(True))).alias("incomplete_root_reports"),
         F.count_if(read & (F.size("unpriced_models") > 0)).alias("unpriced_root_reports"),
         A.warnings(F.when(~read, F.lit(UNREAD_ROOT))).alias("incomplete_input_warnings"),
     )
-    lost = rows.filter("unpriced_models IS NOT NULL").select("target", F.explode("unpriced_models").alias("model", "n")).groupBy("target", "model").agg(F.sum("n").alias("n"))
+    lost = rows.filter("unpriced_models IS NOT NULL").select("target", F.explode("unpriced_models").alias("model", "n")).groupBy("target", "model").agg(total_or_max(F.col("n")).alias("n"))
     lost = lost.groupBy("target").agg(A.sorted_map(F.col("model"), F.col("n"), F.lit(True)).alias("unpriced_models"))
     return sums.join(lost, "target", "left").join(S.selection_counts(chosen), "target", "left")
 
@@ -107,7 +114,7 @@ def merged_models(by_model: DataFrame, chosen: DataFrame) -> DataFrame:
     money = lambda c: F.col(c).cast("decimal(38,8)")
     counts = ("turns", "input_tokens", "input_cache_write_tokens", "input_cache_read_tokens", "reasoning_tokens", "output_tokens")
     return rows.groupBy("target", "model").agg(
-        *(F.sum(c).alias(c) for c in counts),
+        *(total_or_max(F.col(c)).alias(c) for c in counts),
         F.round(F.sum("total_turn_duration_seconds"), 3).alias("total_turn_duration_seconds"),
         F.when(F.count_if(F.col("estimated_cost_usd").isNull()) == 0, F.sum(money("estimated_cost_usd")).cast("double")).alias("estimated_cost_usd"),
         F.sum(money("known_model_cost_usd")).cast("double").alias("known_model_cost_usd"),

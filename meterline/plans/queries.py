@@ -106,6 +106,26 @@ def jsonl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("seconds", F.round("seconds", 3)).select(*STAT_COLUMNS)
 
 
+@query("""
+WITH RECURSIVE e AS (SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, round(value * 100)::BIGINT::HUGEINT AS v FROM events),
+u AS (SELECT user_id, n, row_number() OVER (PARTITION BY user_id ORDER BY n) AS k, v * 40000000000000 AS input, v * 10000000000000 AS cached FROM e WHERE event_type IN ('view', 'click')),
+s AS (SELECT DISTINCT user_id, 0::BIGINT AS k, 0::BIGINT AS n, 0::HUGEINT AS input, 0::HUGEINT AS cached, FALSE AS gone FROM u
+  UNION ALL SELECT s.user_id, u.k, u.n, CASE WHEN s.input + u.input > 9223372036854775807 THEN s.input ELSE s.input + u.input END,
+    CASE WHEN s.input + u.input > 9223372036854775807 THEN s.cached ELSE s.cached + u.cached END, s.input + u.input > 9223372036854775807 FROM s JOIN u ON u.user_id = s.user_id AND u.k = s.k + 1)
+SELECT 'u' || user_id AS path, max(input)::BIGINT AS input, max(cached)::BIGINT AS cached, count(*) FILTER (WHERE gone)::BIGINT AS n_left_out, bool_or(gone) AS is_incomplete FROM s GROUP BY user_id
+""")
+def checked_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views and clicks as requests of enormous usage: those that no longer fit are left out."""
+    e = adapters.numbered(spark, sf_dir).filter("event_type IN ('view', 'click')")
+    none = F.lit(0).cast("bigint")
+    fields = {"input": F.col("tokens") * 40_000_000_000_000, "cached": F.col("tokens") * 10_000_000_000_000} | dict.fromkeys(("cache_write", "output", "reasoning", "total"), none)
+    rows = e.select("path", F.col("n").alias("line_no"), F.lit("usage").alias("kind"), F.lit(False).alias("is_invalid"), F.lit(False).alias("bad_time"), F.lit(False).alias("bad_session_time"), F.lit(False).alias("is_start"),
+        F.lit(1).alias("n_meta"), F.struct(*(v.alias(f) for f, v in fields.items())).alias("usage"), F.lit("m").alias("for_model"))
+    seen = stored(attribution.without_overflow(rows), "checked")
+    sums = seen.groupBy("path").agg(F.coalesce(F.sum("usage.input"), none).alias("input"), F.coalesce(F.sum("usage.cached"), none).alias("cached"), F.count_if("left_out").alias("n_left_out"))
+    return sums.join(attribution.rollout_quality(seen).select("path", "is_incomplete"), "path")
+
+
 @query(STATS)
 def long_log_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The logs attributed in segments of 16 lines, as if they were too long for a task."""

@@ -55,7 +55,7 @@ def facts_of(rows: DataFrame, price_catalog: DataFrame, long_bytes: int | None =
     else:
         short = attribution.attributed(logs.log_events(own.filter(F.col("size") <= long_bytes)))
         seen = short.unionByName(long_logs.attributed(logs.log_events(own.filter(F.col("size") > long_bytes))))
-    seen = stored(seen, "attributed")
+    seen = attribution.without_overflow(stored(seen, "attributed"))
     keyed = lambda df: df.join(keys, "path").drop("path")
     usage = pricing.priced(attribution.usage_events(seen), C.price_points(price_catalog), C.proxies(price_catalog))
     return Facts(sessions.select("id", "parent_id", "kind", "cwd"), keyed(usage), keyed(attribution.turns(seen)), keyed(attribution.turn_ends(seen)), keyed(attribution.rollout_quality(seen)))

@@ -13,7 +13,7 @@ from meterline.functions import titles as T
 from meterline.functions.shared import shared_dir, stored
 from meterline.operators import aggregates as A
 from meterline.operators import attribution, long_logs, selection, tree
-from meterline.plans import adapters, projects, report, titles
+from meterline.plans import adapters, projects, report, titles, workset
 from meterline.plans.adapters import table
 from meterline.sources import catalog, logs
 from meterline.streaming import incremental
@@ -447,6 +447,38 @@ def related_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.related(rows.select("id", "parent_id"), seed)
 
 
+@query("""
+WITH RECURSIVE li AS (SELECT 'a' AS home, c_custkey AS id, CASE WHEN c_custkey % 50 > 0 THEN (c_custkey // 50) * 50 + (c_custkey % 50 - 1) // 3 END AS parent FROM customer
+  UNION ALL SELECT 'b', c_custkey, CASE WHEN c_custkey % 7 > 0 THEN c_custkey - 1 END FROM customer WHERE c_custkey % 3 <> 0 OR c_custkey % 7 = 0),
+tr AS (SELECT home, id AS root_id, id, 0 AS depth FROM li WHERE parent IS NULL UNION ALL SELECT tr.home, root_id, li.id, depth + 1 FROM tr JOIN li ON li.home = tr.home AND li.parent = tr.id)
+SELECT home, root_id::VARCHAR AS root_id, id::VARCHAR AS member_id, depth::INTEGER AS depth FROM tr
+""")
+def two_homes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same ids in two homes with other parents: trees stay inside their home."""
+    one = adapters.links(spark, sf_dir).select(F.lit("a").alias("home"), "id", "parent_id")
+    two = table(spark, sf_dir, "customer").filter("c_custkey % 3 <> 0 OR c_custkey % 7 = 0").select(F.lit("b").alias("home"), F.col("c_custkey").alias("id"), F.expr("CASE WHEN c_custkey % 7 > 0 THEN c_custkey - 1 END").alias("parent_id"))
+    rows = one.unionByName(two).withColumns({c: logs.scoped(F.col("home"), F.col(c)) for c in ("id", "parent_id")})
+    found = logs.with_homes(tree.closure(rows, rows.filter("parent_id IS NULL")))
+    return found.withColumn("member_id", F.substring_index("member_id", logs.HOME_END, -1))
+
+
+@query("""
+WITH RECURSIVE th AS (SELECT o_orderkey AS id, o_orderkey % 5 = 0 AS sub, o_custkey FROM orders), ed AS (SELECT l_orderkey AS parent, l_orderkey + l_linenumber AS child FROM lineitem WHERE l_linenumber >= 5),
+se AS (SELECT id FROM th WHERE o_custkey % 40 = 1), tr AS (SELECT id FROM se UNION SELECT child FROM tr JOIN ed ON parent = tr.id),
+fi AS (SELECT '/logs/' || o_orderkey AS path FROM orders UNION ALL SELECT '/logs/x' || s_suppkey FROM supplier)
+SELECT '/logs/' || id AS path FROM th WHERE id IN (SELECT id FROM tr) OR (sub AND id NOT IN (SELECT child FROM ed)) UNION SELECT path FROM fi WHERE path NOT IN (SELECT '/logs/' || id FROM th)
+""")
+def targeted_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as threads with a file each, line items as spawn edges, suppliers as files that no thread lists."""
+    path = lambda c, sign="": F.concat(F.lit(f"/logs/{sign}"), F.col(c).cast("string"))
+    orders = table(spark, sf_dir, "orders")
+    source = F.when(F.col("o_orderkey") % 5 == 0, '{"subagent":"review"}').otherwise("cli")
+    threads = orders.select(F.col("o_orderkey").alias("id"), path("o_orderkey").alias("rollout_path"), source.alias("source"))
+    edges = table(spark, sf_dir, "lineitem").filter("l_linenumber >= 5").select(F.col("l_orderkey").alias("parent_thread_id"), (F.col("l_orderkey") + F.col("l_linenumber")).alias("child_thread_id"))
+    listed = orders.select(path("o_orderkey").alias("path")).union(table(spark, sf_dir, "supplier").select(path("s_suppkey", "x").alias("path")))
+    return workset.targeted_paths(threads, edges, listed, orders.filter("o_custkey % 40 = 1").select(F.col("o_orderkey").alias("id")))
+
+
 # --- projects ------------------------------------------------------------------------------------------------------
 
 

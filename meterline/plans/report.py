@@ -45,9 +45,14 @@ class Facts:
 def facts_of(rows: DataFrame, price_catalog: DataFrame, long_bytes: int | None = None) -> Facts:
     """Facts from log records (``logs.records``) and a checked catalog; the logs are read and parsed once each way.
 
+    Records with ``home`` (``logs.read_homes``) keep the sessions of several homes apart: ids become keys of home and id
+    (``logs.scoped``), links stay inside a home, and ``logs.with_homes`` splits the keys of a report again.
     Files above ``long_bytes`` (by ``size``) are attributed in segments, so that no task holds one of them.
     """
-    sessions = stored(logs.newest_per_id(logs.rollouts(rows)), "sessions")
+    home = [c for c in ("home",) if c in rows.columns]
+    sessions = stored(logs.newest_per_id(logs.rollouts(rows), *home), "sessions")
+    if home:
+        sessions = sessions.withColumns({c: logs.scoped(F.col("home"), F.col(c)) for c in ("id", "parent_id")})
     keys = sessions.select("path", "id")
     own = logs.only_workset(rows, keys)
     if long_bytes is None:
@@ -132,7 +137,8 @@ def tree_report(facts: Facts, roots: DataFrame, scan: DataFrame | None = None, n
     """The parts of the reports of ``roots(id)`` (of any kind), all roots at once.
 
     ``rollout`` (the session itself), ``tree``, ``by_model``, ``by_kind`` and ``warnings``.  ``scan`` has the scan
-    counters of the home: a bad record in it makes every tree incomplete, but not the sessions' own figures.
+    counters of the home (or of each ``home``): a bad record in it makes every tree of it incomplete, but not the
+    sessions' own figures.
     ``index`` has the counters of the session index: where it has bad records, names are left out.  A descendant
     without facts makes its tree incomplete, with a warning.
     """
@@ -140,19 +146,24 @@ def tree_report(facts: Facts, roots: DataFrame, scan: DataFrame | None = None, n
     links = facts.rollouts.select("id", "parent_id")
     below = stored(tree.closure(links, own), "members")
     members = below.select("root_id", F.col("member_id").alias("id"), "depth")
-    flag, texts = F.lit(False), []
-    if scan is not None:
+    flag, texts, by_home = F.lit(False), [], None
+    if scan is not None and "home" in scan.columns:
+        found = (F.when(F.col(n) > 0, t) for n, t in (("n_malformed", SCAN_MALFORMED), ("n_oversized", SCAN_OVERSIZED)))
+        by_home = scan.select("home", F.array_compact(F.array(*found)).alias("_scan"))
+        flag = F.size("_scan") > 0
+    elif scan is not None:
         texts = _noted(scan, SCAN_MALFORMED, SCAN_OVERSIZED)
         flag = F.lit(bool(texts))
     of_index = _noted(index, INDEX_MALFORMED, INDEX_OVERSIZED) if index is not None else []
     unread = members.filter("depth > 0").join(facts.quality.select("id"), "id", "left_anti")
-    unread = unread.groupBy("root_id").agg(F.array_sort(F.collect_list(F.format_string(UNREAD, F.col("id").cast("string")))).alias("_unread"))
+    unread = unread.groupBy("root_id").agg(F.array_sort(F.collect_list(F.format_string(UNREAD, F.substring_index(F.col("id").cast("string"), logs.HOME_END, -1)))).alias("_unread"))
     fixed = lambda x: F.array(*map(F.lit, x)).cast("array<string>")
     missing = F.coalesce("_unread", fixed([]))
     notes = own.select(F.col("id").alias("root_id")).join(unread, "root_id", "left")
-    notes = notes.select("root_id", F.concat(fixed(texts), missing, fixed(of_index)).alias("incomplete_input_warnings"))
-    whole = stats(members.select("root_id", "id"), facts, "root_id")
-    whole = whole.withColumn("incomplete_input", F.col("incomplete_input") | flag).withColumn("estimated_cost_usd", F.when(~F.col("incomplete_input"), F.col("estimated_cost_usd")))
+    scanned = lambda df: df.join(by_home, F.substring_index("root_id", logs.HOME_END, 1) == F.col("home"), "left").drop("home").withColumn("_scan", F.coalesce("_scan", fixed([]))) if by_home is not None else df.withColumn("_scan", fixed(texts))
+    notes = scanned(notes).select("root_id", F.concat("_scan", missing, fixed(of_index)).alias("incomplete_input_warnings"))
+    whole = scanned(stats(members.select("root_id", "id"), facts, "root_id"))
+    whole = whole.withColumn("incomplete_input", F.col("incomplete_input") | flag).withColumn("estimated_cost_usd", F.when(~F.col("incomplete_input"), F.col("estimated_cost_usd"))).drop("_scan")
     alone = stats(members.filter("depth = 0").select("root_id", "id"), facts, "root_id")
     children = stats(members.filter("depth > 0").select("root_id", "id"), facts, "root_id").select("root_id", F.col("rollout_count").alias("_n"), F.col("total_turn_duration_seconds").alias("_s"))
     kinds = members.join(facts.rollouts.select("id", "kind"), "id").select("root_id", F.col("kind").alias("rollout_type"), "id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -36,6 +36,42 @@ def read_homes(spark: SparkSession, *homes: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def files(spark: SparkSession, *folders: str, names: str = "*.jsonl") -> DataFrame:
+    """``path, mtime, size`` of every file of that name below the folders that holds anything, without reading any."""
+    folders = present(spark, folders)
+    if not folders:
+        return spark.createDataFrame([], "path string, mtime timestamp, size long")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", names).load(list(folders))
+    return found.select(plain_path(F.col("path")).alias("path"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"))
+
+
+def plain_path(path: Column) -> Column:
+    """A path without scheme and host, as thread tables store it."""
+    return F.regexp_replace(path, "^[a-z][a-z0-9+.-]*:(//[^/]*)?(?=/)", "")
+
+
+def unread(listed: DataFrame, lines: DataFrame) -> DataFrame:
+    """Files of a listing (:func:`files`) that hold something but gave no line, such as unreadable ones."""
+    seen = lines.select(plain_path(F.col("path")).alias("path")).distinct()
+    return listed.filter("size > 0").join(seen, "path", "left_anti")
+
+
+#: Between a home and an id in the keys of several homes; no id holds it.
+HOME_END = "\x1f"
+
+
+def scoped(home: Column, id_: Column) -> Column:
+    """Key of a session among several homes; null without id."""
+    return F.concat(home, F.lit(HOME_END), id_.cast("string"))
+
+
+def with_homes(df: DataFrame, key: str = "root_id") -> DataFrame:
+    """``df`` with ``home`` and the plain id in place of a scoped key."""
+    place = F.instr(F.col(key), HOME_END)
+    own = df.withColumns({"home": F.when(place > 0, F.substring(key, F.lit(1), place - 1)), key: F.substring_index(key, HOME_END, -1)})
+    return own.select("home", *df.columns)
+
+
 def read_lines(spark: SparkSession, *folders: str, names: str = "*.jsonl") -> DataFrame:
     """``path, mtime, size, line_no, raw`` of every line of every file of that name below the folders (active and archived).
 
@@ -46,7 +82,22 @@ def read_lines(spark: SparkSession, *folders: str, names: str = "*.jsonl") -> Da
     folders = present(spark, folders)
     if not folders:
         return spark.createDataFrame([], "path string, mtime timestamp, size long, line_no long, raw string")
-    found = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", names).option("lineSep", "\n").text(list(folders))
+    return numbered_lines(spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", names).option("lineSep", "\n").text(list(folders)))
+
+
+def read_workset(spark: SparkSession, paths: DataFrame) -> DataFrame:
+    """The lines of the files ``paths(path)`` alone, as :func:`read_lines` gives them: no other file is listed or opened.
+
+    The paths go to the driver, where Spark keeps every listing; files that are gone are left out.
+    """
+    names = present(spark, sorted(r[0] for r in paths.filter("path IS NOT NULL").select("path").distinct().toLocalIterator()))
+    if not names:
+        return read_lines(spark)
+    return numbered_lines(spark.read.option("lineSep", "\n").text(names))
+
+
+def numbered_lines(found: DataFrame) -> DataFrame:
+    """``path, mtime, size, line_no, raw`` of text that was just read from files; see :func:`read_lines`."""
     lines = found.select(
         F.col("_metadata.file_path").alias("path"),
         F.col("_metadata.file_modification_time").alias("mtime"),
@@ -135,14 +186,14 @@ def rollouts(rows: DataFrame) -> DataFrame:
     return found.select("path", "mtime", *home, "r.id", "r.parent_id", F.coalesce("r.kind", F.lit("root")).alias("kind"), "r.cwd")
 
 
-def scan_quality(rows: DataFrame) -> DataFrame:
-    """``n_malformed, n_oversized`` of all files, over each file's lines up to its first valid meta line."""
+def scan_quality(rows: DataFrame, *home: str) -> DataFrame:
+    """``n_malformed, n_oversized`` of all files (of each home), over each file's lines up to its first valid meta line."""
     v = F.col("v")
     payload = R.at(v, "$.payload")
     valid = (R.text_at(v, "$.type") == "session_meta") & R.is_object(payload) & R.first_text(payload, "$.id", "$.session_id").isNotNull()
     firsts = rows.filter(valid).groupBy("path").agg(F.min("line_no").alias("_first"))
-    seen = rows.select("path", "line_no", "is_malformed", "is_oversized").join(firsts, "path", "left").filter(F.col("_first").isNull() | (F.col("line_no") <= F.col("_first")))
-    return seen.agg(F.count_if("is_malformed").alias("n_malformed"), F.count_if("is_oversized").alias("n_oversized"))
+    seen = rows.select("path", "line_no", *home, "is_malformed", "is_oversized").join(firsts, "path", "left").filter(F.col("_first").isNull() | (F.col("line_no") <= F.col("_first")))
+    return seen.groupBy(*home).agg(F.count_if("is_malformed").alias("n_malformed"), F.count_if("is_oversized").alias("n_oversized"))
 
 
 def newest_per_id(found: DataFrame, *home: str) -> DataFrame:

@@ -24,10 +24,12 @@ from functools import reduce
 from itertools import count, islice
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from meterline.llm.common import dropped, saved
@@ -55,6 +57,21 @@ def word_hash(word: bytes) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+def _packed(ids: np.ndarray) -> bytes:
+    """Word numbers byte by byte: the leading ones, mostly 0, compress well."""
+    return np.ascontiguousarray(ids.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _unpacked(data: pa.Scalar) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data.as_buffer(), np.uint8).reshape(4, -1).T).view("<i4").ravel()
+
+
+@F.pandas_udf(T.BinaryType())
+def word_key(words: pd.Series) -> pd.Series:
+    """Hash of a word as the 8 bytes that stand for it in keys."""
+    return words.map(lambda w: np.int64(word_hash(bytes(w))).tobytes())
+
+
 class _Numbering:
     """Numbers of the words of one language within a task, and the chunk that is being filled."""
 
@@ -82,7 +99,7 @@ class _Numbering:
         n[: len(self.counts)] += self.counts
         self.counts = n
         hashes = self.hashes()[used]
-        return {"lang": lang, "ids": own[:-1].astype("<i4").tobytes(), "hashes": hashes.tobytes()}
+        return {"lang": lang, "ids": _packed(own[:-1]), "hashes": hashes.tobytes()}
 
     def hashes(self) -> np.ndarray:
         """Hash of each word number so far; only new ones are computed."""
@@ -98,14 +115,14 @@ class _Numbering:
         for lo in range(1, len(self.number), at_once):
             own = list(islice(names, at_once))
             hi = lo + len(own)
-            yield {"lang": [lang] * len(own), "word": own, "key": [h.tobytes() for h in self.hashes()[lo:hi]], "n": self.counts[lo:hi]}
+            yield {"lang": [lang] * len(own), "word": own, "n": self.counts[lo:hi]}
 
 
-_STREAM = pa.schema([("lang", pa.string()), ("ids", pa.binary()), ("hashes", pa.binary()), ("word", pa.binary()), ("key", pa.binary()), ("n", pa.int64())])
+_STREAM = pa.schema([("lang", pa.string()), ("ids", pa.binary()), ("hashes", pa.binary()), ("word", pa.binary()), ("n", pa.int64())])
 
 
 def streams(docs: DataFrame) -> DataFrame:
-    """Chunks ``lang, ids, hashes`` of word numbers with their dictionaries, and counts ``lang, word, key, n`` of words.
+    """Chunks ``lang, ids, hashes`` of word numbers with their dictionaries, and counts ``lang, word, n`` of words.
 
     Both kinds of rows come from one reading of whole texts (null: empty, null language: ``und``).
     """
@@ -130,7 +147,7 @@ def streams(docs: DataFrame) -> DataFrame:
                 yield from map(row, own.words(lang))
 
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    return texts.mapInArrow(read, "lang string, ids binary, hashes binary, word binary, key binary, n long")
+    return texts.mapInArrow(read, "lang string, ids binary, hashes binary, word binary, n long")
 
 
 _ODD, _SALT = np.uint64(0x9E3779B97F4A7C15), 0x2545F491
@@ -277,7 +294,7 @@ def hot_pairs(chunks: DataFrame, search: Search, tokens: int) -> DataFrame:
         s, parts, waiting = context.value, [], 0
         for batch in batches:
             for lang, ids, hashes in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                ids, hashes = np.frombuffer(ids.as_buffer(), "<i4"), np.frombuffer(hashes.as_buffer(), np.int64)
+                ids, hashes = _unpacked(ids), np.frombuffer(hashes.as_buffer(), np.int64)
                 at, part = _places(lang, ids, hashes, 2, s)
                 if len(at):
                     parts.append(np.unique((part(at, 0, 2) >> np.uint64(64 - bits)).astype(np.int64), return_counts=True))
@@ -312,7 +329,7 @@ def counted(chunks: DataFrame, search: Search) -> DataFrame:
         s = context.value
         for batch in batches:
             for lang, ids, hashes in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                ids, hashes = np.frombuffer(ids.as_buffer(), "<i4"), np.frombuffer(hashes.as_buffer(), np.int64)
+                ids, hashes = _unpacked(ids), np.frombuffer(hashes.as_buffer(), np.int64)
                 for size in s.sizes:
                     keys, *columns = _counted(lang, ids, hashes, size, s)
                     if len(keys):
@@ -353,10 +370,10 @@ def collocations(docs: DataFrame, top: int = TOP) -> DataFrame:
     spark = docs.sparkSession
     stream = saved(streams(docs), "phrase_streams")
     chunks, words = stream.filter("ids IS NOT NULL").select("lang", "ids", "hashes"), stream.filter("word IS NOT NULL")
-    every = saved(words.groupBy("lang", "word", "key").agg(F.sum("n").alias("f")), "phrase_words")
+    every = saved(words.groupBy("lang", "word").agg(F.sum("n").alias("f")), "phrase_words")
     totals = saved(every.groupBy("lang").agg(F.sum("f").alias("n")), "phrase_totals")
     bound = F.expr("1000 * cast(n AS decimal(38,0)) div f")
-    known = saved(every.filter(F.col("f") >= LEAST).join(totals, "lang").select("lang", "key", "word", "f", bound.alias("bound")), "phrase_vocabulary")
+    known = saved(every.filter(F.col("f") >= LEAST).join(totals, "lang").select("lang", word_key("word").alias("key"), "word", "f", bound.alias("bound")), "phrase_vocabulary")
     frequent, counts = bits_of(hashed(known)), known.select("lang", "key", "f")
     made = [stream, every, totals, known]
 

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
 from itertools import count, islice
@@ -27,7 +28,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
@@ -39,7 +40,9 @@ LEAST, LONGEST, TOP = 100, 5, 2000
 #: Bounds down to which first words are opened, one batch after another.
 BATCHES = (50_000, 0)
 #: Tokens of a chunk, words of a task's dictionary, pairs that a task holds, and the sizes of bitmaps (log2 of bits: 16 MB at most).
-CHUNK, VOCABULARY, PAIRS = 1 << 18, 200_000, 1 << 20
+CHUNK, VOCABULARY, PAIRS = 1 << 18, 60_000, 1 << 19
+#: Rows that Spark hands to a task at once: documents, and chunks of a megabyte.
+AT_ONCE = 16
 LEAST_BITS, MOST_BITS = 16, 27
 #: A-Z lower-cased, tabs as blanks, piece ends as a byte that no UTF-8 text has.
 _END = b"\xff"
@@ -121,6 +124,18 @@ class _Numbering:
 _STREAM = pa.schema([("lang", pa.string()), ("ids", pa.binary()), ("hashes", pa.binary()), ("word", pa.binary()), ("n", pa.int64())])
 
 
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Plans that run inside hand few rows at once to Python, so that neither side holds a whole partition."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(AT_ONCE))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def streams(docs: DataFrame) -> DataFrame:
     """Chunks ``lang, ids, hashes`` of word numbers with their dictionaries, and counts ``lang, word, n`` of words.
 
@@ -368,7 +383,8 @@ def collocations(docs: DataFrame, top: int = TOP) -> DataFrame:
     ignored.  A language without phrase of the least count has no rows, nor has an empty table.
     """
     spark = docs.sparkSession
-    stream = saved(streams(docs), "phrase_streams")
+    with _small_batches(spark):
+        stream = saved(streams(docs), "phrase_streams")
     chunks, words = stream.filter("ids IS NOT NULL").select("lang", "ids", "hashes"), stream.filter("word IS NOT NULL")
     every = saved(words.groupBy("lang", "word").agg(F.sum("n").alias("f")), "phrase_words")
     totals = saved(every.groupBy("lang").agg(F.sum("f").alias("n")), "phrase_totals")
@@ -378,7 +394,8 @@ def collocations(docs: DataFrame, top: int = TOP) -> DataFrame:
     made = [stream, every, totals, known]
 
     def keep(df: DataFrame, name: str) -> DataFrame:
-        made.append(saved(df, name))
+        with _small_batches(spark):
+            made.append(saved(df, name))
         return made[-1]
 
     tokens = totals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

@@ -17,6 +17,10 @@ from meterline.sources.projects import clean_path
 
 #: Warnings; fixed values of the report format.
 UNREAD_ROOT = "selected root rollout could not be read"
+MISSING_ROOTS = "%d configured Desktop Project source root(s) unavailable; direct assignments and recorded workspace roots remain included"
+OUTSIDE = "thread is outside the project"
+#: Memberships whose sessions count.
+IS_MEMBER = "membership IN ('direct', 'fallback', 'projectless_member')"
 COUNTS = ("input_tokens", "input_cache_write_tokens", "input_cache_read_tokens", "reasoning_tokens", "output_tokens", "turns", "completed_or_aborted_turns", "incomplete_turns")
 
 
@@ -73,7 +77,7 @@ def required_thread(references: DataFrame, found: DataFrame, chosen: DataFrame)
     """References whose ``thread_id`` is outside their project, which a name or path must hold: ``ref, error``."""
     bound = references.filter("thread_id IS NOT NULL").join(found.filter("resolver IN ('project_name', 'source_root_path', 'path')").select("ref", "target"), "ref")
     inside = chosen.filter("membership IN ('direct', 'fallback')").select("target", F.col("id").alias("thread_id"))
-    return bound.join(inside, ["target", "thread_id"], "left_anti").select("ref", F.lit("thread is outside the project").alias("error"))
+    return bound.join(inside, ["target", "thread_id"], "left_anti").select("ref", F.lit(OUTSIDE).alias("error"))
 
 
 def _overflows(*columns: str) -> Column:
@@ -82,12 +86,16 @@ def _overflows(*columns: str) -> Column:
 
 
 def merged(trees: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Totals of each target over the (rounded) trees of its sessions.
+    """Totals of each target over the (rounded) trees of its sessions, with the counters of its selection.
 
-    The estimate is null if any tree's is; sums stop at the largest BIGINT, which makes the target incomplete; trees inside another selected tree count twice.  Sessions without tree
-    make the target incomplete, but leave its cost.
+    The estimate is null if any tree's is; sums stop at the largest BIGINT, which makes the target incomplete; trees
+    inside another selected tree count twice.  Sessions without tree make the target incomplete, but leave its cost.
     """
-    own = chosen.filter("membership IN ('direct', 'fallback', 'projectless_member')")
+    return _merged_trees(trees, chosen).join(S.selection_counts(chosen), "target", "left")
+
+
+def _merged_trees(trees: DataFrame, chosen: DataFrame) -> DataFrame:
+    own = chosen.filter(IS_MEMBER)
     rows = own.join(trees.withColumnRenamed("root_id", "id").withColumn("_read", F.lit(True)), "id", "left")
     read = F.col("_read").isNotNull()
     money = lambda c: F.col(c).cast("decimal(38,8)")
@@ -104,12 +112,12 @@ def merged(trees: DataFrame, chosen: DataFrame) -> DataFrame:
     )
     lost = rows.filter("unpriced_models IS NOT NULL").select("target", F.explode("unpriced_models").alias("model", "n")).groupBy("target", "model").agg(total_or_max(F.col("n")).alias("n"))
     lost = lost.groupBy("target").agg(A.sorted_map(F.col("model"), F.col("n"), F.lit(True)).alias("unpriced_models"))
-    return sums.join(lost, "target", "left").join(S.selection_counts(chosen), "target", "left")
+    return sums.join(lost, "target", "left")
 
 
 def merged_models(by_model: DataFrame, chosen: DataFrame) -> DataFrame:
     """Totals by target and model over the (rounded) model rows of its sessions' trees; the estimate is null if any is."""
-    own = chosen.filter("membership IN ('direct', 'fallback', 'projectless_member')")
+    own = chosen.filter(IS_MEMBER)
     rows = own.select("target", F.col("id").alias("root_id")).join(by_model, "root_id")
     money = lambda c: F.col(c).cast("decimal(38,8)")
     counts = ("turns", "input_tokens", "input_cache_write_tokens", "input_cache_read_tokens", "reasoning_tokens", "output_tokens")
@@ -123,7 +131,7 @@ def merged_models(by_model: DataFrame, chosen: DataFrame) -> DataFrame:
 
 def merged_warnings(warnings: DataFrame, chosen: DataFrame) -> DataFrame:
     """``target, warnings``: different warnings of the trees of a target's sessions, in order."""
-    own = chosen.filter("membership IN ('direct', 'fallback', 'projectless_member')").select("target", F.col("id").alias("root_id"))
+    own = chosen.filter(IS_MEMBER).select("target", F.col("id").alias("root_id"))
     each = own.join(warnings, "root_id").select("target", F.explode("incomplete_input_warnings").alias("w"))
     return each.groupBy("target").agg(A.warnings(F.col("w")).alias("warnings"))
 

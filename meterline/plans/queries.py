@@ -13,7 +13,7 @@ from meterline.functions import titles as T
 from meterline.functions.shared import shared_dir, stored
 from meterline.operators import aggregates as A
 from meterline.operators import attribution, long_logs, selection, tree
-from meterline.plans import adapters, projects, report, titles, workset
+from meterline.plans import adapters, project_report, projects, report, titles, workset
 from meterline.plans.adapters import table
 from meterline.sources import catalog, logs
 from meterline.streaming import incremental
@@ -373,6 +373,111 @@ def title_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return titles.title_chain(threads, logs.latest_name(named), adapters.facts(spark, sf_dir), ("cost", "total"), 200, now, 15, 1_000_000)
 
 
+PROJECT_TREES = f"""{FACTS},
+nn AS (SELECT n_nationkey AS n, n_name, '/r/' || n_regionkey || '/' || n_nationkey AS p1, '/q/' || n_nationkey AS p2 FROM nation),
+rt AS (SELECT id, CASE k WHEN 0 THEN NULL WHEN 1 THEN '/elsewhere' ELSE p1 || '/s' || id END AS cwd, CASE k WHEN 1 THEN nation WHEN 2 THEN nation WHEN 3 THEN (nation + 1) % 25 END AS pid, k = 4 AS loose
+  FROM (SELECT id, nation, (id // 10) % 6 AS k FROM li WHERE id % 10 = 0) JOIN nn ON n = nation
+  UNION ALL SELECT -s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN '/x' WHEN 1 THEN p2 ELSE '/nowhere' END, CASE WHEN s_suppkey % 3 = 0 THEN s_nationkey END, FALSE FROM supplier JOIN nn ON n = s_nationkey),
+sc AS (SELECT n * 10 + 1 AS ref, 'project_name' AS resolver, n_name AS target, n AS pid, p1, p2 FROM nn UNION ALL SELECT n * 10 + 5, 'project_name', n_name, n, p1, p2 FROM nn
+  UNION ALL SELECT n * 10 + 2, 'source_root_path', n_name, n, p1, NULL FROM nn
+  UNION ALL SELECT nn.n * 10 + 4, 'thread_assignment', p.n_name, p.n, p.p1, p.p2 FROM nn JOIN rt ON rt.id = nn.n * 10 JOIN nn p ON p.n = rt.pid
+  UNION ALL SELECT nn.n * 10 + 4, 'thread_cwd', rt.cwd, NULL, rt.cwd, NULL FROM nn JOIN rt ON rt.id = nn.n * 10 WHERE rt.pid IS NULL AND rt.cwd IS NOT NULL),
+bn AS (SELECT sc.*, rt.id, rt.pid AS own, rt.loose, cwd = sc.p1 OR coalesce(cwd = sc.p2, FALSE) OR (resolver <> 'thread_cwd' AND (starts_with(cwd, sc.p1 || '/') OR coalesce(starts_with(cwd, sc.p2 || '/'), FALSE))) AS beneath FROM sc JOIN rt ON cwd IS NOT NULL),
+me AS (SELECT ref, id, CASE WHEN own = pid THEN 'direct' WHEN NOT beneath THEN NULL WHEN loose THEN CASE resolver WHEN 'thread_cwd' THEN 'projectless_member' ELSE 'projectless' END WHEN own IS NULL THEN 'fallback' ELSE 'other' END AS m FROM bn),
+tp AS (SELECT id AS root_id, id FROM li WHERE id % 10 = 0 UNION ALL SELECT tp.root_id, li.id FROM tp JOIN li ON li.parent = tp.id),
+{_tree_sql('root_id', 'SELECT root_id, id FROM tp').strip()},
+mt AS (SELECT me.ref, me.id, m, rp.* FROM me LEFT JOIN rp ON root_id = id WHERE m IN ('direct', 'fallback', 'projectless_member')),
+ag AS (SELECT ref, coalesce(sum(rollout_count), 0)::BIGINT AS rollout_count, coalesce(sum(input_tokens), 0)::BIGINT AS input_tokens, coalesce(sum(input_cache_write_tokens), 0)::BIGINT AS input_cache_write_tokens,
+    coalesce(sum(input_cache_read_tokens), 0)::BIGINT AS input_cache_read_tokens, coalesce(sum(output_tokens), 0)::BIGINT AS output_tokens, coalesce(sum(turns), 0)::BIGINT AS turns,
+    coalesce(sum(completed_or_aborted_turns), 0)::BIGINT AS completed_or_aborted_turns, coalesce(sum(incomplete_turns), 0)::BIGINT AS incomplete_turns, round(coalesce(sum(total_turn_duration_seconds), 0), 3) AS total_turn_duration_seconds,
+    CASE WHEN count(root_id) = count(estimated_cost_usd) THEN coalesce(sum(estimated_cost_usd::DECIMAL(38,8)), 0)::DOUBLE END AS estimated_cost_usd, coalesce(sum(known_model_cost_usd::DECIMAL(38,8)), 0)::DOUBLE AS known_model_cost_usd,
+    sum(unattributed_usage_tokens)::BIGINT AS unattributed_usage_tokens, bool_or(coalesce(incomplete_input, TRUE)) AS incomplete_input, count(*) FILTER (WHERE coalesce(incomplete_input, TRUE))::BIGINT AS incomplete_root_reports,
+    count(*) FILTER (WHERE unpriced_models <> '')::BIGINT AS unpriced_root_reports, bool_or(root_id IS NULL) AS unread FROM mt GROUP BY ref),
+ua AS (SELECT ref, string_agg(model || '=' || n, ',' ORDER BY model) AS unpriced_models FROM (SELECT ref, model, sum(n) AS n FROM mt JOIN s5 USING (root_id) GROUP BY ALL) GROUP BY ref),
+xm AS (SELECT root_id, model, 0 AS turns, i, c, w, o, 0.0::DOUBLE AS seconds, cost, NOT is_full AS part FROM tp JOIN uu USING (id) UNION ALL SELECT root_id, model, 1, 0, 0, 0, 0, coalesce(seconds, 0), 0, FALSE FROM tp JOIN tu USING (id)),
+mm AS (SELECT root_id, model, sum(turns)::BIGINT AS turns, sum(i)::BIGINT AS i, sum(c)::BIGINT AS c, sum(w)::BIGINT AS w, sum(o)::BIGINT AS o, round(sum(seconds), 3) AS seconds, bool_or(part) AS part, round((sum(cost))::DECIMAL(26,6) * 0.000001::DECIMAL(7,6), 8)::DOUBLE AS known FROM xm GROUP BY ALL),
+pm AS (SELECT ref, model, sum(mm.turns)::BIGINT AS turns, sum(i)::BIGINT AS input_tokens, sum(c)::BIGINT AS input_cache_read_tokens, sum(w)::BIGINT AS input_cache_write_tokens, sum(o)::BIGINT AS output_tokens, round(sum(seconds), 3) AS total_turn_duration_seconds,
+    CASE WHEN NOT bool_or(part) THEN sum(known::DECIMAL(38,8))::DOUBLE END AS estimated_cost_usd, sum(known::DECIMAL(38,8))::DOUBLE AS known_model_cost_usd FROM mt JOIN mm USING (root_id) GROUP BY ref, model)"""
+
+
+def _project_parts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Nations as projects of two root paths; every tenth customer as a root session, with suppliers as sessions without log."""
+    number = lambda c: (F.col(c) if isinstance(c, str) else c).cast("string")
+    joined = lambda *parts: F.concat(*(p if not isinstance(p, str) else F.lit(p) for p in parts))
+    one, two = joined("/r/", number("n_regionkey"), "/", number("n_nationkey")), joined("/q/", number("n_nationkey"))
+    nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("n"), "n_name", one.alias("p1"), two.alias("p2"))
+    known = nation.select(number("n").alias("project_id"), F.col("n_name").alias("name"), F.array("p1", "p2").alias("root_paths"))
+    facts, k = adapters.facts(spark, sf_dir), F.expr("(id div 10) % 6")
+    people = adapters.links(spark, sf_dir).filter("id % 10 = 0").join(nation, F.col("nation") == F.col("n")).withColumn("k", k)
+    own = F.when(F.col("k").isin(1, 2), F.col("n")).when(F.col("k") == 3, (F.col("n") + 1) % 25)
+    people = people.select("id", F.when(F.col("k") == 1, "/elsewhere").when(F.col("k") > 1, F.concat("p1", F.lit("/s"), number("id"))).alias("cwd"), own.alias("pid"), (F.col("k") == 4).alias("loose"))
+    rest = F.col("s_suppkey") % 3
+    lost = table(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n")).select((-F.col("s_suppkey")).alias("id"), F.when(rest == 0, "/x").when(rest == 1, F.col("p2")).otherwise("/nowhere").alias("cwd"), F.when(rest == 0, F.col("n")).alias("pid"), F.lit(False).alias("loose"))
+    roots = people.unionByName(lost)
+    assigned = roots.filter("pid IS NOT NULL").select("id", number("pid").alias("project_id"))
+    none = F.lit(None).cast("long")
+    kinds = ((1, F.lower("n_name"), none, False), (2, F.concat("p1", F.lit("/")), none, True), (3, F.lit("%%%"), none, False), (4, F.lit(""), (F.col("n") * 10).cast("long"), False), (5, F.col("n_name"), F.lit(-1).cast("long"), False))
+    asked = F.explode(F.array(*(F.struct((F.col("n") * 10 + d).alias("ref"), text.alias("ref_text"), thread.alias("thread_id"), F.lit(path).alias("is_path")) for d, text, thread, path in kinds)))
+    refs = nation.select(asked.alias("x")).select("x.*")
+    found = projects.resolved(refs, known, roots, assigned)
+    exist = nation.select(F.explode(F.array("p1", "p2")).alias("root_path"), (F.col("n") % 4 != 0).alias("root_exists"))
+    return project_report.project_report(refs, found, roots, assigned, roots.filter("loose").select("id"), facts, exist)
+
+
+@query(f"""{PROJECT_TREES},
+er AS (SELECT n * 10 + 3 AS ref, 'not found' AS error FROM nn UNION ALL SELECT n * 10 + 4, 'not found' FROM nn WHERE n * 10 + 4 NOT IN (SELECT ref FROM sc)
+  UNION ALL SELECT n * 10 + 5, 'thread is outside the project' FROM nn WHERE n * 10 + 5 NOT IN (SELECT ref FROM mt WHERE id = -1)),
+ct AS (SELECT ref, count(*) FILTER (WHERE m = 'direct') AS d, count(*) FILTER (WHERE m = 'fallback') AS f, count(*) FILTER (WHERE m = 'projectless_member') AS pl, count(*) FILTER (WHERE m = 'projectless') AS px, count(*) FILTER (WHERE m = 'other') AS ot FROM me GROUP BY ref),
+lm AS (SELECT ref, string_agg(model || '=' || turns || '/' || input_tokens || '/' || output_tokens, ',' ORDER BY model) AS by_model, sum(known_model_cost_usd::DECIMAL(38,8))::DOUBLE AS models_cost, count(estimated_cost_usd)::INTEGER AS n_estimates FROM pm GROUP BY ref),
+al AS (SELECT sc.ref, resolver, target, CASE WHEN pid % 4 = 0 THEN 1 + (p2 IS NOT NULL)::INTEGER ELSE 0 END AS gone FROM sc WHERE sc.ref NOT IN (SELECT ref FROM er))
+SELECT al.ref, resolver, target, gone::BIGINT AS missing_source_roots, coalesce(d, 0)::BIGINT AS direct_assignments, coalesce(f, 0)::BIGINT AS workspace_fallbacks, coalesce(pl, 0)::BIGINT AS projectless_threads, coalesce(px, 0)::BIGINT AS projectless_exclusions,
+  coalesce(ot, 0)::BIGINT AS other_project_exclusions, coalesce(incomplete_root_reports, 0)::BIGINT AS incomplete_root_reports, coalesce(unpriced_root_reports, 0)::BIGINT AS unpriced_root_reports, coalesce(rollout_count, 0)::BIGINT AS rollout_count,
+  coalesce(input_tokens, 0)::BIGINT AS input_tokens, coalesce(output_tokens, 0)::BIGINT AS output_tokens, coalesce(turns, 0)::BIGINT AS turns, coalesce(total_turn_duration_seconds, 0)::DOUBLE AS total_turn_duration_seconds,
+  CASE WHEN ag.ref IS NULL THEN 0 ELSE estimated_cost_usd END::DOUBLE AS estimated_cost_usd, coalesce(known_model_cost_usd, 0)::DOUBLE AS known_model_cost_usd, coalesce(unpriced_models, '') AS unpriced_models, unattributed_usage_tokens,
+  coalesce(incomplete_input, FALSE) AS incomplete_input, coalesce(by_model, '') AS by_model, coalesce(models_cost, 0)::DOUBLE AS models_cost, coalesce(n_estimates, 0)::INTEGER AS n_estimates, 'Brand#13' AS proxy,
+  concat_ws('; ', CASE WHEN unread THEN 'selected root rollout could not be read' END, CASE WHEN gone > 0 THEN gone || ' configured Desktop Project source root(s) unavailable; direct assignments and recorded workspace roots remain included' END) AS warnings, NULL::VARCHAR AS error
+FROM al LEFT JOIN ct USING (ref) LEFT JOIN ag ON ag.ref = al.ref LEFT JOIN ua ON ua.ref = al.ref LEFT JOIN lm ON lm.ref = al.ref
+UNION ALL SELECT ref, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, error FROM er""")
+def project_report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Project reports as JSON, read back into columns: by name, path, assignment and folder, and those with an error."""
+    prices = spark.range(1).select(F.lit("2026-01-01").alias("as_of"), F.lit("tables").alias("source"), F.create_map(F.lit("Brand#7"), F.lit("Brand#8"), F.lit("Brand#14"), F.lit("Brand#13")).alias("proxies"))
+    made = project_report.project_json(_project_parts(spark, sf_dir), prices)
+    counts = ", ".join(f"{c}: bigint" for c in ("missing_source_roots", *project_report.SELECTED, *project_report.ROOT_COUNTS))
+    tree_type = "rollout_count: bigint, input_tokens: bigint, output_tokens: bigint, turns: bigint, total_turn_duration_seconds: double, estimated_cost_usd: double, known_model_cost_usd: double, unpriced_models: map<string, bigint>, unattributed_usage_tokens: bigint, incomplete_input: boolean"
+    model_type = "turns: bigint, input_tokens: bigint, output_tokens: bigint, estimated_cost_usd: double, known_model_cost_usd: double"
+    schema = f"selection struct<target: string, resolver: string, {counts}>, tree struct<{tree_type}>, by_model map<string, struct<{model_type}>>, pricing struct<model_proxies: map<string, string>>, incomplete_input_warnings array<string>"
+    r = made.withColumn("_report", F.from_json("json", schema)).select("ref", "error", "_report.*")
+    text = lambda x: x.cast("string")
+    lost = F.transform(F.map_entries("tree.unpriced_models"), lambda x: F.concat(x["key"], F.lit("="), text(x["value"])))
+    models = F.map_entries("by_model")
+    shown = F.transform(models, lambda x: F.concat(x["key"], F.lit("="), text(x["value"]["turns"]), F.lit("/"), text(x["value"]["input_tokens"]), F.lit("/"), text(x["value"]["output_tokens"])))
+    cost = F.aggregate(models, F.lit(0).cast("decimal(38,8)"), lambda a, x: (a + x["value"]["known_model_cost_usd"].cast("decimal(37,8)")).cast("decimal(38,8)")).cast("double")
+    complete = F.when(F.col("error").isNull(), F.coalesce("tree.incomplete_input", F.lit(False)))
+    tree_columns = [c.partition(":")[0].strip() for c in tree_type.split(", ") if ":" in c and "unpriced" not in c and "incomplete" not in c]
+    return r.select(
+        "ref", "error", "selection.*", *(f"tree.{c}" for c in tree_columns), F.array_join(lost, ",").alias("unpriced_models"), complete.alias("incomplete_input"), F.array_join(shown, ",").alias("by_model"), cost.alias("models_cost"),
+        F.when(models.isNotNull(), F.size(F.filter(models, lambda x: x["value"]["estimated_cost_usd"].isNotNull()))).alias("n_estimates"), F.col("pricing.model_proxies")["Brand#14"].alias("proxy"), F.array_join("incomplete_input_warnings", "; ").alias("warnings"),
+    )
+
+
+def _shown_sql(key: str, label: str, turns: str, more: str, rows: str) -> str:
+    return f"""SELECT {key}, {label} AS label, {turns} AS turns, {_count_sql('input_tokens')} AS input, {_count_sql('input_cache_read_tokens')} AS cache_read, CASE WHEN input_cache_write_tokens > 0 THEN {_count_sql('input_cache_write_tokens')} END AS cache_write,
+  {_count_sql('output_tokens')} AS output, '0' AS reasoning, {_duration_sql('total_turn_duration_seconds')} AS duration, CASE WHEN estimated_cost_usd IS NOT NULL THEN printf('$%.2f', estimated_cost_usd) ELSE printf('$%.2f+', known_model_cost_usd) END AS cost, {more} FROM {rows}"""
+
+
+_TURNS = "format('{:,}', turns) || ' (' || format('{:,}', completed_or_aborted_turns) || ' complete, ' || format('{:,}', incomplete_turns) || ' incomplete)'"
+
+
+@query(f"""{FACTS}, {_tree_sql('root_id', 'SELECT root_id, id FROM tr').strip()}, {MODELS.removeprefix(FACTS).lstrip(', ').strip()},
+rows AS ({_shown_sql('root_id', "'Whole tree'", _TURNS, "'scope' AS section, 1 AS place", 'rp')} UNION ALL {_shown_sql('root_id', "'Total'", _TURNS, "'models' AS section, (SELECT count(*) FROM md WHERE md.root_id = rp.root_id)::INTEGER + 1 AS place", 'rp')}
+  UNION ALL {_shown_sql('root_id', 'model', "format('{:,}', turns)", "'models' AS section, row_number() OVER (PARTITION BY root_id ORDER BY known_model_cost_usd DESC, model)::INTEGER AS place", 'md')})
+SELECT rows.*, bool_or(cache_write IS NOT NULL) OVER (PARTITION BY root_id) AS shows_cache_write FROM rows""")
+def readable_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scope and models of each tree in one table, with the order of the rows and a Total."""
+    parts = _parts(spark, sf_dir)
+    return report.readable_tables({"Whole tree": parts["tree"]}, parts["by_model"])
+
+
 @query("WITH c AS (SELECT o_custkey, o_orderpriority AS model, o_orderstatus AS effort, count(*) AS n FROM orders GROUP BY ALL) SELECT o_custkey, model, effort FROM c QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY n DESC, model, effort) = 1")
 def majority_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "orders").groupBy("o_custkey", F.col("o_orderpriority").alias("model"), F.col("o_orderstatus").alias("effort")).agg(F.count(F.lit(1)).alias("n"))

@@ -7,6 +7,7 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from meterline.functions import formatting as X
 from meterline.functions.records import FIELDS, total_or_max
@@ -198,21 +199,40 @@ def stats_json(columns: list[str], *leading: str) -> Column:
     return F.concat(body, tokens, F.when(F.col("incomplete_input"), F.lit(',"incomplete_input":true')).otherwise(""), F.lit("}"))
 
 
+def json_pairs(key: str) -> Column:
+    """Aggregate of ``key`` and its JSON ``j``, in key order, for :func:`json_object`."""
+    return F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col("j"))))
+
+
+def json_object(pairs: Column) -> Column:
+    """A JSON object of pairs ``k`` (name) and ``j`` (JSON text); null gives an empty one."""
+    inside = lambda k: F.substring(F.to_json(F.array(k)), F.lit(2), F.length(F.to_json(F.array(k))) - 2)
+    text = F.array_join(F.transform(pairs, lambda x: F.concat(inside(x["k"]), F.lit(":"), x["j"])), ",")
+    return F.concat(F.lit("{"), F.coalesce(text, F.lit("")), F.lit("}"))
+
+
+def models_json(by_model: DataFrame, key: str) -> DataFrame:
+    """``key, m``: the models of each key as :func:`json_pairs`."""
+    own = F.struct(*(c for c in by_model.columns if c not in (key, "model")))
+    return by_model.select(key, "model", F.to_json(own, _ALWAYS).alias("j")).groupBy(key).agg(json_pairs("model").alias("m"))
+
+
+def pricing_json(price_catalog: DataFrame) -> DataFrame:
+    """One row ``p``: the provenance of a catalog as JSON."""
+    return provenance(price_catalog).select(F.to_json(F.struct("basis", "as_of", "source", "model_proxies"), _ALWAYS).alias("p")).limit(1)
+
+
 def json_reports(parts: dict[str, DataFrame], price_catalog: DataFrame) -> DataFrame:
     """``root_id, json``: the report of each root as one JSON text."""
-    keyed = lambda key: F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col("j"))))
-    member = lambda t: F.concat(F.lit("{"), F.array_join(F.transform(t, lambda x: F.concat(F.to_json(F.array(x["k"])).substr(F.lit(2), F.length(F.to_json(F.array(x["k"]))) - 2), F.lit(":"), x["j"])), ","), F.lit("}"))
     lead = ("rollout_id", "rollout_type", "project", "thread_name", "total_subagent_spawns", "total_subagent_turn_duration_seconds")
     rollout = parts["rollout"].withColumn("rollout_id", F.col("root_id"))
     rollout = rollout.select("root_id", stats_json([c for c in rollout.columns if c != "root_id"], *lead).alias("r"))
     whole = parts["tree"].select("root_id", stats_json([c for c in parts["tree"].columns if c != "root_id"]).alias("t"))
-    models = parts["by_model"].select("root_id", "model", F.to_json(F.struct(*(c for c in parts["by_model"].columns if c not in ("root_id", "model"))), _ALWAYS).alias("j")).groupBy("root_id").agg(keyed("model").alias("m"))
-    kinds = parts["by_kind"].select("root_id", "rollout_type", stats_json([c for c in parts["by_kind"].columns if c not in ("root_id", "rollout_type")]).alias("j")).groupBy("root_id").agg(keyed("rollout_type").alias("k"))
-    prices = provenance(price_catalog).select(F.to_json(F.struct("basis", "as_of", "source", "model_proxies"), _ALWAYS).alias("p"))
-    all_parts = rollout.join(whole, "root_id").join(models, "root_id", "left").join(kinds, "root_id").join(parts["warnings"], "root_id").join(F.broadcast(prices.limit(1)))
+    kinds = parts["by_kind"].select("root_id", "rollout_type", stats_json([c for c in parts["by_kind"].columns if c not in ("root_id", "rollout_type")]).alias("j")).groupBy("root_id").agg(json_pairs("rollout_type").alias("k"))
+    all_parts = rollout.join(whole, "root_id").join(models_json(parts["by_model"], "root_id"), "root_id", "left").join(kinds, "root_id").join(parts["warnings"], "root_id").join(F.broadcast(pricing_json(price_catalog)))
     text = F.concat(
-        F.lit('{"rollout":'), F.col("r"), F.lit(',"tree":'), F.col("t"), F.lit(',"by_model":'), F.when(F.col("m").isNotNull(), member(F.col("m"))).otherwise("{}"),
-        F.lit(',"by_rollout_type":'), member(F.col("k")), F.lit(',"pricing":'), F.col("p"), F.lit(',"incomplete_input_warnings":'), F.to_json("incomplete_input_warnings"), F.lit("}"),
+        F.lit('{"rollout":'), F.col("r"), F.lit(',"tree":'), F.col("t"), F.lit(',"by_model":'), json_object(F.col("m")),
+        F.lit(',"by_rollout_type":'), json_object(F.col("k")), F.lit(',"pricing":'), F.col("p"), F.lit(',"incomplete_input_warnings":'), F.to_json("incomplete_input_warnings"), F.lit("}"),
     )
     return all_parts.select("root_id", text.alias("json"))
 
@@ -221,21 +241,46 @@ def write_json(reports: DataFrame, path: str) -> None:
     reports.select(F.col("json").alias("value")).write.text(path)
 
 
-def readable_scope(rows: DataFrame, scope: Column) -> DataFrame:
+def readable_scope(rows: DataFrame, scope: Column, key: str = "root_id") -> DataFrame:
     """Totals as formatted text columns; ``cache_write`` is null where nothing was written to a cache."""
     turns = F.format_string("%s (%s complete, %s incomplete)", X.grouped_count(F.col("turns")), X.grouped_count(F.col("completed_or_aborted_turns")), X.grouped_count(F.col("incomplete_turns")))
-    return _readable(rows, X.safe_text(scope), turns).drop("_cost")
+    return _readable(rows, X.safe_text(scope), turns, key).drop("_cost")
 
 
 def readable_models(rows: DataFrame) -> DataFrame:
     """Models as formatted text columns, by known cost, largest first, then by name; :func:`readable_scope` gives totals."""
-    return _readable(rows, X.safe_text(F.col("model")), X.grouped_count(F.col("turns"))).orderBy("root_id", F.col("_cost").desc(), "label").drop("_cost")
+    return _model_rows(rows, "root_id").orderBy("root_id", F.col("_cost").desc(), "label").drop("_cost")
 
 
-def _readable(rows: DataFrame, label: Column, turns: Column) -> DataFrame:
+def readable_tables(scopes: dict[str, DataFrame], by_model: DataFrame, key: str = "root_id") -> DataFrame:
+    """The two tables of each report as rows: ``key, section, place, label, turns, ...``.
+
+    Section ``scope`` has a row for each of ``scopes`` (label to totals) in their order; section ``models`` has the models
+    by known cost, largest first, then by name, and last a row Total with the totals of the last scope.
+    ``shows_cache_write`` tells for a whole report whether any of its rows wrote to a cache.
+    """
+    at = lambda df, section, place: df.withColumns({"section": F.lit(section), "place": place})
+    place = F.row_number().over(W.partitionBy(key).orderBy(F.col("_cost").desc(), "_model"))
+    rows = at(_model_rows(by_model, key, "model"), "models", place).drop("_cost", "_model")
+    for n, (label, totals) in enumerate(scopes.items(), 1):
+        rows = rows.unionByName(at(readable_scope(totals, F.lit(label), key), "scope", F.lit(n)))
+    last = list(scopes.values())[-1]
+    counts = by_model.groupBy(key).agg(F.count(F.lit(1)).cast("int").alias("_n"))
+    total = readable_scope(last, F.lit("Total"), key).join(counts, key, "left")
+    rows = rows.unionByName(at(total, "models", F.coalesce("_n", F.lit(0)) + 1).drop("_n"))
+    written = rows.groupBy(key).agg(F.bool_or(F.col("cache_write").isNotNull()).alias("shows_cache_write"))
+    texts = [c for c in rows.columns if c not in (key, "section", "place")]
+    return rows.join(written, key).select(key, "section", "place", *texts, "shows_cache_write")
+
+
+def _model_rows(rows: DataFrame, key: str, *more: str) -> DataFrame:
+    return _readable(rows, X.safe_text(F.col("model")), X.grouped_count(F.col("turns")), key, *(F.col(c).alias(f"_{c}") for c in more))
+
+
+def _readable(rows: DataFrame, label: Column, turns: Column, key: str, *more: Column) -> DataFrame:
     count = lambda c: X.compact_count(F.col(c))
     return rows.select(
-        "root_id",
+        key,
         label.alias("label"),
         turns.alias("turns"),
         count("input_tokens").alias("input"),
@@ -246,5 +291,5 @@ def _readable(rows: DataFrame, label: Column, turns: Column) -> DataFrame:
         X.duration(F.col("total_turn_duration_seconds")).alias("duration"),
         X.report_cost(F.col("estimated_cost_usd"), F.col("known_model_cost_usd")).alias("cost"),
         F.col("known_model_cost_usd").alias("_cost"),
+        *more,
     )
-

@@ -55,10 +55,11 @@ def needs_update(metrics: Sequence[str], width: int, reprice_before: Column | No
     return ~F.coalesce(ok, F.lit(False))
 
 
-def idle(roots: DataFrame, needed: Column, now: Column, idle_minutes: int, limit: int) -> DataFrame:
-    """The newest sessions that are idle and need an update; filters come before the limit, ids break ties."""
+def idle(roots: DataFrame, needed: Column, now: Column, idle_minutes: int, limit: int | None) -> DataFrame:
+    """The newest sessions that are idle and need an update; filters come before the limit (None: all), ids break ties."""
     cutoff = now - F.make_dt_interval(mins=F.lit(idle_minutes))
-    return roots.filter((F.col("updated_at") <= cutoff) & needed).orderBy(F.col("updated_at").desc(), "id").limit(limit)
+    found = roots.filter((F.col("updated_at") <= cutoff) & needed)
+    return found if limit is None else found.orderBy(F.col("updated_at").desc(), "id").limit(limit)
 
 
 def beneath(roots: DataFrame, paths: DataFrame) -> DataFrame:

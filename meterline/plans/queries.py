@@ -370,14 +370,14 @@ def title_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderkey").alias("line_no"),
     )
     now = F.lit("1999-06-01 00:00:00").cast(orders.schema["o_orderdate"].dataType)
-    return titles.title_chain(threads, logs.latest_name(named), adapters.facts(spark, sf_dir), ("cost", "total"), 200, now, 15, 1_000_000)
+    return titles.title_chain(threads, logs.latest_name(named), adapters.facts(spark, sf_dir), ("cost", "total"), 200, now, 15, None)
 
 
 PROJECT_TREES = f"""{FACTS},
 nn AS (SELECT n_nationkey AS n, n_name, '/r/' || n_regionkey || '/' || n_nationkey AS p1, '/q/' || n_nationkey AS p2 FROM nation),
 rt AS (SELECT id, CASE k WHEN 0 THEN NULL WHEN 1 THEN '/elsewhere' ELSE p1 || '/s' || id END AS cwd, CASE k WHEN 1 THEN nation WHEN 2 THEN nation WHEN 3 THEN (nation + 1) % 25 END AS pid, k = 4 AS loose
   FROM (SELECT id, nation, (id // 10) % 6 AS k FROM li WHERE id % 10 = 0) JOIN nn ON n = nation
-  UNION ALL SELECT -s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN '/x' WHEN 1 THEN p2 ELSE '/nowhere' END, CASE WHEN s_suppkey % 3 = 0 THEN s_nationkey END, FALSE FROM supplier JOIN nn ON n = s_nationkey),
+  UNION ALL SELECT -1 - s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN '/x' WHEN 1 THEN p2 ELSE '/nowhere' END, CASE WHEN s_suppkey % 3 = 0 THEN s_nationkey END, FALSE FROM supplier JOIN nn ON n = s_nationkey),
 sc AS (SELECT n * 10 + 1 AS ref, 'project_name' AS resolver, n_name AS target, n AS pid, p1, p2 FROM nn UNION ALL SELECT n * 10 + 5, 'project_name', n_name, n, p1, p2 FROM nn
   UNION ALL SELECT n * 10 + 2, 'source_root_path', n_name, n, p1, NULL FROM nn
   UNION ALL SELECT nn.n * 10 + 4, 'thread_assignment', p.n_name, p.n, p.p1, p.p2 FROM nn JOIN rt ON rt.id = nn.n * 10 JOIN nn p ON p.n = rt.pid
@@ -412,7 +412,7 @@ def _project_parts(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     own = F.when(F.col("k").isin(1, 2), F.col("n")).when(F.col("k") == 3, (F.col("n") + 1) % 25)
     people = people.select("id", F.when(F.col("k") == 1, "/elsewhere").when(F.col("k") > 1, F.concat("p1", F.lit("/s"), number("id"))).alias("cwd"), own.alias("pid"), (F.col("k") == 4).alias("loose"))
     rest = F.col("s_suppkey") % 3
-    lost = table(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n")).select((-F.col("s_suppkey")).alias("id"), F.when(rest == 0, "/x").when(rest == 1, F.col("p2")).otherwise("/nowhere").alias("cwd"), F.when(rest == 0, F.col("n")).alias("pid"), F.lit(False).alias("loose"))
+    lost = table(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n")).select((-1 - F.col("s_suppkey")).alias("id"), F.when(rest == 0, "/x").when(rest == 1, F.col("p2")).otherwise("/nowhere").alias("cwd"), F.when(rest == 0, F.col("n")).alias("pid"), F.lit(False).alias("loose"))
     roots = people.unionByName(lost)
     assigned = roots.filter("pid IS NOT NULL").select("id", number("pid").alias("project_id"))
     none = F.lit(None).cast("long")

@@ -112,26 +112,47 @@ def _finished(sums: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def stats(members: DataFrame, facts: Facts, *keys: str) -> DataFrame:
-    """Totals by ``keys`` over ``members(*keys, id)``: one row for each key combination."""
-    rows = members.join(facts.measures, "id")
-    sums = rows.groupBy(*keys).agg(*_sums())
-    counts = rows.filter("turns IS NOT NULL").groupBy(*keys, "model", "effort").agg(F.sum("turns").alias("n"))
-    most = counts.groupBy(*keys).agg(A.majority(F.struct("model", "effort"), F.col("n")).alias("majority"))
-    lost = rows.filter("unpriced IS NOT NULL").groupBy(*keys, "model").agg(total_or_max(F.col("unpriced")).alias("n"))
-    lost = lost.groupBy(*keys).agg(A.sorted_map(F.col("model"), F.col("n"), F.lit(True)).alias("unpriced_models"))
-    quality = members.join(facts.quality.select("id", "unattributed_tokens", "is_incomplete"), "id", "left").groupBy(*keys).agg(F.count(F.lit(1)).alias("rollout_count"), F.coalesce(total_or_max(F.col("unattributed_tokens")), F.lit(0).cast("bigint")).alias("unattributed"), F.bool_or(F.coalesce("is_incomplete", F.lit(True))).alias("any_incomplete"))
-    joined = quality.join(sums, list(keys), "left").join(most, list(keys), "left").join(lost, list(keys), "left")
-    zeros = {c: F.coalesce(c, F.lit(0).cast("bigint")) for c in (*USED, "turns", "ended")}
-    joined = joined.withColumns(zeros | {"seconds": F.coalesce("seconds", F.lit(0.0)), "cost": F.coalesce("cost", F.lit(0).cast("decimal(38,6)")), "partly_priced": F.coalesce("partly_priced", F.lit(False))})
-    return _finished(joined.withColumn("is_incomplete", F.col("any_incomplete") | F.col("partly_priced") | (F.col("unattributed") > 0)), *keys)
-
-
-def by_model(members: DataFrame, facts: Facts, *keys: str) -> DataFrame:
-    """Totals by ``keys`` and model; a model's estimate depends on its own prices alone."""
-    sums = members.join(facts.measures, "id").groupBy(*keys, "model").agg(*_sums())
+#: Levels of :func:`tree_stats`: the whole tree, the session itself and its descendants apart, and kinds apart.
+LEVELS = {"tree": (), "part": ("is_below",), "kind": ("kind",)}
+_FINE = ("model", "effort", "is_turn")
+
+
+def _added() -> list[Column]:
+    """Sums that keep null where nothing was added."""
+    whole = (*USED, "unpriced", "turns", "ended")
+    return [*(total_or_max(F.col(c)).alias(c) for c in whole), F.sum("seconds").alias("seconds"), F.sum("cost").alias("cost"), F.bool_or("partly_priced").alias("partly_priced")]
+
+
+def tree_stats(members: DataFrame, facts: Facts) -> tuple[DataFrame, DataFrame]:
+    """Totals of trees at every level of :data:`LEVELS`, and by model, from one pass over ``members(root_id, id, is_below, kind)``.
+
+    Members meet the measures once; what is left is a row for each tree, part, kind, model and effort, and all levels
+    are grouping sets over those.  The first table has ``level, root_id, is_below, kind`` and the report columns, the
+    second ``root_id, model`` and its totals.
+    """
+    keys = ("root_id", "is_below", "kind")
+    used = members.join(facts.measures.withColumn("is_turn", F.col("turns").isNotNull()), "id")
+    fine = stored(used.groupBy(*keys, *_FINE).agg(*_added()), "fine")
+    quality = members.join(facts.quality.select("id", "unattributed_tokens", "is_incomplete"), "id", "left")
+    counted = quality.groupBy(*keys).agg(F.count(F.lit(1)).alias("rollout_count"), total_or_max(F.col("unattributed_tokens")).alias("unattributed"), F.bool_or(F.coalesce("is_incomplete", F.lit(True))).alias("any_incomplete"))
+    whole = {c: total_or_max(F.col(c)).alias(c) for c in ("rollout_count", "unattributed")}
+    more = [*whole.values(), F.bool_or("any_incomplete").alias("any_incomplete")]
+    sets = [("root_id", *own, *_FINE) for own in LEVELS.values()]
+    rows = fine.unionByName(counted, allowMissingColumns=True).groupingSets(sets, *keys, *_FINE).agg(F.grouping("is_below").alias("_b"), F.grouping("kind").alias("_k"), *_added(), *more)
+    level = F.when(F.col("_b") == 0, "part").when(F.col("_k") == 0, "kind").otherwise("tree")
+    most = A.majority(F.struct("model", "effort"), F.when(F.col("is_turn"), F.col("turns")))
+    lost = A.sorted_map(F.col("model"), F.col("unpriced"), F.col("unpriced").isNotNull())
+    sums = rows.withColumn("level", level).groupBy("level", *keys).agg(*_sums(), *more, most.alias("majority"), lost.alias("unpriced_models"))
+    sums = sums.withColumn("unattributed", F.coalesce("unattributed", F.lit(0).cast("bigint")))
+    bad = F.col("any_incomplete") | F.col("partly_priced") | (F.col("unattributed") > 0)
+    return stored(_finished(sums.withColumn("is_incomplete", bad), "level", *keys), "levels"), _by_model(fine)
+
+
+def _by_model(fine: DataFrame) -> DataFrame:
+    """Totals by tree and model; a model's estimate depends on its own prices alone."""
+    sums = fine.groupBy("root_id", "model").agg(*_sums())
     known = A.dollars(F.col("cost"))
-    return sums.select(*keys, "model", "turns", F.col("input").alias("input_tokens"), F.col("cache_write").alias("input_cache_write_tokens"), F.col("cached").alias("input_cache_read_tokens"), F.col("reasoning").alias("reasoning_tokens"), F.col("output").alias("output_tokens"), F.col("seconds").alias("total_turn_duration_seconds"), F.when(~F.col("partly_priced"), known).alias("estimated_cost_usd"), known.alias("known_model_cost_usd"))
+    return sums.select("root_id", "model", "turns", F.col("input").alias("input_tokens"), F.col("cache_write").alias("input_cache_write_tokens"), F.col("cached").alias("input_cache_read_tokens"), F.col("reasoning").alias("reasoning_tokens"), F.col("output").alias("output_tokens"), F.col("seconds").alias("total_turn_duration_seconds"), F.when(~F.col("partly_priced"), known).alias("estimated_cost_usd"), known.alias("known_model_cost_usd"))
 
 
 def tree_report(facts: Facts, roots: DataFrame, scan: DataFrame | None = None, names: DataFrame | None = None, index: DataFrame | None = None) -> dict[str, DataFrame]:
@@ -163,17 +184,20 @@ def tree_report(facts: Facts, roots: DataFrame, scan: DataFrame | None = None, n
     notes = own.select(F.col("id").alias("root_id")).join(unread, "root_id", "left")
     scanned = lambda df: df.join(by_home, F.substring_index("root_id", logs.HOME_END, 1) == F.col("home"), "left").drop("home").withColumn("_scan", F.coalesce("_scan", fixed([]))) if by_home is not None else df.withColumn("_scan", fixed(texts))
     notes = scanned(notes).select("root_id", F.concat("_scan", missing, fixed(of_index)).alias("incomplete_input_warnings"))
-    whole = scanned(stats(members.select("root_id", "id"), facts, "root_id"))
+    kinds = facts.rollouts.select("id", "kind")
+    levels, models = tree_stats(members.select("root_id", "id", (F.col("depth") > 0).alias("is_below")).join(kinds, "id"), facts)
+    only = lambda name: levels.filter(F.col("level") == name).drop("level", *(k for k in ("is_below", "kind") if k not in LEVELS[name]))
+    whole = scanned(only("tree"))
     whole = whole.withColumn("incomplete_input", F.col("incomplete_input") | flag).withColumn("estimated_cost_usd", F.when(~F.col("incomplete_input"), F.col("estimated_cost_usd"))).drop("_scan")
-    alone = stats(members.filter("depth = 0").select("root_id", "id"), facts, "root_id")
-    children = stats(members.filter("depth > 0").select("root_id", "id"), facts, "root_id").select("root_id", F.col("rollout_count").alias("_n"), F.col("total_turn_duration_seconds").alias("_s"))
-    kinds = members.join(facts.rollouts.select("id", "kind"), "id").select("root_id", F.col("kind").alias("rollout_type"), "id")
+    alone = only("part").filter(~F.col("is_below")).drop("is_below")
+    children = only("part").filter("is_below").select("root_id", F.col("rollout_count").alias("_n"), F.col("total_turn_duration_seconds").alias("_s"))
     head = facts.rollouts.select(F.col("id").alias("root_id"), F.col("kind").alias("rollout_type"), F.col("cwd").alias("project"))
     named = names.select(F.col("id").alias("root_id"), F.col("name").alias("thread_name")) if names is not None and not of_index else None
     rollout = alone.join(head, "root_id").join(children, "root_id", "left")
     rollout = rollout.join(named, "root_id", "left") if named is not None else rollout.withColumn("thread_name", F.lit(None).cast("string"))
     rollout = rollout.withColumn("total_subagent_spawns", F.coalesce("_n", F.lit(0).cast("bigint"))).withColumn("total_subagent_turn_duration_seconds", F.coalesce("_s", F.lit(0.0))).drop("_n", "_s")
-    return {"rollout": rollout, "tree": whole, "by_model": by_model(members.select("root_id", "id"), facts, "root_id"), "by_kind": stats(kinds, facts, "root_id", "rollout_type"), "warnings": notes}
+    by_kind = only("kind").withColumnRenamed("kind", "rollout_type")
+    return {"rollout": rollout, "tree": whole, "by_model": models, "by_kind": by_kind, "warnings": notes}
 
 
 def _noted(quality: DataFrame, malformed: str, oversized: str) -> list[str]:

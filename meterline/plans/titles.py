@@ -40,7 +40,7 @@ def title_chain(
     width: int,
     now: Column,
     idle_minutes: int,
-    limit: int,
+    limit: int | None,
     scan: DataFrame | None = None,
 ) -> DataFrame:
     """Proposals for the newest idle root sessions that need one, from the thread table to the composed title.

@@ -52,16 +52,25 @@ def facts_of(rows: DataFrame, price_catalog: DataFrame, long_bytes: int | None =
     """
     home = [c for c in ("home",) if c in rows.columns]
     sessions = stored(logs.newest_per_id(logs.rollouts(rows), *home), "sessions")
-    if home:
-        sessions = sessions.withColumns({c: logs.scoped(F.col("home"), F.col(c)) for c in ("id", "parent_id")})
-    keys = sessions.select("path", "id")
-    own = logs.only_workset(rows, keys)
+    own = logs.only_workset(rows, sessions)
     if long_bytes is None:
         seen = attribution.attributed(logs.log_events(own))
     else:
         short = attribution.attributed(logs.log_events(own.filter(F.col("size") <= long_bytes)))
         seen = short.unionByName(long_logs.attributed(logs.log_events(own.filter(F.col("size") > long_bytes))))
-    seen = attribution.without_overflow(stored(seen, "attributed"))
+    return _facts(sessions, attribution.without_overflow(stored(seen, "attributed")), price_catalog)
+
+
+def facts_from(rollouts: DataFrame, seen: DataFrame, price_catalog: DataFrame) -> Facts:
+    """Facts from what was derived of the files before: ``logs.rollouts`` and ``attribution.without_overflow``."""
+    home = [c for c in ("home",) if c in rollouts.columns]
+    return _facts(stored(logs.newest_per_id(rollouts, *home), "sessions"), seen, price_catalog)
+
+
+def _facts(sessions: DataFrame, seen: DataFrame, price_catalog: DataFrame) -> Facts:
+    if "home" in sessions.columns:
+        sessions = sessions.withColumns({c: logs.scoped(F.col("home"), F.col(c)) for c in ("id", "parent_id")})
+    keys = sessions.select("path", "id")
     keyed = lambda df: df.join(keys, "path").drop("path")
     usage = pricing.priced(attribution.usage_events(seen), C.price_points(price_catalog), C.proxies(price_catalog))
     return Facts(sessions.select("id", "parent_id", "kind", "cwd"), keyed(usage), keyed(attribution.turns(seen)), keyed(attribution.turn_ends(seen)), keyed(attribution.rollout_quality(seen)))

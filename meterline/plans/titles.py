@@ -54,10 +54,15 @@ def title_chain(
     return proposals(chosen, trees, metrics, width)
 
 
-def append_names(made: DataFrame, updated_at: Column, path: str) -> None:
-    """Append the new names to the session index as JSON lines, all with one timestamp."""
+def named(made: DataFrame, updated_at: Column) -> DataFrame:
+    """The records of the session index that the proposals add: ``id, thread_name, updated_at``, all with one timestamp."""
     stamp = F.date_format(updated_at, "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    made.filter("new_title IS NOT NULL").select("id", F.col("new_title").alias("thread_name"), stamp.alias("updated_at")).write.mode("append").json(path)
+    return made.filter("new_title IS NOT NULL").select("id", F.col("new_title").alias("thread_name"), stamp.alias("updated_at"))
+
+
+def append_names(made: DataFrame, updated_at: Column, path: str) -> None:
+    """Append the new names to the session index as JSON lines."""
+    named(made, updated_at).write.mode("append").json(path)
 
 
 def applied(threads: DataFrame, made: DataFrame) -> DataFrame:

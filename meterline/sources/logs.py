@@ -50,9 +50,14 @@ def plain_path(path: Column) -> Column:
     return F.regexp_replace(path, "^[a-z][a-z0-9+.-]*:(//[^/]*)?(?=/)", "")
 
 
+def decoded(path: Column) -> Column:
+    """A path as it is named, from the escaped form that ``_metadata`` has."""
+    return F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+
+
 def unread(listed: DataFrame, lines: DataFrame) -> DataFrame:
     """Files of a listing (:func:`files`) that hold something but gave no line, such as unreadable ones."""
-    seen = lines.select(plain_path(F.col("path")).alias("path")).distinct()
+    seen = lines.select(decoded(plain_path(F.col("path"))).alias("path")).distinct()
     return listed.filter("size > 0").join(seen, "path", "left_anti")
 
 
@@ -251,5 +256,3 @@ def root_hints(threads: DataFrame, listed: DataFrame | None = None) -> DataFrame
     others = unlisted(listed, threads).filter(F.col("kind") == "root")
     both = own.withColumn("mtime", F.lit(None).cast("timestamp")).unionByName(others.select("id", "path", "cwd", "mtime"))
     return newest_per_id(both).drop("mtime")
-
-

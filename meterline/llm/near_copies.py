@@ -5,6 +5,11 @@ fingerprints are near: those of their distinct words within ``DISTANCE`` bits an
 within ``SHINGLE_DISTANCE``.  A changed word changes ``SHINGLE`` shingles but one word, so similar texts are nearer
 each other in the first, which is searched by pigeonhole; the second leaves out texts that only share their words.
 No pair of less similarity is linked; few similar pairs have fingerprints further apart (README: measured share).
+
+A cloud of texts near in words but below ``PERCENT`` would make all its pairs.  So the search also compares parity
+sketches (odd sketches): a bit for each bucket of hashed shingles tells whether an odd number of them is there, and
+the bits in which two sketches differ are no more than the shingles that only one of the sets has.  That is exact for
+sets below ``WHOLE``; larger ones are sketched by a hashed share of their shingles, with ``SIGMA`` deviations to spare.
 """
 
 from __future__ import annotations
@@ -27,6 +32,10 @@ PERCENT = 80
 DISTANCE = 7
 #: Bits in which the fingerprints of their shingles may differ: 9.7 are expected at 80 percent, with a deviation of 2.9.
 SHINGLE_DISTANCE = 20
+#: Bits of a parity sketch, in words of 64; sets of so many shingles or more halve those that are sketched.
+PARITY_WORDS, WHOLE = 8, 512
+#: Deviations by which a sketched share of two sets may differ more than expected of similar ones.
+SIGMA = 6
 
 
 def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -43,25 +52,62 @@ def word_set(text: str | None) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(w, SEED) for w in sorted(words)], np.uint64)
 
 
-def sketch(text: str | None, shingle: int = SHINGLE) -> tuple[int, int, int, int]:
+def sketch(text: str | None, shingle: int = SHINGLE, own: np.ndarray | None = None) -> tuple[int, int, int, int]:
     """Name (a hash) and size of a text's shingle set, fingerprints of its words and of its shingles."""
     import xxhash
 
-    own = shingle_set(text, shingle)
+    own = shingle_set(text, shingle) if own is None else own
     fp, wide = (majority_bits([s.astype(">u8")]) for s in (word_set(text), own))
     return xxhash.xxh64_intdigest(own.tobytes()), len(own), fp, wide
 
 
+def level(size: int) -> int:
+    """How often the shingles of a set are halved for its sketch."""
+    return max(0, size.bit_length() - WHOLE.bit_length() + 1)
+
+
+def parity(own: np.ndarray, halved: int) -> np.ndarray:
+    """The parity sketch of those shingles of a set that ``halved`` bits of their hashes choose."""
+    bits = 64 * PARITY_WORDS
+    chosen = own[(own >> np.uint64(32)) & np.uint64((1 << halved) - 1) == 0]
+    odd = np.bincount((chosen % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+
+#: Sketches at a set's own level and, as a partner may be one level above, at the next.
+OWN, NEXT = ([f"{k}{i}" for i in range(PARITY_WORDS)] for k in ("odd", "next"))
+SKETCH = ["set", "size", "fp", "wide", "level", *OWN, *NEXT]
+
+
+def sketch_row(text: str | None, shingle: int = SHINGLE) -> tuple[int, ...]:
+    """The values of ``SKETCH`` for a text."""
+    own = shingle_set(text, shingle)
+    halved = level(len(own))
+    return *sketch(text, shingle, own), halved, *parity(own, halved), *parity(own, halved + 1)
+
+
 def _sketches(shingle: int):
-    @F.pandas_udf("set long, size long, fp long, wide long")
+    @F.pandas_udf(", ".join(f"{c} long" for c in SKETCH))
     def sketches(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            made = np.array([sketch(t, shingle) for t in part], np.uint64).reshape(-1, 4)
-            yield pd.DataFrame(made.view(np.int64), columns=["set", "size", "fp", "wide"])
+            made = np.array([sketch_row(t, shingle) for t in part], np.uint64).reshape(-1, len(SKETCH))
+            yield pd.DataFrame(made.view(np.int64), columns=SKETCH)
 
     return sketches
 
 
+def alike(a: Column, b: Column, percent: int) -> Column:
+    """Whether sizes and parity sketches allow a similarity of ``percent``."""
+    sized = 100 * F.least(a["size"], b["size"]) >= percent * F.greatest(a["size"], b["size"])
+    halved = F.greatest(a["level"], b["level"])
+    at = lambda x, i: F.when(x["level"] == halved, x[OWN[i]]).otherwise(x[NEXT[i]])
+    differ = sum(F.bit_count(at(a, i).bitwiseXOR(at(b, i))) for i in range(PARITY_WORDS))
+    most = (a["size"] + b["size"]) * (100 - percent) / (100 + percent)
+    share = most / F.pow(F.lit(2.0), halved)
+    # half a shingle more than allowed is still less than one
+    return sized & (differ <= F.when(halved == 0, most + 0.5).otherwise(share + SIGMA * F.sqrt(share) + SIGMA))
+
+
 def _sets(shingle: int):
     @F.pandas_udf("array<long>")
     def sets(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -102,12 +148,11 @@ def _classes(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, Da
     """``doc_id, tie, set`` of every row, where tie is a hash of the text, and ``(node, root)`` of sets with a link."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("tie"), _sketches(shingle)("text").alias("x"))
     rows = saved(rows.select("doc_id", "tie", "x.*"), "sketches")
-    sets = rows.groupBy("set").agg(*(F.min(c).alias(c) for c in ("tie", "size", "fp", "wide")))
+    sets = rows.groupBy("set").agg(*(F.min(c).alias(c) for c in ("tie", *SKETCH[1:])))
     nodes = saved(sets.withColumnRenamed("set", "node"), "shingle_sets")
 
     def likely(a: Column, b: Column) -> Column:
-        sized = 100 * F.least(a["size"], b["size"]) >= percent * F.greatest(a["size"], b["size"])
-        return sized & (F.bit_count(a["wide"].bitwiseXOR(b["wide"])) <= SHINGLE_DISTANCE)
+        return (F.bit_count(a["wide"].bitwiseXOR(b["wide"])) <= SHINGLE_DISTANCE) & alike(a, b, percent)
 
     def verify(pairs: DataFrame) -> DataFrame:
         wanted = saved(pairs, "candidates")

@@ -634,7 +634,7 @@ def test_near_copies_edges(edges, nothing):
 
 def test_sets_of_one_fingerprint_are_verified(spark, monkeypatch):
     # with fingerprints that are all alike, only the overlap tells texts apart
-    real = near_copies.sketch
+    real = near_copies.sketch_row
     monkeypatch.setattr(near_copies, "_sketches", lambda shingle: same_fingerprints(real, shingle))
     base = [f"a{k}" for k in range(80)]
     texts = [(k, " ".join(base[:40] + [f"z{k}"] + base[40:])) for k in range(6)] + [(10 + k, " ".join(f"b{k}x{j}" for j in range(50))) for k in range(4)]
@@ -644,14 +644,57 @@ def test_sets_of_one_fingerprint_are_verified(spark, monkeypatch):
 
 
 def same_fingerprints(real, shingle):
-    @F.pandas_udf("set long, size long, fp long, wide long")
+    names = near_copies.SKETCH
+
+    @F.pandas_udf(", ".join(f"{c} long" for c in names))
     def sketches(part: pd.Series) -> pd.DataFrame:
-        made = [real(t, shingle) for t in part]
-        return pd.DataFrame({"set": [int(np.uint64(m[0]).view(np.int64)) for m in made], "size": [m[1] for m in made], "fp": 5, "wide": 5})
+        made = np.array([real(t, shingle) for t in part], np.uint64).view(np.int64)
+        return pd.DataFrame(made, columns=names).assign(fp=5, wide=5)
 
     return sketches
 
 
+def test_parity_sketches_allow_every_similar_pair(spark):
+    r = random.Random(5)
+    made = []
+    for size in (1, 9, 100, 240, 300, 1000, 5000):
+        base = [r.getrandbits(64) for _ in range(size)]
+        for share in (1.0, 0.97, 0.93, 0.9, 0.889, 0.8, 0.6):
+            kept = round(size * share)
+            other = base[:kept] + [r.getrandbits(64) for _ in range(size - kept)]
+            made.append([np.unique(np.array(x, np.uint64)) for x in (base, other)])
+    mark = lambda own: (len(own), near_copies.level(len(own)), *near_copies.parity(own, near_copies.level(len(own))), *near_copies.parity(own, near_copies.level(len(own)) + 1))
+    struct = "struct<" + ", ".join(f"{c}: long" for c in ("size", "level", *near_copies.OWN, *near_copies.NEXT)) + ">"
+    signed = lambda own: tuple(int(np.uint64(x).view(np.int64)) for x in mark(own))
+    df = spark.createDataFrame([(k, signed(a), signed(b)) for k, (a, b) in enumerate(made)], f"k long, a {struct}, b {struct}")
+    allowed = {k for k, yes in rows(df.select("k", near_copies.alike(F.col("a"), F.col("b"), 80))) if yes}
+    overlap = [len(np.intersect1d(a, b)) / len(np.union1d(a, b)) for a, b in made]
+    assert {k for k, j in enumerate(overlap) if j >= 0.8} <= allowed
+    assert not {k for k, j in enumerate(overlap) if j < 0.45 and len(made[k][0]) >= 100} & allowed
+
+
+def test_clouds_of_unlike_texts_do_not_cost_all_pairs(spark, monkeypatch):
+    # texts that share most words with one text, and so their fingerprints, but none 80 percent of its shingles
+    def verified(n):
+        r, seen = random.Random(3), []
+        base = [f"w{k}" for k in range(150)]
+        texts = []
+        for k in range(n):
+            text = list(base)
+            for at in r.sample(range(150), 9):
+                text[at] = f"x{k}y{at}"
+            texts.append((k, " ".join(text)))
+        real = near_copies._verified
+        monkeypatch.setattr(near_copies, "_verified", lambda docs, nodes, pairs, *more: (seen.append(pairs.count()), real(docs, nodes, pairs, *more))[1])
+        kept = near_copies.one_of_each(spark.createDataFrame(texts, "doc_id long, text string")).count()
+        monkeypatch.setattr(near_copies, "_verified", real)
+        return kept, sum(seen)
+
+    few, many = verified(250), verified(1000)
+    assert few[0] == 250 and many[0] == 1000
+    assert many[1] < 1000
+
+
 def test_pipeline_near_stage_catches_four_fifths(spark):
     import corpus_pipeline
 

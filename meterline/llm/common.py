@@ -79,12 +79,15 @@ def counted_small(df: DataFrame, name: str) -> DataFrame:
     return F.broadcast(df) if df.count() <= FEW_ROWS else df
 
 
+def removed(spark: SparkSession, folder: str) -> None:
+    """Delete a folder, on whatever file system it is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def dropped(*frames: DataFrame) -> None:
     """Delete the files behind frames made by :func:`saved` that no later plan reads."""
     for df in frames:
-        jvm = df.sparkSession._jvm
-        conf = df.sparkSession._jsc.hadoopConfiguration()
         for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
             if "/meterline/" in folder:
-                path = jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(conf).delete(path, True)
+                removed(df.sparkSession, folder)

@@ -1,18 +1,21 @@
 """Exact dedup by a persistent digest index, bucketed and sorted by hash.
 
-The index is a table ``(text_sha256, keep_id)`` written with ``bucketBy(...).sortBy(...)`` on the digest, so adding a
-batch anti-joins the batch's own distinct digests with it by sort-merge, without shuffling the index, and appends what
-is new.  A corpus is added in parts of falling ids, so that the first copy that the index sees is the one that stays.
+The index is a bucketed table ``(text_sha256, keep_id)`` under ``spark.checkpoint.dir``, found there by its name in
+later sessions too.  Adding a batch folds its copies, anti-joins its distinct digests with the index by sort-merge,
+without shuffling the index, and appends what is new.  A bucket has a sorted file for each batch, so the merge sorts
+it again; only its bucketing spares work.  A corpus is added in parts of falling ids, so that the first copy that the
+index sees is the one that stays.
 """
 
 from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from meterline.llm.common import dropped, numbered_copies, saved, shuffles_deleted
+from meterline.llm.common import dropped, numbered_copies, removed, saved, shared_dir, shuffles_deleted
 
 #: Mean number of digests of one bucket, and the fewest buckets of an index.
 PER_BUCKET = 2_000_000
@@ -33,29 +36,56 @@ class DigestIndex:
     ``add(rows)`` deduplicates a batch of ``(text_sha256, doc_id)`` against the index and itself and appends what is
     new.  A text already in the index keeps its recorded ``keep_id``; among equal texts of one batch the largest
     ``doc_id`` stays (null only if no copy has an id).  Appending the same batch twice adds nothing, so a failed
-    ``add`` can be repeated.  ``buckets`` is only read when the table is made.
+    ``add`` can be repeated; two sessions must not add at the same time.  ``name`` is a plain identifier; the files
+    are in ``folder``, by default one of that name under the shared folder.  ``buckets`` is only read when the index
+    is made.
     """
 
-    def __init__(self, spark: SparkSession, name: str, buckets: int = LEAST_BUCKETS):
+    def __init__(self, spark: SparkSession, name: str, buckets: int = LEAST_BUCKETS, folder: str | None = None):
         self.spark, self.name, self.buckets = spark, name, buckets
+        self.folder = folder or f"{shared_dir(spark)}/meterline-indexes/{name}"
 
     @classmethod
     def sized(cls, spark: SparkSession, name: str, digests: int) -> DigestIndex:
         """An index with buckets for so many digests."""
         return cls(spark, name, max(LEAST_BUCKETS, -(-digests // PER_BUCKET)))
 
+    def _made(self) -> tuple[int, str] | None:
+        """Buckets and type of the ids of the index in the folder, if there is one."""
+        try:
+            made = self.spark.read.schema("buckets int, ids string").json(f"{self.folder}/made").first()
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
+        return tuple(made) if made else None
+
     def exists(self) -> bool:
-        return self.spark.catalog.tableExists(self.name)
+        """Whether the folder has the index; this session knows its table from then on."""
+        made = self._made()
+        if made is None:
+            return False
+        self.buckets, ids = made
+        self.spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {self.name} (text_sha256 STRING, keep_id {ids}) USING parquet "
+            f"CLUSTERED BY (text_sha256) SORTED BY (text_sha256) INTO {self.buckets} BUCKETS LOCATION '{self.folder}/digests'"
+        )
+        self.spark.catalog.refreshTable(self.name)
+        return True
 
     def frame(self) -> DataFrame:
+        self.exists()
         return self.spark.table(self.name)
 
     def add(self, rows: DataFrame) -> None:
         """Append the new texts of a batch ``(text_sha256, doc_id)``."""
-        # partial aggregation folds a hot group of copies before the shuffle
-        fresh = rows.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"))
-        if self.exists():
-            fresh = fresh.join(self.frame().hint("merge"), "text_sha256", "left_anti")
+        if not self.exists():
+            made = [(self.buckets, rows.schema["doc_id"].dataType.simpleString())]
+            self.spark.createDataFrame(made, "buckets int, ids string").coalesce(1).write.mode("overwrite").json(f"{self.folder}/made")
+            self.exists()
+        # copies are folded and written first: the optimizer would move the join below the fold
+        batch = saved(rows.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id")), "digest_batch")
+        fresh = batch.join(self.frame().hint("merge"), "text_sha256", "left_anti")
         with shuffles_deleted(self.spark):
             (
                 fresh.repartition(self.buckets, "text_sha256")
@@ -65,6 +95,7 @@ class DigestIndex:
                 .sortBy("text_sha256")
                 .saveAsTable(self.name)
             )
+        dropped(batch)
         self.spark.catalog.refreshTable(self.name)
 
     def add_corpus(self, rows: DataFrame, parts: int = PARTS) -> None:
@@ -79,7 +110,9 @@ class DigestIndex:
         self.add(rows.filter(~F.coalesce(above, F.lit(False))))
 
     def drop(self) -> None:
+        """Delete the index and its files."""
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        removed(self.spark, self.folder)
 
 
 def digested(docs: DataFrame) -> DataFrame:

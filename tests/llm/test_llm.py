@@ -470,6 +470,36 @@ def test_buckets_follow_from_the_count(spark):
     assert exact_dedup.DigestIndex.sized(spark, "x", 10**9).buckets == 500
 
 
+SECOND_SESSION = """
+import sys
+from pyspark.sql import SparkSession
+from meterline.llm.exact_dedup import DigestIndex, drop_copies
+shared, own = sys.argv[1:]
+spark = (SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "3")
+         .config("spark.checkpoint.dir", shared).getOrCreate())
+index = DigestIndex(spark, "digest_sessions", 5)
+docs = spark.createDataFrame([(k, f"text {k % 4}") for k in range(int(own), int(own) + 4)], "doc_id long, text string")
+print("before", index.exists(), index.frame().count() if index.exists() else 0)
+print("kept", sorted(r[0] for r in drop_copies(docs.limit(3) if own == "0" else docs, index).collect()), index.buckets)
+"""
+
+
+def test_index_is_there_in_later_sessions(tmp_path):
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    told = []
+    for own in ("0", "8"):
+        env = os.environ | {"PYTHONPATH": str(Path(__file__).resolve().parents[2])}
+        run = subprocess.run([sys.executable, "-c", SECOND_SESSION, str(tmp_path / "shared"), own], env=env, cwd=tmp_path, capture_output=True, text=True, timeout=200)
+        told += run.stdout.split("\n")[:2]
+    # the second session keeps only the text that the first did not have
+    assert told == ["before False 0", "kept [0, 1, 2] 5", "before True 3", "kept [11] 5"]
+    assert [p.name for p in tmp_path.iterdir() if p.name != "shared" and any(p.rglob("*.parquet"))] == []
+
+
 def test_index_persists(spark):
     index = exact_dedup.DigestIndex(spark, "digest_test", 2)
     one = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a")], "doc_id long, text string")

@@ -74,24 +74,24 @@ def parity(own: np.ndarray, halved: int) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.uint64)
 
 
-#: Sketches at a set's own level and, as a partner may be one level above, at the next.
-OWN, NEXT = ([f"{k}{i}" for i in range(PARITY_WORDS)] for k in ("odd", "next"))
-SKETCH = ["set", "size", "fp", "wide", "level", *OWN, *NEXT]
+#: Of a text: name and size of its set, fingerprints, and sketches at its own level and, as a partner may be one
+#: level above, at the next.
+SKETCH = "set long, size long, fp long, wide long, level long, odd array<long>, next array<long>"
 
 
-def sketch_row(text: str | None, shingle: int = SHINGLE) -> tuple[int, ...]:
+def sketch_row(text: str | None, shingle: int = SHINGLE) -> tuple:
     """The values of ``SKETCH`` for a text."""
     own = shingle_set(text, shingle)
-    halved = level(len(own))
-    return *sketch(text, shingle, own), halved, *parity(own, halved), *parity(own, halved + 1)
+    marks, halved = np.array(sketch(text, shingle, own), np.uint64).view(np.int64), level(len(own))
+    return *marks.tolist(), halved, *(parity(own, k).view(np.int64) for k in (halved, halved + 1))
 
 
 def _sketches(shingle: int):
-    @F.pandas_udf(", ".join(f"{c} long" for c in SKETCH))
+    @F.pandas_udf(SKETCH)
     def sketches(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in SKETCH.split(", ")]
         for part in parts:
-            made = np.array([sketch_row(t, shingle) for t in part], np.uint64).reshape(-1, len(SKETCH))
-            yield pd.DataFrame(made.view(np.int64), columns=SKETCH)
+            yield pd.DataFrame([sketch_row(t, shingle) for t in part], columns=names)
 
     return sketches
 
@@ -100,8 +100,8 @@ def alike(a: Column, b: Column, percent: int) -> Column:
     """Whether sizes and parity sketches allow a similarity of ``percent``."""
     sized = 100 * F.least(a["size"], b["size"]) >= percent * F.greatest(a["size"], b["size"])
     halved = F.greatest(a["level"], b["level"])
-    at = lambda x, i: F.when(x["level"] == halved, x[OWN[i]]).otherwise(x[NEXT[i]])
-    differ = sum(F.bit_count(at(a, i).bitwiseXOR(at(b, i))) for i in range(PARITY_WORDS))
+    one, two = (F.when(x["level"] == halved, x["odd"]).otherwise(x["next"]) for x in (a, b))
+    differ = F.aggregate(F.zip_with(one, two, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, k: n + k)
     most = (a["size"] + b["size"]) * (100 - percent) / (100 + percent)
     share = most / F.pow(F.lit(2.0), halved)
     # half a shingle more than allowed is still less than one
@@ -148,7 +148,7 @@ def _classes(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, Da
     """``doc_id, tie, set`` of every row, where tie is a hash of the text, and ``(node, root)`` of sets with a link."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("tie"), _sketches(shingle)("text").alias("x"))
     rows = saved(rows.select("doc_id", "tie", "x.*"), "sketches")
-    sets = rows.groupBy("set").agg(*(F.min(c).alias(c) for c in ("tie", *SKETCH[1:])))
+    sets = rows.groupBy("set").agg(*(F.min(c).alias(c) for c in ("tie", "size", "fp", "wide", "level", "odd", "next")))
     nodes = saved(sets.withColumnRenamed("set", "node"), "shingle_sets")
 
     def likely(a: Column, b: Column) -> Column:

@@ -674,12 +674,11 @@ def test_sets_of_one_fingerprint_are_verified(spark, monkeypatch):
 
 
 def same_fingerprints(real, shingle):
-    names = near_copies.SKETCH
+    names, kinds = [c.split()[0] for c in near_copies.SKETCH.split(", ")], near_copies.SKETCH
 
-    @F.pandas_udf(", ".join(f"{c} long" for c in names))
+    @F.pandas_udf(kinds)
     def sketches(part: pd.Series) -> pd.DataFrame:
-        made = np.array([real(t, shingle) for t in part], np.uint64).view(np.int64)
-        return pd.DataFrame(made, columns=names).assign(fp=5, wide=5)
+        return pd.DataFrame([real(t, shingle) for t in part], columns=names).assign(fp=5, wide=5)
 
     return sketches
 
@@ -693,10 +692,11 @@ def test_parity_sketches_allow_every_similar_pair(spark):
             kept = round(size * share)
             other = base[:kept] + [r.getrandbits(64) for _ in range(size - kept)]
             made.append([np.unique(np.array(x, np.uint64)) for x in (base, other)])
-    mark = lambda own: (len(own), near_copies.level(len(own)), *near_copies.parity(own, near_copies.level(len(own))), *near_copies.parity(own, near_copies.level(len(own)) + 1))
-    struct = "struct<" + ", ".join(f"{c}: long" for c in ("size", "level", *near_copies.OWN, *near_copies.NEXT)) + ">"
-    signed = lambda own: tuple(int(np.uint64(x).view(np.int64)) for x in mark(own))
-    df = spark.createDataFrame([(k, signed(a), signed(b)) for k, (a, b) in enumerate(made)], f"k long, a {struct}, b {struct}")
+    parity = lambda own, halved: near_copies.parity(own, halved).view(np.int64).tolist()
+    levels = lambda own: (len(own), near_copies.level(len(own)))
+    mark = lambda own: (*levels(own), *(parity(own, levels(own)[1] + k) for k in (0, 1)))
+    struct = "struct<size: long, level: long, odd: array<long>, next: array<long>>"
+    df = spark.createDataFrame([(k, mark(a), mark(b)) for k, (a, b) in enumerate(made)], f"k long, a {struct}, b {struct}")
     allowed = {k for k, yes in rows(df.select("k", near_copies.alike(F.col("a"), F.col("b"), 80))) if yes}
     overlap = [len(np.intersect1d(a, b)) / len(np.union1d(a, b)) for a, b in made]
     assert {k for k, j in enumerate(overlap) if j >= 0.8} <= allowed

@@ -31,20 +31,25 @@ def title_matches(roots: DataFrame, queries: DataFrame) -> DataFrame:
     return met.unionByName(empty).distinct()
 
 
-def by_title(roots: DataFrame, queries: DataFrame) -> DataFrame:
+def by_title(roots: DataFrame, queries: DataFrame, most: int | None = 5) -> DataFrame:
     """``query, n_matches, id, matches`` for ``queries(query)``: titles, names or index names that hold the text.
 
-    ``id`` is set only if exactly one session matches; otherwise ``matches`` has the first five ids in order (and ``, ...``
-    if there are more).  :func:`title_matches` has all of them as rows.
+    ``id`` is set only if exactly one session matches; otherwise ``matches`` has the first ``most`` ids in order (and
+    ``, ...`` if there are more; None: all of them).  :func:`title_matches` has them as rows.
     """
     met = title_matches(roots, queries)
-    first = met.withColumn("_place", F.row_number().over(W.partitionBy("query").orderBy("id"))).filter(F.col("_place") <= 6)
-    first = first.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("_place", "id")))["id"].alias("ids"))
+    if most is None:
+        first = met.groupBy("query").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    else:
+        first = met.withColumn("_place", F.row_number().over(W.partitionBy("query").orderBy("id"))).filter(F.col("_place") <= most + 1)
+        first = first.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("_place", "id")))["id"].alias("ids"))
     found = queries.select("query").distinct().join(met.groupBy("query").agg(F.count(F.lit(1)).alias("n")), "query", "left").join(first, "query", "left")
     n = F.coalesce("n", F.lit(0).cast("bigint"))
-    listed = F.array_join(F.slice(F.transform("ids", lambda x: x.cast("string")), 1, 5), ", ")
-    listed = F.coalesce(F.concat(listed, F.when(F.size("ids") > 5, ", ...").otherwise("")), F.lit(""))
-    return found.select("query", n.alias("n_matches"), F.when(n == 1, F.get("ids", F.lit(0))).alias("id"), F.when(n != 1, listed).alias("matches"))
+    texts = F.transform("ids", lambda x: x.cast("string"))
+    listed = F.array_join(texts if most is None else F.slice(texts, 1, most), ", ")
+    if most is not None:
+        listed = F.concat(listed, F.when(F.size("ids") > most, ", ...").otherwise(""))
+    return found.select("query", n.alias("n_matches"), F.when(n == 1, F.get("ids", F.lit(0))).alias("id"), F.when(n != 1, F.coalesce(listed, F.lit(""))).alias("matches"))
 
 
 def needs_update(metrics: Sequence[str], width: int, reprice_before: Column | None = None) -> Column:

@@ -55,3 +55,10 @@ def test_title_lists_are_short(spark):
     assert got["PLAN"] == (9, None, "0, 1, 2, 3, 4, ...") and got["n "] == got[""] == got["PLAN"]
     assert got["plan 4"] == (1, 4, None) and got["índ"] == (1, 3, None) and got["zz"] == (0, None, "") and got[None][0] == 0
     assert selection.title_matches(roots, asked).filter("query = ''").count() == 9
+
+
+def test_title_lists_may_be_whole(spark):
+    roots = spark.range(12).select("id", F.concat(F.lit("Plan "), F.col("id").cast("string")).alias("title"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("index_name"))
+    asked = spark.createDataFrame([("PLAN",), ("plan 11",), ("zz",)], "query string")
+    got = {r["query"]: tuple(r)[1:] for r in selection.by_title(roots, asked, None).collect()}
+    assert got == {"PLAN": (12, None, ", ".join(map(str, range(12)))), "plan 11": (1, 11, None), "zz": (0, None, "")}

@@ -116,8 +116,12 @@ def facts(spark: SparkSession, sf_dir: str) -> Facts:
     """Customers as sessions, their orders as turns (those with status F ended), line items as requests."""
     rows = links(spark, sf_dir)
     orders = table(spark, sf_dir, "orders")
-    used = priced_usage(spark, sf_dir).join(orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("id")), "l_orderkey")
-    turns = orders.select(F.col("o_custkey").alias("id"), F.col("o_orderpriority").alias("model"), F.col("o_orderstatus").alias("effort"))
-    ends = orders.filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("id"), F.col("o_orderpriority").alias("model"), ((F.col("o_orderkey") % 1000) * 0.5).alias("seconds"))
+    # requests meet their orders before they are priced: prices are wider than what they are made of; sessions hold few
+    # requests and turns of a model here, so these are dealt by session as they are, and nothing is dealt again
+    sessions = orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("id"))
+    used = usage(spark, sf_dir).drop("l_partkey", "l_linenumber", "at").join(sessions, "l_orderkey").drop("l_orderkey").repartition("id")
+    used = pricing.priced(used, price_points(spark), proxies(spark))
+    dealt = orders.select(F.col("o_custkey").alias("id"), F.col("o_orderpriority").alias("model"), F.col("o_orderstatus").alias("effort"), ((F.col("o_orderkey") % 1000) * 0.5).alias("seconds")).repartition("id")
+    turns, ends = dealt.drop("seconds"), dealt.filter("effort = 'F'").drop("effort")
     quality = rows.select("id", F.when(F.col("id") % 97 == 0, 1000).otherwise(0).cast("long").alias("unattributed_tokens"), (F.col("id") % 53 == 0).alias("is_incomplete"))
     return Facts(rows.drop("nation"), used, turns, ends, quality)

@@ -57,7 +57,7 @@ def project_report(
     chosen = stored(scoped_members(scopes, roots, assigned, loose), "chosen")
     by_target = chosen.withColumnRenamed("scope", "target")
     wanted = chosen.filter(P.IS_MEMBER).select("id").distinct()
-    parts = R.tree_report(facts, wanted, scan, None, index)
+    parts = R.tree_report(facts, wanted, scan, None, index, ("tree", "by_model"))
     sums = stored(P._merged_trees(parts["tree"], by_target), "project").withColumnRenamed("target", "scope")
     base = scopes.select("scope").join(sums, "scope", "left")
     zero = F.lit(0).cast("bigint")

@@ -50,7 +50,7 @@ def title_chain(
     """
     roots = logs.checked_threads(threads).filter(source_is_root(F.col("source")))
     chosen = stored(idle(with_index(roots, names), needs_update(metrics, width), now, idle_minutes, limit), "chosen")
-    trees = tree_report(facts, chosen.select("id"), scan)["tree"]
+    trees = tree_report(facts, chosen.select("id"), scan, wanted=("tree",))["tree"]
     return proposals(chosen, trees, metrics, width)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,8 +25,13 @@ _MAX = (1 << 63) - 1
 def parsed(raw: Column) -> Column:
     """The one JSON value of a line as VARIANT; null if the line is blank, malformed or has more after it."""
     wrapped = F.try_parse_json(F.concat(F.lit("["), raw, F.lit("]")))
-    alone = F.try_variant_get(wrapped, "$[1]", "variant").isNull()
-    return F.when(F.is_valid_utf8(raw) & alone, F.try_variant_get(wrapped, "$[0]", "variant"))
+    alone = lambda w: F.when(F.try_variant_get(w, "$[1]", "variant").isNull(), F.try_variant_get(w, "$[0]", "variant"))
+    return F.when(F.is_valid_utf8(raw), once(wrapped, alone))
+
+
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def at(v: Column, path: str) -> Column:
@@ -37,7 +44,7 @@ def kind_of(v: Column) -> Column:
 
 
 def is_object(v: Column) -> Column:
-    return F.coalesce(kind_of(v).startswith("OBJECT"), F.lit(False))
+    return F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
 
 
 def text_at(v: Column, path: str) -> Column:
@@ -58,12 +65,11 @@ def usage_at(v: Column, path: str) -> Column:
 
     Null if the value or any present field is not as it must be (a JSON integer of 0 or more).
     """
-    fields = F.try_variant_get(v, path, "map<string,variant>")
-    found = F.transform(F.array(*(F.lit(JSON_FIELDS[f]) for f in FIELDS)), lambda name: F.try_element_at(fields, name))
     number = lambda x: F.try_variant_get(x, "$", "bigint")
-    valid = F.forall(found, lambda x: x.isNull() | F.coalesce((kind_of(x) == "BIGINT") & (number(x) >= 0), F.lit(False)))
-    values = F.transform(found, lambda x: F.coalesce(number(x), F.lit(0).cast("bigint")))
-    return F.when(is_object(at(v, path)) & valid, values)
+    count = lambda x: F.when(x.isNull(), F.lit(0).cast("bigint")).when((kind_of(x) == "BIGINT") & (number(x) >= 0), number(x))
+    values = F.transform(F.array(*(at(v, f"{path}.{JSON_FIELDS[f]}") for f in FIELDS)), count)
+    valid = lambda found: F.when(F.forall(found, lambda x: x.isNotNull()), found)
+    return F.when(is_object(at(v, path)), once(values, valid))
 
 
 def as_usage(values: Column) -> Column:

@@ -294,3 +294,15 @@ def test_unread_descendants_and_bad_index(spark, price_catalog):
     assert parts["warnings"].first()["incomplete_input_warnings"] == [report.UNREAD % "k", report.INDEX_MALFORMED]
     parts = report.tree_report(facts, roots, None, logs.session_names(index), logs.index_quality(index.limit(1)))
     assert parts["rollout"].first()["thread_name"] == "N"
+
+
+def test_bundles_hold_many_logs_in_few_files(spark, tmp_path):
+    lines = [(f"u{n}", k, f'{{"n":{n},\t"k":{k}}}' if k else "") for n in range(200) for k in range(4)]
+    folder = str(tmp_path / "bundles")
+    logs.write_bundles(spark.createDataFrame(lines, "path string, line_no long, raw string").repartition(4), folder)
+    assert len(list((tmp_path / "bundles").glob("*.txt"))) <= 4  # one file for each log before
+    got = {}
+    for r in logs.read_bundles(spark, folder).orderBy("path", "line_no").collect():
+        got.setdefault(r["path"], []).append((r["line_no"], r["raw"]))
+    assert {p: [raw for _, raw in rows] for p, rows in got.items()} == {p: [x[2] for x in lines if x[0] == p] for p in {x[0] for x in lines}}
+    assert all([n for n, _ in rows] == list(range(rows[0][0], rows[0][0] + 4)) for rows in got.values())

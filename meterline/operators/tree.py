@@ -59,18 +59,29 @@ def descendants(links: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def reached(links: DataFrame, seed: DataFrame) -> DataFrame:
-    """``id`` of the seed and of everything below it, each once; no pairs are made, however seeds are nested."""
-    jumps = _jumps(links)
-    seen = stored(seed.filter("id IS NOT NULL").select("id").distinct(), "reached")
+    """``id`` of the seed and of everything below it, each once; no pairs of seed and member are made, however seeds are nested.
+
+    Pointers ``id, above`` are kept of ids that are not reached yet alone.  Those that lead to an id reached last say what
+    is reached next; the others are doubled: a pointer to an id that is still open takes over where that one leads.  A way
+    to the seed halves each round, and the more is reached, the fewer pointers are left.
+    """
+    fresh = stored(seed.filter("id IS NOT NULL").select("id").distinct(), "reached")
+    first = _jumps(links)
+    jumps, seen = stored(first.join(fresh, "id", "left_anti"), "jumps"), fresh
+    dropped(first)
     while True:
-        below = jumps.join(seen.select(F.col("id").alias("above")), "above", "left_semi").select("id").distinct()
-        fresh = stored(below.join(seen, "id", "left_anti"), "reached")
+        last = fresh.select(F.col("id").alias("above"))
+        fresh, old = stored(jumps.join(last, "above", "left_semi").select("id").distinct(), "reached"), jumps
         if fresh.isEmpty():
             dropped(jumps, fresh)
             return seen
-        seen, old = seen.unionByName(fresh), jumps
-        jumps = _doubled(old)
-        dropped(old)
+        seen = seen.unionByName(fresh)
+        left = stored(old.join(fresh, "id", "left_anti"), "jumps")
+        further = left.select(F.col("id").alias("above"), F.col("above").alias("_top"))
+        doubled = left.join(further, "above").filter("id <> _top").select("id", F.col("_top").alias("above"))
+        near = left.join(fresh.select(F.col("id").alias("above")), "above", "left_semi").select("id", "above")
+        jumps = stored(doubled.unionByName(near).distinct(), "jumps")
+        dropped(old, left)
 
 
 def related(files: DataFrame, seed: DataFrame) -> DataFrame:

@@ -65,6 +65,24 @@ def test_pointers_are_deleted(spark):
     assert left and not [x for x in left if x.startswith("jumps")]
 
 
+def test_pointers_of_reached_ids_are_not_doubled(spark, monkeypatch):
+    rows = []
+    real = tree.stored
+
+    def counted(df, name):
+        made = real(df, name)
+        rows.extend([made.count()] if name == "jumps" else [])
+        return made
+
+    monkeypatch.setattr(tree, "stored", counted)
+    n = 2000
+    links = spark.range(n).selectExpr("id", "explode(array(id - 1, id - 2, id - 3)) AS parent_id").filter("parent_id >= 0")
+    got = tree.reached(links, spark.range(0, n, 20).select("id"))
+    assert got.count() == n and got.distinct().count() == n
+    # twice the links at most; before, each round doubled the pointers of all ids
+    assert max(rows) <= 2 * links.count()
+
+
 def test_empty_tables(spark):
     none, some = spark.createDataFrame([], "id long, parent_id long"), spark.createDataFrame([(1, None)], "id long, parent_id long")
     assert tree.closure(none, none.select("id")).count() == 0

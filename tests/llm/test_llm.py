@@ -285,6 +285,33 @@ def test_toxicity_edges(spark, edges, nothing):
     assert toxicity.score(nothing, toxicity.fit(nothing, labels)).count() == 0
 
 
+def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "PER_COPY", 60)  # several copies of the network
+    text = lambda i: "plain words " * 1700 + ("venom" if i % 3 == 0 else "honey")
+    docs = spark.createDataFrame([(i, text(i), "en") for i in range(300)] + [(0, "other", None), (3, None, "en")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(300)] + [(0, 1, 0), (7, 1, None)], "doc_id long, quality int, toxic int")
+    seen = toxicity.labelled(docs, labels).toPandas()
+    expected = [i for i in range(300) if zlib.crc32(str(i).encode()) % 3 != 1]
+    assert sorted(seen["doc_id"]) == sorted(expected + [i for i in (0, 3) if i in expected]) and seen["text"].str.len().max() > 20_000
+    assert (seen["toxic"] == (seen["doc_id"] % 3 == 0)).all()
+    got = toxicity.score(docs.filter("length(text) > 9"), toxicity.fit(docs, labels)).toPandas()
+    assert (got["predicted"] == (got["doc_id"] % 3 == 0)).mean() > 0.95
+
+
+def test_toxicity_cuts_equal_plain_loops(spark):
+    r = np.random.default_rng(3)
+    z = [float(x) for x in np.round(r.normal(0, 2, 400), 1)] + [80.0, -80.0]
+    marked = [(["en", "de", "few", None][k % 4 if k % 40 else 2], x, int(x + r.normal(0, 1) > 0.7)) for k, x in enumerate(z)]
+    marked = [m for k, m in enumerate(marked) if m[0] != "few" or k % 40 == 0]
+    got = toxicity.cuts_of(spark.createDataFrame(marked, "lang string, z double, toxic int"))
+    for lang in ("en", "de", None):
+        own = [(x, y) for name, x, y in marked if lang in (None, name)]
+        f1 = {c: 2 * sum(y for x, y in own if x >= c) / (sum(x >= c for x, _ in own) + sum(y for _, y in own)) for c, _ in own}
+        best = min(c for c in f1 if f1[c] == max(f1.values()))
+        assert got[lang] == (best + max((c for c in f1 if c < best), default=best - 1)) / 2
+    assert set(got) == {"en", "de", None}
+
+
 def small_net():
     net = toxicity.ConvNet(widths=(1, 2, 3), dim=4, n_filters=3, seed=5)
     net.embedding = np.random.default_rng(1).normal(0, 0.5, net.embedding.shape).astype(np.float32)

@@ -1,7 +1,8 @@
 """Text joins by inverted indexes of character n-grams: substrings and close spellings without comparing all pairs.
 
-Both sides are folded to different texts first, so a title that many sessions share is compared once.  A text meets only
-those that have one of its rarest n-grams, and every pair that meets is tested exactly.
+Both sides are folded to different texts first, so a title that many sessions share is compared once.  A part meets only
+those that have its rarest n-gram, a spelling those that have one of its segments at a place that its edits allow, and
+every pair that meets is tested exactly.
 """
 
 from __future__ import annotations
@@ -54,25 +55,35 @@ def _limit(a: Column, b: Column) -> Column:
     return F.greatest(F.floor(F.greatest(F.octet_length(a), F.octet_length(b)) / 5), F.lit(1))
 
 
-def _close_to_longer(longer: DataFrame, shorter: DataFrame) -> DataFrame:
-    """``longer, shorter`` of close spellings where the first has as many bytes or more.
+def _likely(longer: DataFrame, shorter: DataFrame) -> DataFrame:
+    """``longer, shorter`` that may be close spellings, where the first has as many bytes or more; pairs may repeat.
 
-    Its ``k`` edits spoil ``k q`` of its n-grams at most, so of any ``k q + 1`` different ones (or all of fewer) the other
-    text has one; the rarest are taken.  ``q`` is the largest for which the text has so many.
+    The longer one is cut into one segment more than its ``k`` edits, so the other text has one of them whole.  Of the
+    first such segment, ``i`` edits or more are before it, as many at least as it is shifted, and behind it as many at
+    least as the ends are shifted; together no more than ``k``.  Only pairs whose places allow that are compared, so the
+    digits of two numbers that many texts have in other places cost no edit distance.
     """
     text, k = F.col("text"), F.greatest(F.floor(F.octet_length("text") / 5), F.lit(1)).cast("int")
-    fits = lambda q: k * q + q <= F.length(text)
-    q = F.when(fits(3), 3).when(fits(2), 2).otherwise(1)
-    grams = longer.select("text", (k * q + 1).alias("need"), _grams(text, q).alias("grams"))
-    single = grams.select("text", "need", F.size("grams").alias("all"), F.explode("grams").alias("gram"))
-    many = _postings(shorter, single).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    # grams that no other text has are the rarest: they are only counted
-    known = single.join(many, "gram").groupBy("text", "need", "all").agg(F.array_sort(F.collect_list(F.struct("n", "gram"))).alias("known"))
-    left = F.greatest(F.col("need") - (F.col("all") - F.size("known")), F.lit(0))
-    chosen = known.select(F.col("text").alias("longer"), F.explode(F.slice("known", F.lit(1), left)).alias("x")).select("longer", "x.gram")
-    met = chosen.join(_postings(shorter, chosen).withColumnRenamed("text", "shorter"), "gram")
-    near = (F.octet_length("shorter") <= F.octet_length("longer")) & (F.levenshtein("longer", "shorter") <= _limit(F.col("longer"), F.col("shorter")))
-    return met.filter(near).select("longer", "shorter").distinct()
+    # edits are fewer than characters, but for a single one, which the other text then has
+    count = F.least(k + 1, F.length(text))
+    bound = lambda i: F.floor(i * F.length(text) / count).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.struct(i.alias("i"), bound(i).alias("at"), F.substring(text, bound(i) + 1, bound(i + 1) - bound(i)).alias("segment")))
+    cut = longer.filter("text <> ''").select(text.alias("longer"), F.length(text).alias("size"), k.alias("k"), F.explode(cut).alias("x")).select("longer", "size", "k", "x.*")
+    # segments have five characters at most, as there is an edit for every five bytes
+    places = lambda q: F.when(F.length(text) >= q, F.sequence(F.lit(1), F.greatest(F.length(text) - (q - 1), F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    of = lambda q: F.transform(places(q), lambda i: F.struct((i - 1).alias("place"), F.substring(text, i, F.lit(q)).alias("segment")))
+    every = F.concat(*map(of, range(1, 6)))
+    held = shorter.select(text.alias("shorter"), F.length(text).alias("other_size"), F.explode(every).alias("x")).select("shorter", "other_size", "x.*")
+    held = held.join(cut.select("segment").distinct(), "segment", "left_semi")
+    shift = F.col("place") - F.col("at")
+    able = F.greatest(F.abs(shift), F.col("i")) + F.abs(shift + F.col("size") - F.col("other_size")) <= F.col("k")
+    fits = F.octet_length("shorter") <= F.octet_length("longer")
+    return cut.join(held, "segment").filter(able & fits).select("longer", "shorter")
+
+
+def _close_to_longer(longer: DataFrame, shorter: DataFrame) -> DataFrame:
+    """``longer, shorter`` of close spellings where the first has as many bytes or more."""
+    return _likely(longer, shorter).filter(F.levenshtein("longer", "shorter") <= _limit(F.col("longer"), F.col("shorter"))).distinct()
 
 
 def close(references: DataFrame, candidates: DataFrame) -> DataFrame:

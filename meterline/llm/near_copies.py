@@ -10,10 +10,14 @@ A cloud of texts near in words but below ``PERCENT`` would make all its pairs.
 sketches (odd sketches): a bit for each bucket of hashed shingles tells whether an odd number of them is there, and
 the bits in which two sketches differ are no more than the shingles that only one of the sets has.  That is exact for
 sets below ``WHOLE``; larger ones are sketched by a hashed share of their shingles, with ``SIGMA`` deviations to spare.
+
+Sets of ``PERCENT`` similarity differ in size by no more than that, so a text is looked up among sets of its band of
+sizes only.  The number of partitions is fixed: a text's probes do not grow with the table.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +27,7 @@ from pyspark.sql import functions as F
 
 from meterline.llm.common import dropped, saved
 from meterline.llm.components import components
-from meterline.llm.simhash import LOWER, SEED, hashes, linked, majority_bits, planned
+from meterline.llm.simhash import LOWER, SEED, Sized, hashes, linked, majority_bits, planned, share_of
 
 SHINGLE = 5
 #: Least Jaccard similarity of near copies, in percent.
@@ -32,6 +36,8 @@ PERCENT = 80
 DISTANCE = 7
 #: Bits in which the fingerprints of their shingles may differ: 9.7 are expected at 80 percent, with a deviation of 2.9.
 SHINGLE_DISTANCE = 20
+#: Partitions of the words' fingerprints.  More would ask with fewer probes and compare more texts for each.
+PARTITIONS = 5
 #: Bits of a parity sketch, in words of 64; sets of so many shingles or more halve those that are sketched.
 PARITY_WORDS, WHOLE = 8, 512
 #: Deviations by which a sketched share of two sets may differ more than expected of similar ones.
@@ -108,6 +114,16 @@ def alike(a: Column, b: Column, percent: int) -> Column:
     return sized & (differ <= F.when(halved == 0, most + 0.5).otherwise(share + SIGMA * F.sqrt(share) + SIGMA))
 
 
+def sized(percent: int) -> Sized:
+    """Bands in which a size grows by the most that a similarity of ``percent`` allows.
+
+    A set is stored in its own band and the one below; logarithms are rounded, so at an edge in one more.
+    """
+    width = math.log(100 / min(percent, 99)) if percent else math.inf
+    at = F.log(F.greatest(F.col("size"), F.lit(1)).cast("double")) / F.lit(width)
+    return Sized("size", F.floor(at), F.sequence(F.floor(at - 1 - 1e-6), F.floor(at)))
+
+
 def _sets(shingle: int):
     @F.pandas_udf("array<long>")
     def sets(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -160,8 +176,9 @@ def _classes(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, Da
         dropped(wanted)
         return made
 
-    plan = planned(nodes.select("fp").distinct(), DISTANCE)
-    return rows.select("doc_id", "tie", "set"), linked(nodes.drop("tie"), plan, verify, likely)
+    bands = sized(percent)
+    plan = planned(nodes.select("fp").distinct(), DISTANCE, parts=PARTITIONS, share=share_of(nodes, bands))
+    return rows.select("doc_id", "tie", "set"), linked(nodes.drop("tie"), plan, verify, likely, bands)
 
 
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 from itertools import combinations
 from math import comb
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -201,14 +202,18 @@ def grouped_bits(fps: np.ndarray, m: int) -> list[tuple[int, ...]]:
     return groups
 
 
-def planned(fps: DataFrame, distance: int = DISTANCE, sample: int = SAMPLE) -> Plan:
-    """Partitions for the distinct fingerprints ``fps(fp)``, from their number and a bounded sample."""
+def planned(fps: DataFrame, distance: int = DISTANCE, sample: int = SAMPLE, parts: int | None = None, share: float = 1.0) -> Plan:
+    """Partitions for the distinct fingerprints ``fps(fp)``, from their number and a bounded sample.
+
+    Probes of a fingerprint grow with the number of fingerprints, unless the number of ``parts`` is given.  ``share``
+    says with how much of the table a fingerprint is compared (see ``Sized``).
+    """
     if not 1 <= distance <= 14:
         raise ValueError("distance must be 1 to 14 bits")
-    n = fps.count()
+    n = round(fps.count() * share)
     some = fps.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(sample).collect()
     seen = np.array([r[0] for r in some], np.int64).view(np.uint64)
-    plans = [plan_of(seen, m, distance, n) for m in range(2, distance + 2)]
+    plans = [plan_of(seen, m, distance, n) for m in ([parts] if parts else range(2, distance + 2))]
     return min((p for p in plans if p.possible), key=lambda p: p.estimate(seen[:1000]))
 
 
@@ -259,6 +264,31 @@ def keys_of(plan: Plan, fp: Column) -> Column:
 Also = Callable[[Column, Column], Column]
 
 
+class Sized(NamedTuple):
+    """Bands of sizes, for nodes that link to some sizes only.
+
+    A node asks in its ``own`` band for nodes of its ``size`` or more; it is stored in the bands ``held``, which are the
+    own ones of all smaller nodes that may link to it.
+    """
+
+    size: str
+    own: Column
+    held: Column
+
+
+def _banded(keys: Column, bands: Column) -> Column:
+    """Every key in every band, the band from bit 48 on."""
+    return F.flatten(F.transform(bands, lambda b: F.transform(keys, lambda k: F.shiftleft(b, 48) + k)))
+
+
+def share_of(nodes: DataFrame, sized: Sized) -> float:
+    """The share of the nodes that a node meets in its band, on average."""
+    own = nodes.groupBy(sized.own.alias("band")).agg(F.count(F.lit(1)).cast("double").alias("asking"))
+    held = nodes.select(F.explode(sized.held).alias("band")).groupBy("band").agg(F.count(F.lit(1)).cast("double").alias("stored"))
+    met = own.join(held, "band").agg(F.sum(F.col("asking") * F.col("stored")), F.sum("asking")).first()
+    return met[0] / met[1] ** 2 if met[1] else 1.0
+
+
 def _keyed(nodes: DataFrame, keys: Column, side: str, known: DataFrame | None = None, *more: str) -> DataFrame:
     """``(side, root, key)`` rows of nodes, each a struct; the root is null where it is not ``known(node, root)``."""
     rows = nodes if known is None else nodes.join(known.select("node", "root"), "node", "left")
@@ -269,7 +299,7 @@ def _keyed(nodes: DataFrame, keys: Column, side: str, known: DataFrame | None =
 
 def _first_find(plan: Plan) -> Column:
     """Whether no partition before the key's own finds the pair too, so that each pair is made once."""
-    found, part = F.col("a.fp").bitwiseXOR(F.col("b.fp")), F.shiftright("key", 40)
+    found, part = F.col("a.fp").bitwiseXOR(F.col("b.fp")), F.shiftright("key", 40).bitwiseAND(F.lit(255).cast("long"))
     first = F.lit(True)
     for i, p in enumerate(plan.partitions):
         mask = F.lit(int(np.uint64(sum(1 << b for b in p.bits)).view(np.int64)))
@@ -278,32 +308,42 @@ def _first_find(plan: Plan) -> Column:
     return first
 
 
-def _near(plan: Plan, also: Also | None) -> Column:
+def _near(plan: Plan, also: Also | None, sized: Sized | None = None) -> Column:
     a, b = F.col("a"), F.col("b")
-    near = (a["node"] < b["node"]) & (F.bit_count(a["fp"].bitwiseXOR(b["fp"])) <= plan.distance)
+    ordered = a["node"] < b["node"]
+    if sized:
+        ordered = (a[sized.size] < b[sized.size]) | ((a[sized.size] == b[sized.size]) & ordered)
+    near = ordered & (F.bit_count(a["fp"].bitwiseXOR(b["fp"])) <= plan.distance)
     return near & also(a, b) if also else near
 
 
-def links(nodes: DataFrame, plan: Plan, known: DataFrame | None = None, also: Also | None = None) -> DataFrame:
+def links(
+    nodes: DataFrame, plan: Plan, known: DataFrame | None = None, also: Also | None = None, sized: Sized | None = None
+) -> DataFrame:
     """All pairs ``(a, b)``, a < b, of ``nodes(node, fp, ...)`` with fingerprints within the plan's distance.
 
     A fingerprint's own probes find all its neighbours, so each pair is taken from its smaller member's probes.  The
     distance, and what ``also`` says of the two structs, is checked inside the join, so candidates are never written.
-    Pairs of one root in ``known(node, root)`` are left out.
+    Pairs of one root in ``known(node, root)`` are left out, and with ``sized`` those whose sizes never link; the
+    smaller of a pair then probes.
     """
     probing = nodes.withColumn("x", probes_of(plan)("fp")).select(*nodes.columns, "x.*")
-    one = _keyed(probing, F.col("keys"), "a", known, "reach")
-    two = _keyed(nodes, keys_of(plan, F.col("fp")), "b", known)
-    near = _near(plan, also)
+    asked, kept = F.col("keys"), keys_of(plan, F.col("fp"))
+    if sized:
+        asked, kept = _banded(asked, F.array(sized.own)), _banded(kept, sized.held)
+    one = _keyed(probing, asked, "a", known, "reach")
+    two = _keyed(nodes, kept, "b", known)
+    near = _near(plan, also, sized)
     if known is not None:
         near = near & F.coalesce(F.col("root_a") != F.col("root_b"), F.lit(True))
     pairs = one.join(two, "key").filter(near & _first_find(plan))
-    return pairs.select(F.col("a.node").alias("a"), F.col("b.node").alias("b"))
+    return pairs.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b"))
 
 
-def stars(nodes: DataFrame, plan: Plan, also: Also | None = None) -> DataFrame:
+def stars(nodes: DataFrame, plan: Plan, also: Also | None = None, sized: Sized | None = None) -> DataFrame:
     """Those pairs of ``links`` between the nodes of a key and ``HUBS`` of them: a few for each node."""
-    stored = _keyed(nodes, keys_of(plan, F.col("fp")), "own")
+    kept = keys_of(plan, F.col("fp"))
+    stored = _keyed(nodes, _banded(kept, sized.held) if sized else kept, "own")
     hubs = F.array_distinct(F.array(*(F.min_by("own", F.xxhash64("own.node", F.lit(k))) for k in range(HUBS))))
     found = stored.groupBy("key").agg(hubs.alias("hubs"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     found = found.select("key", F.explode("hubs").alias("hub"))
@@ -312,7 +352,7 @@ def stars(nodes: DataFrame, plan: Plan, also: Also | None = None) -> DataFrame:
 
 
 def linked(
-    nodes: DataFrame, plan: Plan, verify: Callable[[DataFrame], DataFrame] | None = None, also: Also | None = None
+    nodes: DataFrame, plan: Plan, verify: Callable[[DataFrame], DataFrame] | None = None, also: Also | None = None, sized: Sized | None = None
 ) -> DataFrame:
     """``(node, root)`` of every node with a link, over those pairs of ``links`` that ``verify`` leaves.
 
@@ -321,7 +361,7 @@ def linked(
     """
     found = roots = None
     for last in (False, True):
-        pairs = links(nodes, plan, roots, also) if last else stars(nodes, plan, also)
+        pairs = links(nodes, plan, roots, also, sized) if last else stars(nodes, plan, also, sized)
         new = saved(verify(pairs) if verify else pairs, "links")
         found, before = found.unionByName(new) if last else new, roots
         roots = saved(components(found), "classes")

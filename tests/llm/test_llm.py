@@ -681,6 +681,28 @@ def test_large_clouds_do_not_cost_all_pairs(spark):
     assert simhash.links(df, plan, known).count() < len(fps) < simhash.links(df, plan).count() / 50
 
 
+def test_probes_of_a_text_do_not_grow_with_the_table(spark, monkeypatch):
+    seen = {}
+    real = near_copies.planned
+    monkeypatch.setattr(near_copies, "planned", lambda fps, *more, **named: seen.setdefault(n, real(fps, *more, **named)))
+    some = np.random.default_rng(5).integers(0, 2**64, 500, np.uint64)
+    for n in (300, 15_000):
+        texts = spark.range(n).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *(F.sha2(F.concat("id", F.lit(f"-{k}")), 256) for k in range(8))).alias("text"))
+        assert near_copies.one_of_each(texts).count() == n
+    few, many = (sum(map(len, pd.Series(list(p.keys(np.array([fp]), t)[0] for fp, t in zip(some, p.thresholds(some), strict=True))))) for p in seen.values())
+    assert many < 1.2 * few
+
+
+def test_sizes_that_may_link_share_one_band(spark):
+    for percent in (1, 50, 80, 99, 100):
+        bands = near_copies.sized(percent)
+        sizes = spark.range(2000).select(F.col("id").alias("size")).select("size", bands.own.alias("own"), bands.held.alias("held"))
+        a, b = (sizes.select(F.col("size").alias(f"size_{k}"), F.col("own").alias(f"own_{k}"), F.col("held").alias(f"held_{k}")) for k in "ab")
+        pairs = a.crossJoin(b).filter(f"size_a <= size_b AND 100 * size_a >= {percent} * size_b")
+        assert pairs.filter("cardinality(filter(held_b, x -> x = own_a)) <> 1").count() == 0
+        assert sizes.filter("cardinality(held) > 3").count() == 0
+
+
 def test_near_copies_edges(edges, nothing):
     assert near_copies.one_of_each(nothing).count() == 0
     kept = near_copies.one_of_each(edges)

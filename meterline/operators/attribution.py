@@ -36,7 +36,9 @@ def with_file_facts(events: DataFrame) -> DataFrame:
     ``n_meta, session_at, session_date, bad_session_time`` of its meta lines, and ``_model, _effort`` of the last context
     of the event's turn, wherever in the file it stands.
     """
-    whole, turn, kind = W.partitionBy("path"), W.partitionBy("path", "turn_id"), F.col("kind")
+    # in the order of turns, so that one sort serves the facts of the file and of its turns
+    whole = W.partitionBy("path").orderBy("turn_id").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    turn, kind = W.partitionBy("path", "turn_id"), F.col("kind")
     timed = F.when((kind == "meta") & F.col("at").isNotNull(), F.struct("line_no", "at", "at_date"))
     context = F.when((kind == "context") & F.col("turn_id").isNotNull(), F.struct("line_no", "model", "effort"))
     rows = events.select(
@@ -62,11 +64,12 @@ def attributed(events: DataFrame) -> DataFrame:
     kind, known = F.col("kind"), F.col("_model").isNotNull()
     rows = rows.withColumn("is_start", (kind == "start") & known)
     rows = rows.withColumn("_segment", F.count_if(kind == "start").over(so_far))
-    segment = W.partitionBy("path", "_segment").orderBy("line_no")
+    # a segment is what follows a start: its windows are windows of the file, which keep the sort
     opened = F.when(F.col("is_start"), F.struct("turn_id", F.col("_model").alias("model")))
-    rows = rows.withColumn("_opened", F.first(opened).over(segment.rowsBetween(W.unboundedPreceding, 0)))
+    rows = rows.withColumn("_opened", F.last(F.when(kind == "start", F.struct(opened.alias("o"))), ignorenulls=True).over(so_far)["o"])
     closes = (kind == "end") & (F.col("turn_id").isNull() | F.col("turn_id").eqNullSafe(F.col("_opened.turn_id")))
-    closed = F.coalesce(F.bool_or(closes).over(segment.rowsBetween(W.unboundedPreceding, -1)), F.lit(False))
+    last_closed = F.last(F.when(closes, F.col("_segment")), ignorenulls=True).over(before)
+    closed = F.coalesce(last_closed == F.col("_segment"), F.lit(False))
     rows = rows.withColumn("_active", F.when(~closed, F.col("_opened"))).withColumn("active", F.col("_active.turn_id"))
     # what sets or clears the model of contexts without turn id
     sets = (

@@ -99,6 +99,11 @@ def test_attribution_takes_one_shuffle(spark):
     assert plan.count("Exchange hashpartitioning") == 1
 
 
+def test_attribution_sorts_by_turn_and_by_line_only(spark):
+    plan = attribution.attributed(logs.log_events(records(spark, f=[meta(), usage((1, 0, 0))])))._jdf.queryExecution().executedPlan().toString()
+    assert 1 <= plan.count(" Sort [") <= 2
+
+
 def test_missing_folders_are_empty_and_homes_stay_apart(spark, tmp_path):
     for home, when in (("one", 5), ("two", 9)):
         (tmp_path / home / "sessions").mkdir(parents=True)

@@ -682,14 +682,15 @@ def test_large_clouds_do_not_cost_all_pairs(spark):
 
 
 def test_probes_of_a_text_do_not_grow_with_the_table(spark, monkeypatch):
-    seen = {}
-    real = near_copies.planned
-    monkeypatch.setattr(near_copies, "planned", lambda fps, *more, **named: seen.setdefault(n, real(fps, *more, **named)))
+    plans, plan_of, planned = [], simhash.plan_of, near_copies.planned
+    monkeypatch.setattr(near_copies, "planned", lambda *a, **named: plans.append(planned(*a, **named)) or plans[-1])
+    words = (F.sha2(F.concat("id", F.lit(f"-{k}")), 256) for k in range(8))
+    texts = spark.range(300).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *words).alias("text"))
     some = np.random.default_rng(5).integers(0, 2**64, 500, np.uint64)
-    for n in (300, 15_000):
-        texts = spark.range(n).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *(F.sha2(F.concat("id", F.lit(f"-{k}")), 256) for k in range(8))).alias("text"))
-        assert near_copies.one_of_each(texts).count() == n
-    few, many = (sum(map(len, pd.Series(list(p.keys(np.array([fp]), t)[0] for fp, t in zip(some, p.thresholds(some), strict=True))))) for p in seen.values())
+    for times in (1, 1000):
+        monkeypatch.setattr(simhash, "plan_of", lambda seen, m, distance, n, times=times: plan_of(seen, m, distance, n * times))
+        near_copies._classes(texts, 5, 80)
+    few, many = (sum(p.keys(some[k : k + 1], t).size for k, t in enumerate(p.thresholds(some))) for p in plans)
     assert many < 1.2 * few
 
 
